@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A heavy-key list larger than this can't occur: at most 1/share keys hold a share of all rows each.
@@ -93,24 +93,18 @@ def salted_summary(
 
 
 def heavy_key_report(df: DataFrame, fields: Sequence[str], share: float, salt_by: Sequence[str], salts: int = 32) -> DataFrame:
-    """(field_name, key_value) of every key holding at least ``share`` of all rows, for several fields in one scan.
+    """(field_name, key_value) of every key that holds at least ``share`` of all rows, for several fields.
 
-    Each row becomes one row per field; candidates come from a salted two-stage count, so the largest key is merged
-    from ``salts`` partial counts. Key values are rendered as strings, unchanged for strings, in decimal for integers.
+    Each field goes through ``salted_summary``; key values are rendered as strings: unchanged for strings, in decimal
+    for integers. Null keys are never reported.
     """
-    inverse = round(1 / share)
-    pairs: Column = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("key_value")) for f in fields]))
-    long = df.select(F.pmod(F.xxhash64(*[F.col(c) for c in salt_by]), F.lit(salts)).alias("_salt"), pairs.alias("p"))
-    partial = (
-        long.groupBy(F.col("p.field_name").alias("field_name"), F.col("p.key_value").alias("key_value"), "_salt")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    merged = partial.groupBy("field_name", "key_value").agg(F.sum("n").alias("n"))
-    # Every row of the table appears once per field, null keys too, so a field's counts add up to all rows.
-    totals = merged.groupBy("field_name").agg(F.sum("n").alias("n_all")).withColumnRenamed("field_name", "_f")
-    return (
-        merged.where(F.col("key_value").isNotNull())
-        .join(F.broadcast(totals), F.col("field_name") == F.col("_f"))  # one row per field
-        .where(F.col("n") * inverse >= F.col("n_all"))
-        .select("field_name", "key_value")
-    )
+    parts = [
+        salted_summary(df.withColumn("_none", F.lit(None).cast("double")), field, "_none", salt_by, share, salts)
+        .where("is_heavy")
+        .select(F.lit(field).alias("field_name"), F.col("key").cast("string").alias("key_value"))
+        for field in fields
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
