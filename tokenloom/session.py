@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +44,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back, so that a lost executor costs no
+    recomputation. The table is removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    except Exception:  # the session ended before
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
