@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import cooccur, encode, quantiles, topn
+from tokenloom.llm import budget, cooccur, encode, leakage, quantiles, setjoin, spans, topn
 from tokenloom.session import table
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -61,6 +61,63 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
 
 
+def _sequences(spark: SparkSession, d: str, name: str, key: list[str]) -> DataFrame:
+    """The known token count of each sequence, once."""
+    rows = table(spark, d, name).where(F.col("seq_len").isNotNull())
+    return rows.groupBy(*key).agg(F.max("seq_len").alias("known"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """table_name, source, language, domain, text, known: each document, text sample and snippet once."""
+    none = F.lit(None).cast("string")
+    docs = table(spark, d, "documents").select(
+        F.lit("documents").alias("table_name"), "source", F.col("lang").alias("language"), "domain", "text", F.lit(None).cast("long").alias("known")
+    )
+    latest = lambda *c: F.max(F.struct("written_at", *c)).alias("r")
+    samples = (
+        table(spark, d, "text_samples").groupBy("idx").agg(latest("source_dataset", "language", "text"))
+        .join(_sequences(spark, d, "text_token_features", ["idx"]), "idx", "left")
+        .select(F.lit("text_samples"), F.col("r.source_dataset"), F.col("r.language"), none, F.col("r.text"), "known")
+    )
+    snippets = (
+        table(spark, d, "snippets").groupBy("language", "snippet_id").agg(latest("code"))
+        .join(_sequences(spark, d, "token_features", ["language", "snippet_id"]), ["language", "snippet_id"], "left")
+        .select(F.lit("snippets"), none, "language", none, F.col("r.code"), "known")
+    )
+    return docs.union(samples).union(snippets)
+
+
+def p5_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return budget.token_budget(_texts(spark, d), [], "text", ["table_name", "source", "language", "domain"], "known")
+
+
+def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, str, str, int, int, int, int]:
+    rows = table(spark, d, "token_sets")
+    return rows, "set_id", "top_k_feature_ids", 5, 4, 5, rows.count()  # the count comes from file footers
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.similar_pairs(*_sets(spark, d))
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return setjoin.record_links(*_sets(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leakage.leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leakage.reparameterised(docs, "doc_id", "text", items, "item_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -72,5 +129,11 @@ QUERIES = {
     "p3_top_tokens": p3_top_tokens,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p5_tokens": p5_tokens,
+    "p6_found": p6_found,
+    "p6_links": p6_links,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_reparameterised": p9_reparameterised,
+    "p10_found": p10_found,
 }

@@ -25,6 +25,11 @@ _PAIRS = """
              FROM item a JOIN item b ON a.r = b.r AND a.i < b.i GROUP BY a.i, b.i)
 """
 
+_SETS = """
+    WITH sets AS (SELECT set_id, ids FROM (SELECT set_id, list_sort(list_distinct(top_k_feature_ids)) AS ids
+                  FROM token_sets) t WHERE len(ids) >= 5)
+"""
+
 SQL = {
     "p3_found": _top(3, "top_feature_id, rank_no, idx, token_pos"),
     "p3_top_tokens": _top(10, "top_feature_id, rank_no, top_feature_activation, token_str, idx, token_pos"),
@@ -38,4 +43,17 @@ SQL = {
                round(n_ab * n / (ca.n_i * cb.n_i)::DOUBLE, 6) AS lift,
                round(log2(n_ab * n / (ca.n_i * cb.n_i)::DOUBLE), 6) AS pmi
         FROM pair, tot, cnt ca, cnt cb WHERE ca.i = feature_a AND cb.i = feature_b AND n_ab >= 2""",
+    "p6_found": _SETS
+    + """
+        SELECT a.set_id AS set_id_a, b.set_id AS set_id_b FROM sets a JOIN sets b ON a.set_id < b.set_id
+          AND len(a.ids) * 5 >= len(b.ids) * 4 AND len(b.ids) * 5 >= len(a.ids) * 4
+        WHERE 5 * len(list_intersect(a.ids, b.ids)) >= 4 * len(list_distinct(list_concat(a.ids, b.ids)))""",
+    "p6_links": _SETS
+    + """
+        , cls AS (SELECT ids, min(set_id) AS class_id, count(*) AS n_copies FROM sets GROUP BY ids),
+        link AS (SELECT a.class_id, sum(b.n_copies) AS n_links FROM cls a JOIN cls b ON a.class_id <> b.class_id
+          AND len(a.ids) * 5 >= len(b.ids) * 4 AND len(b.ids) * 5 >= len(a.ids) * 4
+          WHERE 5 * len(list_intersect(a.ids, b.ids)) >= 4 * len(list_distinct(list_concat(a.ids, b.ids))) GROUP BY 1)
+        SELECT s.set_id, c.class_id, c.n_copies, coalesce(l.n_links, 0)::BIGINT AS n_links
+        FROM sets s JOIN cls c ON s.ids = c.ids LEFT JOIN link l ON l.class_id = c.class_id""",
 }
