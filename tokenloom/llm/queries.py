@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import budget, cooccur, encode, leakage, quantiles, setjoin, spans, topn
+from tokenloom.llm import budget, cooccur, encode, leakage, quantiles, setjoin, spans, syntaxcheck, topn
 from tokenloom.session import table
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -24,15 +24,27 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    nodes = quantiles.digest(_positions(spark, d).drop("first_written"), GROUPS, METRICS)
-    return quantiles.read_percentiles(nodes, GROUPS, PERCENTILES)
+    """Percentiles of each day's batch, and of all batches together (batch ``all``) from the days' digests, merged."""
+    rows = _positions(spark, d).withColumn("batch", F.date_format("first_written", "yyyy-MM-dd"))
+    days = quantiles.digest(rows, [*GROUPS, "batch"], METRICS)
+    whole = quantiles.merge(days.withColumn("batch", F.lit("all")), [*GROUPS, "batch"])
+    return quantiles.read_percentiles(days.unionByName(whole), [*GROUPS, "batch"], PERCENTILES)
 
 
-def p1_combined(spark: SparkSession, d: str) -> DataFrame:
-    """The same from digests of single months, merged by adding their nodes."""
-    rows = _positions(spark, d).withColumn("month", F.date_format("first_written", "yyyy-MM")).drop("first_written")
-    by_month = quantiles.digest(rows, [*GROUPS, "month"], METRICS)
-    return quantiles.read_percentiles(quantiles.merge(by_month, GROUPS), GROUPS, PERCENTILES)
+def _checked(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    rows = table(spark, d, "snippets").withColumn("repository", syntaxcheck.repository_of(F.col("file_path")))
+    return syntaxcheck.check_files(rows, ["language", "snippet_id", *more], "language", "code")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d).where(~F.col("valid")).select("language", "snippet_id").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per repository and language. Rows delivered twice are alike and merge."""
+    files = _checked(spark, d, "repository").distinct()
+    hints = syntaxcheck.latest_hint(table(spark, d, "parse_results"), ["language", "snippet_id"])
+    return syntaxcheck.invalid_rates(files, ["repository", "language"], hints, ["language", "snippet_id"])
 
 
 def _top(spark: SparkSession, d: str, n: int) -> DataFrame:
@@ -124,7 +136,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_percentiles": p1_percentiles,
-    "p1_combined": p1_combined,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p3_top_tokens": p3_top_tokens,
     "p4_found": p4_found,
