@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tokenloom.plans import skew_queries
+from tokenloom.plans import feature_queries, skew_queries, vector_queries
 
-_MODULES = (skew_queries,)
+_MODULES = (feature_queries, vector_queries, skew_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
 
-FLAGSHIP = "p7_found"
+FLAGSHIP = "discriminative_features"
