@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.labels import TEXT_LABELS, char_labels, label_id, select_text_label, text_label_exact
 from tokenloom.session import cut_lineage
-from tokenloom.functions.labels import TEXT_LABELS, char_labels, char_labels_exact, label_id, select_text_label
 
 #: Splits a text into pieces that cover it: words with a blank in front, digits, single other characters.
-COVERING_PATTERN = r" ?\p{L}+|\p{N}+|(?s:[^\p{L}\p{N}])"
-
-
-def with_tokens(df: DataFrame, text: str, pattern: str = COVERING_PATTERN) -> DataFrame:
-    """Adds ``tokens``: array<struct<text, start, end>> with code-point offsets that cover the text. Null text has no
-    tokens. Offsets are running lengths, computed inside the row."""
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    ends = F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<text:string,start:bigint,end:bigint>>").alias("out")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t)).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(t.alias("text"), acc["at"].alias("start"), (acc["at"] + F.length(t)).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return df.withColumn("tokens", F.coalesce(ends, F.array().cast("array<struct<text:string,start:bigint,end:bigint>>")))
+COVERING_PATTERN = r" ?\p{L}+|\p{N}+|[^\p{L}\p{N}]"
 
 
 def text_tokens(df: DataFrame, key: list[str], text: str, pattern: str = COVERING_PATTERN) -> DataFrame:
@@ -40,17 +24,19 @@ def text_tokens(df: DataFrame, key: list[str], text: str, pattern: str = COVERIN
     return found.withColumn("char_end", end).withColumn("char_start", F.col("char_end") - n)
 
 
-def insert_bos(tokens: Column, bos: str = "<bos>", bos_id: int = 2, label: str = "special") -> Column:
-    """Puts a begin mark with an empty span in front of a token array (text, start, end)."""
-    return F.concat(
-        F.array(F.struct(F.lit(bos).alias("text"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), tokens
-    )
+def insert_bos(tokens: DataFrame, texts: DataFrame, key: list[str], bos: str = "<bos>") -> DataFrame:
+    """Puts a begin mark with an empty span at position 0 of every text, also of texts without tokens; the others move
+    up by one."""
+    zero = F.lit(0).cast("long")
+    marks = texts.select(*key, F.lit(0).alias("token_pos"), F.lit(bos).alias("token_text"), zero.alias("char_end"), zero.alias("char_start"))
+    return marks.unionByName(tokens.withColumn("token_pos", F.col("token_pos") + 1))
 
 
 def label_text_tokens(tokens: DataFrame, exact: bool = False) -> DataFrame:
-    """Adds label and label_id of text tokens from the classes of their characters."""
-    chars = char_labels_exact("token_text") if exact else char_labels(F.col("token_text"))
-    return tokens.withColumn("label", select_text_label(chars)).withColumn("label_id", label_id(F.col("label"), TEXT_LABELS))
+    """Adds label and label_id of text tokens from the classes of their characters; ``exact`` by Python's rules for
+    numerals outside the decimal digits, otherwise inside the JVM."""
+    label = text_label_exact("token_text") if exact else select_text_label(char_labels(F.col("token_text")))
+    return tokens.withColumn("label", label).withColumn("label_id", label_id(F.col("label"), TEXT_LABELS))
 
 
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:

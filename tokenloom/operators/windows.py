@@ -48,15 +48,14 @@ def last_write_before(df: DataFrame, sequence: Sequence[str], key: Column | str,
     return F.last(F.when(is_write, value), ignorenulls=True).over(frame)
 
 
-def running_total(df: DataFrame, major: str, minor: str, value: str, name: str, buckets: int = 1024, before: Column | None = None) -> DataFrame:
+def running_total(df: DataFrame, major: str, minor: str, value: str, name: str, buckets: int = 1024) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows up to this one, ordered by (``major``, ``minor``).
 
-    ``minor`` is a unique 64-bit hash. A global window would put all rows into one task; instead rows are cut into
+    ``minor`` is a unique hash from 0 to 2**60 (``spread_key``). A global window would put all rows into one task; instead rows are cut into
     ``buckets`` of the hash, ordered as the rows are. Bucket totals (at most buckets per value of ``major``) get their
     prefix sums in a small window and are joined back; the rest runs bucket by bucket.
     """
-    width = (1 << 64) // buckets
-    bucket = F.floor((F.col(minor).cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+    bucket = F.floor(F.col(minor) / F.lit((1 << 60) // buckets)).cast("int")
     cut = df.withColumn("_bucket", bucket)
     totals = cut.groupBy(major, "_bucket").agg(F.sum(value).alias("_sum"))
     ahead = Window.orderBy(major, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,6 +66,12 @@ def running_total(df: DataFrame, major: str, minor: str, value: str, name: str,
     return joined.withColumn(name, F.col("_before") + F.sum(value).over(inner)).drop("_before", "_bucket", "_major", "_b")
 
 
+def spread_key(key: Column, seed: int = 0) -> Column:
+    """A number from 0 to 2**60 by which rows come in random but fixed order: 15 hex digits of the digest of seed and
+    key. The same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def token_budget(
     samples: DataFrame,
     source_order: str,
@@ -81,7 +86,7 @@ def token_budget(
     At most ``max_per_source`` samples of a source count; the sample that crosses the target is kept; a target of zero
     or less means no limit. The shuffle is a hash of seed and id, so the choice is the same on every run.
     """
-    rows = samples.withColumn("_h", F.xxhash64(F.lit(seed), F.col(sample_id))).withColumn("_one", F.lit(1))
+    rows = samples.withColumn("_h", spread_key(F.col(sample_id), seed)).withColumn("_one", F.lit(1))
     ranked = running_total(rows, source_order, "_h", "_one", "_all")
     start = ranked.groupBy(F.col(source_order).alias("_s")).agg(F.min("_all").alias("_first"))
     capped = ranked.join(F.broadcast(start), F.col(source_order).eqNullSafe(F.col("_s"))).where(F.col("_all") - F.col("_first") < max_per_source)  # one row per source
