@@ -31,3 +31,8 @@ def group_key(idx: Column) -> Column:
 def threshold_column(threshold: float) -> str:
     """Name of the column that counts activations at or above a threshold: 0.1 gives ``sae_active_ge_0_1``."""
     return "sae_active_ge_" + str(float(threshold)).replace("-", "neg_").replace(".", "_")
+
+
+def spread_or_none(key: Column, seed: int = 0) -> Column:
+    """A short fixed name for a record without an id: 15 hex digits of the digest of seed and content."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary")), 1, 15)

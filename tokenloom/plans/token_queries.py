@@ -241,9 +241,9 @@ SQL = {
         UNION ALL SELECT idx, 0, '<bos>', true FROM s""",
     "text_labels": f"""
         WITH {_TOK}, ch AS (SELECT idx, token_pos, unnest(regexp_extract_all(token_text, '(?s).')) AS c, unnest(range(1, length(token_text) + 1)) AS p FROM t),
-        k AS (SELECT idx, token_pos, p, CASE WHEN regexp_full_match(c, '[\\s\\x1c-\\x1f\\x0b\\x85\\p{{Z}}]') THEN 'whitespace' WHEN regexp_full_match(c, '\\p{{L}}') THEN 'word'
+        kk AS (SELECT idx, token_pos, p, CASE WHEN regexp_full_match(c, '[\\s\\x1c-\\x1f\\x0b\\x85\\p{{Z}}]') THEN 'whitespace' WHEN regexp_full_match(c, '\\p{{L}}') THEN 'word'
               WHEN regexp_full_match(c, '[\\p{{Nd}}²³¹⁰⁴-⁹₀-₉①-⑨]') THEN 'number' WHEN regexp_full_match(c, '\\p{{N}}') THEN 'other' ELSE 'punctuation' END AS l FROM ch),
-        g AS (SELECT idx, token_pos, l, count(*) AS n, max(p) AS hi, l NOT IN ('whitespace', 'other') AS strong FROM k GROUP BY ALL),
+        g AS (SELECT idx, token_pos, l, count(*) AS n, max(p) AS hi, l NOT IN ('whitespace', 'other') AS strong FROM kk GROUP BY ALL),
         w AS (SELECT idx, token_pos, first(l ORDER BY strong DESC, n DESC, hi) AS l, count(*) AS kinds FROM g GROUP BY idx, token_pos),
         z AS (SELECT w.idx, w.token_pos, CASE WHEN kinds > 1 AND l <> 'whitespace' THEN 'mixed' ELSE l END AS label, char_end FROM w JOIN t ON t.idx = w.idx AND t.token_pos = w.token_pos)
         SELECT label, list_position(['special', 'whitespace', 'word', 'number', 'punctuation', 'mixed', 'other'], label) - 1 AS label_id, count(*) AS n, sum(char_end)::BIGINT AS sum_end FROM z GROUP BY label""",
