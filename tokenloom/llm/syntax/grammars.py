@@ -22,7 +22,8 @@ C = (
     """
 Unit = External* ;
 External = ';' | Declaration | FunctionDef | StaticAssert | Asm | '__extension__' External ;
-FunctionDef = Specs Declarator Attr* Block ;
+FunctionDef = Specs FnDeclarator Attr* Block ;
+FnDeclarator = Pointer* (Id | '(' Attr* Declarator ')') Suffix* '(' Params? ')' Suffix* ;
 Declaration = Specs InitDeclarators? ';' ;
 LocalDecl = Declaration | StaticAssert ;
 InitDeclarators = InitDeclarator (',' InitDeclarator)* ;
@@ -54,7 +55,7 @@ InitList = '{' (InitItem (',' InitItem)* ','?)? '}' ;
 InitItem = (Designator+ '=' | Id ':')? Init ;
 Designator = '[' CondExpr ('...' CondExpr)? ']' | '.' Id ;
 BlockItem = LocalDecl | Stmt | NestedFunction ;
-NestedFunction = 'auto'? Specs Declarator Block ;
+NestedFunction = 'auto'? Specs FnDeclarator Block ;
 Cond = Expr ;
 ForHead = (Expr? ';' | Declaration) Expr? ';' Expr? ;
 Expr = Assign (',' Assign)* ;
@@ -76,7 +77,7 @@ StrParts = STR (STR | Id)* | Id STR+ (STR | Id)* ;
 
 #: Before C99: functions without a type, parameters declared behind the list.
 C_OLD = (
-    C.replace("FunctionDef = Specs Declarator Attr* Block ;", "FunctionDef = Specs? Declarator Attr* Declaration* Block ;")
+    C.replace("FunctionDef = Specs FnDeclarator Attr* Block ;", "FunctionDef = Specs? FnDeclarator Attr* Declaration* Block ;")
 )
 
 CPP = (
@@ -116,7 +117,7 @@ MemberDecl = ('public' | 'protected' | 'private' | Id) ':' | ';' | Using | Templ
 MemberVar = Specs (MemberDeclarator (',' MemberDeclarator)*)? ';' | 'friend' Elaborated ';' ;
 MemberDeclarator = Declarator FnTail (Init | ':' Assign Init?)? | ':' Assign ;
 CtorDef = Qual* '~'? Id '(' Params? ')' FnTail FnBody | Qual* 'operator' TypeId '(' ')' FnTail FnBody ;
-FunctionDef = Specs Declarator FnTail FnBody2 | Qual* '::'? (Part '::')+ ('~'? Id | 'operator' TypeId) '(' Params? ')' FnTail FnBody ;
+FunctionDef = Specs PtrOp* (DeclName | '(' Declarator ')') Suffix* '(' Params? ')' Suffix* FnTail FnBody2 | Qual* '::'? (Part '::')+ ('~'? Id | 'operator' TypeId) '(' Params? ')' FnTail FnBody ;
 FnBody = ';' | FnBody2 | '=' NUM ';' ;
 FnBody2 = (':' MemInit (',' MemInit)*)? Block | 'try' (':' MemInit (',' MemInit)*)? Block Catch+ | '=' ('default' | 'delete') ';' ;
 MemInit = QualId ('(' Args? ')' | InitList) '...'? ;
@@ -268,7 +269,7 @@ Event = 'event' Type (Declr (',' Declr)* ';' | (Name '.')? Id '{' Accessor+ '}')
 Accessor = Attr* ('public' | 'protected' | 'private' | 'internal' | 'readonly')* ('get' | 'set' | 'init' | 'add' | 'remove') FnBody ;
 FnBody = ';' | Block | '=>' ('ref'? Expr | 'throw' Expr) ';' ;
 Params = Param (',' Param)* ;
-Param = Attr* ('this' | 'ref' | 'out' | 'in' | 'params' | 'scoped' | 'readonly')* Type Id? ('=' Expr)? ;
+Param = Attr* ('this' | 'ref' | 'out' | 'in' | 'params' | 'scoped' | 'readonly')* Type Id ('=' Expr)? ;
 Type = ('ref' 'readonly'?)? TypeCore TypeSuffix* ;
 TypeCore = Prim | Name | TupleType | 'void' | 'delegate' '*' ('managed' | 'unmanaged')? '<' Type (',' Type)* '>' ;
 TupleType = '(' Type Id? (',' Type Id?)+ ')' ;
@@ -331,7 +332,7 @@ Spec = ModName ('as' ModName)? ;
 ModName = Id | STR | Reserved ;
 Export = 'export' ('*' ('as' ModName)? 'from' STR Semi | Named ('from' STR)? Semi | Decl | VarStmt | 'default' (Function | Class | Expr1 Semi)) ;
 Semi = ';' | @asi ;
-Stmt = Block | VarStmt | Decl | ';' | Expr Semi | 'if' '(' Expr ')' Stmt ('else' Stmt)? | 'for' 'await'? '(' ForHead ')' Stmt | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';'?
+Stmt = Block | VarStmt | Decl | ';' | ExprStmt Semi | 'if' '(' Expr ')' Stmt ('else' Stmt)? | 'for' 'await'? '(' ForHead ')' Stmt | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';'?
   | 'continue' Id? Semi | 'break' Id? Semi | 'return' Expr? Semi | 'with' '(' Expr ')' Stmt | 'switch' '(' Expr ')' '{' (('case' Expr | 'default') ':' Stmt*)* '}' | Id ':' Stmt | 'throw' Expr Semi
   | 'try' Block ('catch' ('(' Binding ')')? Block ('finally' Block)? | 'finally' Block) | 'debugger' Semi ;
 Block = '{' Item* '}' ;
@@ -349,16 +350,22 @@ Decorator = '@' (Id ('.' Id)* ('(' Args? ')')? | '(' Expr ')') ;
 ClassItem = Decorator* 'static'? ('async'? '*'? PropName Params Block | ('get' | 'set') PropName Params Block | PropName ('=' Expr1)? Semi) | 'static' Block ;
 PropName = Id | Reserved | STR | NUM | '[' Expr1 ']' ;
 Expr = Expr1 (',' Expr1)* ;
-Expr1 = Arrow | 'yield' ('*'? Expr1)? | Unary (BinOp (Unary | Arrow) | '?' Expr1 ':' (Unary | Arrow) | AssignOp 'yield' ('*'? Expr1)?)* ;
-Arrow = 'async'? (Id | Params) '=>' (Block | Expr1) ;
+Expr1 = Arrow | 'yield' ('*'? Expr1)? | Unary ExprTail ;
+ExprStmt = Expr1NoBrace (',' Expr1)* ;
+Expr1NoBrace = Arrow | 'yield' ('*'? Expr1)? | UnaryNoBrace ExprTail ;
+UnaryNoBrace = PrefixOp Unary | PrimaryNoBrace Tail* ('++' | '--')? ;
+PrefixOp = '++' | '--' | '+' | '-' | '~' | '!' | 'typeof' | 'void' | 'delete' | 'await' ;
+ExprTail = (BinOp (Unary | Arrow) | '?' Expr1 ':' (Unary | Arrow) | AssignOp 'yield' ('*'? Expr1)?)* ;
+Arrow = 'async'? (Id | Params) '=>' (Block | Expr1NoBrace | (Function | Class) Tail* ExprTail) ;
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '>>>=' | '**=' | '&&=' | '||=' | '??=' ;
 BinOp = AssignOp | '+' | '-' | '*' | '/' | '%' | '**' | '<<' | '>>' | '>>>' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&' | '^' | '|' | '&&' | '||' | '??' | 'in' | 'instanceof' ;
-Unary = ('++' | '--' | '+' | '-' | '~' | '!' | 'typeof' | 'void' | 'delete' | 'await') Unary | Member ('++' | '--')? ;
+Unary = PrefixOp Unary | Member ('++' | '--')? ;
 Member = Primary Tail* ;
 Tail = ('.' | '?.') (Id | Reserved) | '?.'? '[' Expr ']' | '?.'? '(' Args? ')' | Template | '?.' Template ;
 Args = Arg (',' Arg)* ','? ;
 Arg = '...'? Expr1 ;
-Primary = Id | NUM | STR | REGEX | Template | 'this' | 'super' | 'null' | 'true' | 'false' | '(' Expr ')' | Array | Object | Function | Class | 'new' (Member | '.' 'target') | 'import' ('.' 'meta' | '(' Args ')') ;
+Primary = PrimaryNoBrace | Object | Function | Class ;
+PrimaryNoBrace = Id | NUM | STR | REGEX | Template | 'this' | 'super' | 'null' | 'true' | 'false' | '(' Expr ')' | Array | 'new' (Member | '.' 'target') | 'import' ('.' 'meta' | '(' Args ')') ;
 Template = TPL_FULL | TPL_HEAD Expr (TPL_MID Expr)* TPL_TAIL ;
 Array = '[' (Arg? ',')* Arg? ']' ;
 Object = '{' (Prop (',' Prop)* ','?)? '}' ;
@@ -456,7 +463,7 @@ Pattern = '*' Id | OrPattern ('as' Id)? ;
 OrPattern = ClosedPattern ('|' ClosedPattern)* ;
 ClosedPattern = '-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | Dotted ('(' (PatArg (',' PatArg)* ','?)? ')')? | '(' Patterns? ')' | '[' Patterns? ']' | '{' (PatItem (',' PatItem)* ','?)? '}' ;
 PatArg = (Id '=')? Pattern ;
-PatItem = '**' Id | ('-'? NUM | STR+ | 'None' | 'True' | 'False' | Dotted) ':' Pattern ;
+PatItem = '**' Id | ('-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | Dotted) ':' Pattern ;
 TypeParams = '[' TypeParam (',' TypeParam)* ','? ']' ;
 TypeParam = ('*' | '**')? Id (':' Expr)? ('=' '*'? Expr)? ;
 Params = PlainParams (',' '/' (',' PlainParams)?)? (',' StarParams)? ','? | PlainParams ',' '/' ',' StarParams ','? | StarParams ','? ;

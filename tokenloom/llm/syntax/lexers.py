@@ -64,6 +64,12 @@ _MASTERS = {
 }
 
 
+def _never(name: str, rest: str, family: str) -> bool:
+    """A condition that is known not to hold: a constant, or C++ asked for in C."""
+    rest = rest.strip()
+    return (name == "if" and rest in ("0", "false")) or (family == "c" and name in ("if", "ifdef") and re.fullmatch(r"(defined\W*)?__cplusplus\W*", rest) is not None)
+
+
 def c_like(text: str, g: Grammar, family: str) -> Tokens:
     """C, C++, Java, C#. Of conditional directives the first branch counts, the second after ``#if 0``."""
     match = _MASTERS[family].match
@@ -106,7 +112,7 @@ def c_like(text: str, g: Grammar, family: str) -> Tokens:
             if name and name not in directives:
                 raise LexError(at)
             if name in ("if", "ifdef", "ifndef"):
-                live = (not opened or opened[-1][0]) and not (name == "if" and d[2].strip() in ("0", "false"))
+                live = (not opened or opened[-1][0]) and not _never(name, d[2], family)
                 opened.append([live, live or bool(opened and not opened[-1][0])])
             elif name in ("elif", "else", "elifdef", "elifndef"):
                 if not opened:
@@ -215,7 +221,7 @@ def javascript(text: str, g: Grammar) -> Tokens:
 
 _PHP_OPEN = re.compile(r"<\?(?:php(?=\s|\Z)|=|(?=\s))", re.I)
 _PHP = re.compile(
-    rf"""(?P<blank>(?>\s+|(?://|\#(?!\[))(?:(?!\?>)[^\n])*|/\*.*?\*/)*+)(?:(?P<close>\?>\n?)|(?P<var>\$[^\W\d]\w*)|(?P<here><<<[ \t]*(?P<hq>['"]?)(?P<tag>[^\W\d]\w*)(?P=hq)\r?\n)|(?P<id>\\?{_IDENT}(?:\\{_IDENT})*)"""
+    rf"""(?P<blank>(?>\s+|(?://|\#(?!\[))(?:(?!\?>)[^\n])*|/\*.*?\*/)*+)(?:(?P<close>\?>\n?)|(?P<var>\$[^\W\d]\w*)|(?P<here><<<[ \t]*(?P<hq>['"]?)(?P<tag>[^\W\d]\w*)(?P=hq)\r?\n)|(?P<id>\\?{_IDENT}(?:\\{_IDENT})*(?:\\(?=\{{))?)"""
     rf"""|(?P<num>{_NUMBER_PHP})|(?P<str>[bB]?"(?:[^"\\]|\\.)*"|[bB]?'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<bad>/\*)|(?P<cast>\([ \t]*(?:int|integer|bool|boolean|float|double|real|string|array|object|unset|binary)[ \t]*\))"""
     r"""|(?P<op>\#\[|\?->|\?\?=|<=>|\*\*=|\.\.\.|===|!==|<<=|>>=|->|=>|::|\+\+|--|<<|>>|<=|>=|==|!=|<>|&&|\|\||\?\?|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|\*\*|[-+*/%&|^~!<>=?:;,.(){}\[\]@$])|(?P<end>\Z))""".replace("\n  ", ""),
     re.S | re.I,
@@ -291,6 +297,62 @@ _PY = re.compile(
     re.S,
 )
 _PY_OLD = re.compile(_PY.pattern.replace(r"(?P<op>", r"(?P<op><>|`|").replace(r"|0[oO](?:_?[0-7])+", r"|0[oO]?[0-7]+[lL]?(?![.\deE])|[1-9]\d*[lL]").replace(r"(?:[rR][bBfFtT]?", r"(?:[uUbB][rR]?|[rR][bBfFtT]?"), re.S)
+_PY_STRING = re.compile(r"""([A-Za-z]{0,2})('''|\"\"\"|'|")""")
+
+
+def _formatted_end(text: str, pos: int) -> int:
+    """End of the formatted string that begins at ``pos``: its fields may hold strings with the same quotes. -1 if it
+    does not end."""
+    head = _PY_STRING.match(text, pos)
+    quote, at, n = head[2], head.end(), len(text)
+    fields: list[int] = []  # open brackets within each open field, -1: in its format
+    while at < n:
+        c = text[at]
+        inside = bool(fields) and fields[-1] >= 0
+        if not inside:
+            if c == "\\":
+                at += 2
+            elif not fields and text.startswith(quote, at):
+                return at + len(quote)
+            elif c == "\n" and len(quote) == 1:
+                return -1
+            elif text.startswith("{{", at) and not fields:
+                at += 2
+            elif c == "{":
+                fields.append(0)
+                at += 1
+            elif c == "}" and fields:
+                fields.pop()
+                at += 1
+            else:
+                at += 1
+            continue
+        string = _PY_STRING.match(text, at)
+        if string and not (text[at - 1].isalnum() or text[at - 1] == "_"):
+            if "f" in string[1].lower() or "t" in string[1].lower():
+                at = _formatted_end(text, at)
+            else:
+                m = _PY.match(text, at)
+                at = m.end() if m and m.lastgroup == "str" else -1
+            if at < 0:
+                return -1
+        elif c in "([{":
+            fields[-1] += 1
+            at += 1
+        elif c in ")]}" and fields[-1]:
+            fields[-1] -= 1
+            at += 1
+        elif c == "}":
+            fields.pop()
+            at += 1
+        elif c == ":" and not fields[-1]:
+            fields[-1] = -1
+            at += 1
+        else:
+            at += 1
+    return -1
+
+
 _GLUE_WORDS = frozenset("and or if else in is for not".split())
 
 
@@ -377,5 +439,8 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
             kind = number
         else:
             kind = string
+            if text[at] in "fFtT" or text[at + 1] in "fFtT":
+                end = _formatted_end(text, at)
+                pos = end if end > 0 else pos
         kinds.append(kind)
         places.append(at)
