@@ -27,9 +27,9 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
 
     At most 1/share rows come out; an empty table has none.
     """
-    inverse = round(1 / share)
-    if not 1 <= inverse <= MAX_SHARE_DENOMINATOR:
+    if not 1 / MAX_SHARE_DENOMINATOR <= share <= 1:
         raise ValueError("share must lie between 1/10000 and 1")
+    inverse = round(1 / share)
     total = df.agg(F.count(F.lit(1)).alias("n_all"))
     return (
         key_counts(df, key)
