@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions.binding import bind
 from tokenloom.functions.ids import threshold_column
 
 
@@ -48,7 +49,7 @@ def vector_statistics(vector: Column, pairs: Column, thresholds: Sequence[float]
     mean = F.try_divide(total, n)
     l1 = fold(lambda a, x: a + F.greatest(x, F.lit(0.0)))
     top_sum = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["activation"])
-    variance = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), n)
+    variance = bind(mean, lambda m: F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), n))
     out = [
         n.cast("long").alias("sae_width"),
         F.size(F.filter(values, lambda x: x > 0)).cast("long").alias("sae_l0_positive"),

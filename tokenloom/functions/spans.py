@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tokenloom.functions.binding import bind
+
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Spans without their ends share a place."""
@@ -42,7 +44,7 @@ def visible_declarations(declarations: Column, scope: Column, position: Column)
     ranked = F.array_sort(
         F.transform(seen, lambda d, i: F.struct(d["name"].alias("n"), (-d["depth"]).alias("d"), (-d["start"]).alias("s"), i.alias("i"), d.alias("r")))
     )
-    first = F.filter(ranked, lambda x, i: (i == 0) | (F.get(ranked, i - 1)["n"] != x["n"]))
+    first = bind(ranked, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["n"] != x["n"])))
     ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["d"].alias("d"), x["r"]["start"].alias("s"), x["n"].alias("n"), x["r"].alias("r"))))
     return F.transform(ordered, lambda x: x["r"])
 
@@ -50,7 +52,6 @@ def visible_declarations(declarations: Column, scope: Column, position: Column)
 def token_at_char(tokens: Column, place: Column) -> Column:
     """Position of the first token (start, end) that holds a character, else of the first non-empty one that ends
     behind it, else null."""
-    numbered = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t["start"].alias("start"), t["end"].alias("end")))
-    inside = F.get(F.filter(numbered, lambda t: (t["start"] <= place) & (place < t["end"])), 0)["i"]
-    behind = F.get(F.filter(numbered, lambda t: (t["end"] > place) & (t["start"] != t["end"])), 0)["i"]
-    return F.coalesce(inside, behind).cast("long")
+    inside = F.array_position(F.transform(tokens, lambda t: (t["start"] <= place) & (place < t["end"])), True)
+    behind = F.array_position(F.transform(tokens, lambda t: (t["end"] > place) & (t["start"] != t["end"])), True)
+    return F.coalesce(F.nullif(inside, F.lit(0)), F.nullif(behind, F.lit(0))) - 1

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom.functions import labels, spans
+from tokenloom.functions.binding import bind
 from tokenloom.functions.syntax import ParserRegistry, analyse
 from tokenloom.functions.tokenizers import PatternTokenizer, Tokenizer
 from tokenloom.operators.lexing import lexer_runs
@@ -44,7 +45,13 @@ class _Touching:
         self.reach = list(accumulate((r["end"] for _, r in self.records), max))
 
     def __call__(self, start: int, end: int) -> list[dict]:
+        if not self.records:
+            return []
         lo, hi = bisect_right(self.reach, start), bisect_left(self.starts, end)
+        if hi - lo == 1:  # by far the most frequent case; the reach of the only one passes the start
+            return [self.records[lo][1]]
+        if hi <= lo:
+            return []
         return [r for _, r in sorted((x for x in self.records[lo:hi] if x[1]["end"] > start), key=lambda x: x[0])]
 
 
@@ -52,13 +59,18 @@ def _scopes_at(scopes: list[dict], places: list[int]) -> Iterator[dict]:
     """The innermost scope at each of the ascending places; ends count as inside."""
     waiting = sorted(scopes, key=lambda s: s["start"])
     active: list[dict] = []
+    best = None
     k = 0
     for p in places:
+        changed = best is None or best["end"] < p
         while k < len(waiting) and waiting[k]["start"] <= p:
             active.append(waiting[k])
             k += 1
-        active = [s for s in active if s["end"] >= p]
-        yield min(active or scopes[:1], key=lambda s: (-s["depth"], s["end"] - s["start"], s["scope_id"]))
+            changed = True
+        if changed:
+            active = [s for s in active if s["end"] >= p]
+            best = min(active or scopes[:1], key=lambda s: (-s["depth"], s["end"] - s["start"], s["scope_id"]))
+        yield best
 
 
 def parse_snippet(code: str, language: str, tokenizer: Tokenizer, registry: ParserRegistry) -> dict:
@@ -128,21 +140,18 @@ def annotate_tokens(snippets: DataFrame, tokenizer: Tokenizer | None = None, reg
     """
     parsed = parse_snippets(snippets, tokenizer, registry)
     keep = [*IDENTITY, "status", "error", "declarations"] + (["code"] if include_code else [])
-    spread = F.struct(F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("spans"))
-    with_places = parsed.withColumn(
-        "declaration_places",
-        F.transform("declarations", lambda d: F.struct(_key(d).alias("key"), spans.token_at_char(spread["spans"], d["start"]).alias("pos"))),
-    )
+    starts = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    places = bind(starts, lambda own: F.transform("declarations", lambda d: F.struct(_key(d).alias("key"), spans.token_at_char(own, d["start"]).alias("pos"))))
+    with_places = parsed.withColumn("declaration_places", places)
     rows = with_places.select(*keep, "declaration_places", parsed["code"].alias("_code"), F.posexplode("tokens").alias("token_pos", "t"))
     t = F.col("t")
     start, end = t["start"], t["end"]
     empty = start == end
     text = labels.token_text(F.col("_code"), start.cast("int"), end.cast("int"))
-    special = F.lit("Token.Special")
     simple = labels.select_code_label(spans.run_labels(t["runs"], start, end, "simple"))
-    full_runs = spans.run_labels(t["runs"], start, end, "label")
-    plain = F.filter(full_runs, lambda x: ~(x.startswith("Token.Text")))
-    full = F.when(empty, special).otherwise(labels.vote_first_seen(F.when(F.size(plain) > 0, plain).otherwise(full_runs), F.lit("other")))
+    full = F.when(empty, F.lit("Token.Special")).otherwise(
+        labels.select_code_label(spans.run_labels(t["runs"], start, end, "label"), weak=lambda x: x.startswith("Token.Text"), special="Token.Special")
+    )
     path = F.when(empty, F.lit("special")).otherwise(labels.vote_first_seen(spans.run_labels(t["leaves"], start, end, "path"), F.lit("")))
     leaf = F.when(empty, F.lit("special")).otherwise(labels.vote_first_seen(spans.run_labels(t["leaves"], start, end, "label"), F.lit("")))
     identifier = F.when(empty, F.lit("")).otherwise(labels.vote_first_seen(spans.run_labels(t["leaves"], start, end, "name"), F.lit("")))

@@ -31,6 +31,11 @@ def hook_name(layer: int, kind: str = "resid_post", named: str | None = None) ->
     return f"blocks.{layer}.hook_{kind}"
 
 
+@functools.lru_cache(maxsize=100_000)
+def _seeded(seed: int, width: int, i: int) -> np.ndarray:
+    return np.random.default_rng([seed, i]).standard_normal(width).astype(np.float32)
+
+
 class SeededProvider(NamedTuple):
     """Vectors drawn from a seed and the token id: for tests and dry runs."""
 
@@ -38,7 +43,7 @@ class SeededProvider(NamedTuple):
     seed: int = 0
 
     def __call__(self, ids: list[int]) -> np.ndarray:
-        return np.stack([np.random.default_rng([self.seed, i]).standard_normal(self.width) for i in ids]).astype(np.float32) if ids else np.empty((0, self.width), np.float32)
+        return np.stack([_seeded(self.seed, self.width, i) for i in ids]) if ids else np.empty((0, self.width), np.float32)
 
 
 _ACTIVATION_COLUMNS = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,39 +47,47 @@ def feature_indicators(df: DataFrame, top_k: int = 5, snippet_id_col: str | None
     )
 
 
-def _tile(left: list, right: list, same: bool, mode: str) -> list[tuple[str, str, float, int]]:
+class _Side(NamedTuple):
+    """A block's sets as flat arrays: unit and language of each, its features one after another with their row."""
+
+    unit: np.ndarray
+    language: np.ndarray
+    rows: np.ndarray
+    features: np.ndarray
+
+    @staticmethod
+    def of(lists: pa.ListArray) -> _Side:
+        structs = lists.flatten()
+        sets = structs.field("features")
+        return _Side(
+            structs.field("unit").to_numpy(zero_copy_only=False),
+            structs.field("language").to_numpy(zero_copy_only=False),
+            np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False)),
+            sets.flatten().to_numpy(zero_copy_only=False),
+        )
+
+
+def _tile(a: _Side, b: _Side, same: bool, mode: str) -> list[tuple[str, str, float, int]]:
     """Sums of Jaccard similarities and pair counts per pair of languages, over one tile of the all-pairs product."""
+    place, number = np.unique(np.concatenate([a.features, b.features]), return_inverse=True)
 
-    def matrix(rows: list, place: dict[int, int]) -> np.ndarray:
-        m = np.zeros((len(rows), max(1, len(place))), np.float32)
-        for i, r in enumerate(rows):
-            for f in r["features"]:
-                m[i, place[f]] = 1
+    def matrix(side: _Side, columns: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(side.unit), max(1, len(place))), np.float32)
+        m[side.rows, columns] = 1
         return m
 
-    place = {f: i for i, f in enumerate({f for r in left for f in r["features"]} | {f for r in right for f in r["features"]})}
-    a = matrix(left, place)
-    b = a if same else matrix(right, place)
-    both = (a @ b.T).astype(np.float64)
-    union = a.sum(1)[:, None] + b.sum(1)[None, :] - both
+    x, y = matrix(a, number[: len(a.features)]), matrix(b, number[len(a.features) :])
+    both = (x @ y.T).astype(np.float64)
+    union = x.sum(1)[:, None] + y.sum(1)[None, :] - both
     value = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-    valid = np.ones(value.shape, bool)
-    if same:
-        valid = np.triu(valid, 1)  # each unordered pair once, no set with itself
-    ids = {}
+    valid = np.triu(np.ones(value.shape, bool), 1) if same else np.ones(value.shape, bool)  # each unordered pair once
     if mode == "other_snippets":
-        number = lambda rows: np.array([ids.setdefault(r["unit"], len(ids)) for r in rows])
-        valid &= number(left)[:, None] != number(right)[None, :]
-    names: dict[str, int] = {}
-    la = np.array([names.setdefault(r["language"], len(names)) for r in left])
-    lb = np.array([names.setdefault(r["language"], len(names)) for r in right])
-    back = list(names)
-    out = []
-    for x in np.unique(la):
-        for y in np.unique(lb):
-            v = valid[np.ix_(la == x, lb == y)]
-            out.append((back[x], back[y], float(value[np.ix_(la == x, lb == y)][v].sum()), int(v.sum())))
-    return out
+        valid &= a.unit[:, None] != b.unit[None, :]
+    la, ia = np.unique(a.language.astype(str), return_inverse=True)
+    lb, ib = np.unique(b.language.astype(str), return_inverse=True)
+    pick_a, pick_b = np.eye(len(la))[ia], np.eye(len(lb))[ib]
+    sums, counts = pick_a.T @ (value * valid) @ pick_b, pick_a.T @ valid @ pick_b
+    return [(la[i], lb[j], float(sums[i, j]), int(counts[i, j])) for i in range(len(la)) for j in range(len(lb))]
 
 
 def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode: str = "other_snippets", block: int = BLOCK_SETS) -> DataFrame:
@@ -95,12 +104,14 @@ def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode:
     blocks = rows.groupBy(where.alias("block")).agg(F.collect_list(F.struct("unit", "language", "features")).alias("rows"))
     partners = blocks.select(F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1).cast("bigint"))).alias("other"), "block", F.col("rows").alias("left"))
     pairs = partners.join(blocks.select(F.col("block").alias("other"), F.col("rows").alias("right")), "other")
+    # A tile is much work and few bytes: tasks follow the number of tiles.
+    pairs = pairs.repartition(max(1, min(10_000, n_blocks * (n_blocks + 1) // 16)), "block", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                t = _tile(r["left"], r["right"], r["block"] == r["other"], mode)
+                block_, other, left, right = (batch.column(c).slice(i, 1) for c in range(4))
+                t = _tile(_Side.of(left), _Side.of(right), block_[0].as_py() == other[0].as_py(), mode)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[k] for x in t], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))],
                     names=["x", "y", "total", "n"],

@@ -22,6 +22,7 @@ def lexer_of(language: str):
         raise ValueError(f"no lexer for {language}") from None
 
 
+@functools.lru_cache(maxsize=4096)
 def simple_label(label: str) -> str:
     return next((LEXER_PREFIXES[p] for p in _BY_LENGTH if label.startswith(p)), "other")
 
