@@ -16,6 +16,7 @@ import re
 from collections.abc import Sequence
 
 CALL, BRANCH, RETURN, NEWLINE_OK = -1, -2, -3, -4
+MATCHED, DEAD, OPEN = 1, 0, 2
 EOF = "<eof>"
 IDENT = "IDENT"
 
@@ -197,20 +198,131 @@ class Grammar:
         self.op, self.arg, self.entry = op, arg, entry
         self.start = entry[names[0]]
         self.closing = {self.kinds[x] for x in ("}", EOF) if x in self.kinds}
+        self.first, self.ends, self.follow, self.owner = first, ends, follow, owner
+        #: (slot, token, next token) -> what follows without a choice, and the ways of a fork that the next token leaves
+        #: open; filled as texts need them.
+        self.straight: dict[tuple[int, int, int], tuple] = {}
+        self.open: dict[tuple[int, int, int], tuple[int, ...]] = {}
+        self._second: dict[tuple[int, int], set[int] | None] = {}
+
+    def second(self, slot: int, t: int) -> set[int] | None:
+        """Tokens that can stand behind ``t`` on the ways from ``slot`` that match it; None if that is not known."""
+        key = (slot, t)
+        if key not in self._second:
+            self._second[key] = self._find_second(slot, t)
+        return self._second[key]
+
+    def _find_second(self, slot: int, t: int) -> set[int] | None:
+        op, arg = self.op, self.arg
+        out: set[int] = set()
+        seen: set[tuple] = set()
+        todo: list[tuple[int, tuple[int, ...]]] = [(slot, ())]
+        while todo:
+            s, back = state = todo.pop()
+            if state in seen:
+                continue
+            seen.add(state)
+            if len(back) > 16 or len(seen) > 3000:
+                return None
+            o = op[s]
+            if o >= 0:
+                if o == t:
+                    out |= self._behind(s + 1, back)
+            elif o == RETURN:
+                if not back:
+                    return None  # the token belongs to whatever called the rule
+                todo.append((back[-1], back[:-1]))
+            elif o == NEWLINE_OK:
+                todo.append((s + 1, back))
+            elif o == CALL:
+                todo.extend((w, (*back, s + 1)) for w in arg[arg[s]].get(t, ()))
+            else:
+                todo.extend((w, back) for w in arg[s].get(t, ()))
+        return out
+
+    def _behind(self, slot: int, back: tuple[int, ...]) -> set[int]:
+        out = set(self.first[slot])
+        while self.ends[slot] and back:
+            slot, back = back[-1], back[:-1]
+            out |= self.first[slot]
+        return out | self.follow[self.owner[slot]] if self.ends[slot] else out
+
+    def ways(self, slot: int, t: int, after: int) -> tuple[int, ...]:
+        """The ways of a fork that two tokens leave open."""
+        key = (slot, t, after)
+        found = self.open.get(key)
+        if found is None:
+            possible = [(w, self.second(w, t)) for w in self.arg[slot].get(t, ())]
+            found = self.open[key] = tuple(w for w, tokens in possible if tokens is None or after in tokens)
+        return found
+
+
+def _run_straight(g: Grammar, slot: int, t: int, after: int) -> tuple:
+    """What token ``t``, before ``after``, leads to from ``slot`` as long as there is one way: (calls, slot, outcome).
+
+    ``calls`` are the (rule, return slot) met on the way. Outcome: MATCHED, the slot behind the token; RETURN, a rule
+    ends at the slot; DEAD; or OPEN, the slot has to be looked at with its node: a fork, a line end, or a rule met twice.
+    """
+    op, arg = g.op, g.arg
+    calls: list[tuple[int, int]] = []
+    seen: set[int] = set()
+    while True:
+        o = op[slot]
+        if o >= 0:
+            return (tuple(calls), slot + 1, MATCHED) if o == t else ((), slot, DEAD)
+        if o == RETURN:
+            return tuple(calls), slot, RETURN
+        if o == NEWLINE_OK:
+            return tuple(calls), slot, OPEN
+        rule = arg[slot] if o == CALL else slot
+        ways = arg[rule].get(t) or ()
+        if len(ways) > 1 and o == BRANCH:
+            ways = g.ways(slot, t, after)
+        if not ways:
+            return (), slot, DEAD
+        if len(ways) > 1 or (o == CALL and rule in seen):
+            return tuple(calls), slot, OPEN
+        if o == CALL:
+            seen.add(rule)
+            calls.append((rule, slot + 1))
+        slot = ways[0]
 
 
 def recognise(g: Grammar, tokens: Sequence[int], line_began: Sequence[bool] | None = None) -> int:
     """-1 if ``tokens`` (kinds, closed by EOF's) form a sentence of ``g``, else the place of the first token that no
     descriptor can take. ``line_began[i]``: a line end stands before token i."""
-    op, arg, closing = g.op, g.arg, g.closing
+    op, arg, closing, straight, opened = g.op, g.arg, g.closing, g.straight, g.open
     root: list = [[], -1]
     now: list[tuple[int, list]] = [(g.start, root)]
     accepted = False
+    n = len(tokens)
     for i, t in enumerate(tokens):
+        after = tokens[i + 1] if i + 1 < n else 0
         nxt: list[tuple[int, list]] = []
-        called: dict[int, list] = {}
-        forked: dict[tuple[int, int], list] = {}  # holds the nodes, so that their ids stay theirs
         accepted = False
+        made: list[tuple[int, list]] = []
+        if len(now) == 1:  # one descriptor: go on without bookkeeping until it forks
+            slot, u = now.pop()
+            while True:
+                step = straight.get((slot, t, after))
+                if step is None:
+                    step = straight[slot, t, after] = _run_straight(g, slot, t, after)
+                calls, slot, outcome = step
+                for rule, back in calls:
+                    u = [[(back, u)], -1]
+                    made.append((rule, u))
+                if outcome == MATCHED:
+                    nxt.append((slot, u))
+                    break
+                if outcome == RETURN and u is not root and u[1] != i and len(u[0]) == 1 and len(made) < 500:
+                    u[1] = i
+                    slot, u = u[0][0]
+                    continue
+                if outcome != DEAD:
+                    now.append((slot, u))
+                break
+        called: dict[int, list] = dict(made)
+        forked: dict[tuple[int, int], list] = {}  # holds the nodes, so that their ids stay theirs
         while now:
             slot, u = now.pop()
             while True:
@@ -242,6 +354,12 @@ def recognise(g: Grammar, tokens: Sequence[int], line_began: Sequence[bool] | No
                     ways = arg[slot].get(t)
                     if ways is None:
                         break
+                    if len(ways) > 1:
+                        ways = opened.get((slot, t, after))
+                        if ways is None:
+                            ways = g.ways(slot, t, after)
+                        if not ways:
+                            break
                     if len(ways) > 1:
                         for way in ways[1:]:
                             key = (way, id(u))
