@@ -246,7 +246,7 @@ SQL = {
         g AS (SELECT idx, token_pos, l, count(*) AS n, max(p) AS hi, l NOT IN ('whitespace', 'other') AS strong FROM kk GROUP BY ALL),
         w AS (SELECT idx, token_pos, first(l ORDER BY strong DESC, n DESC, hi) AS l, count(*) AS kinds FROM g GROUP BY idx, token_pos),
         z AS (SELECT w.idx, w.token_pos, CASE WHEN kinds > 1 AND l <> 'whitespace' THEN 'mixed' ELSE l END AS label, char_end FROM w JOIN t ON t.idx = w.idx AND t.token_pos = w.token_pos)
-        SELECT label, list_position(['special', 'whitespace', 'word', 'number', 'punctuation', 'mixed', 'other'], label) - 1 AS label_id, count(*) AS n, sum(char_end)::BIGINT AS sum_end FROM z GROUP BY label""",
+        SELECT label, list_position(['special', 'whitespace', 'word', 'number', 'punctuation', 'mixed', 'other'], label)::BIGINT - 1 AS label_id, count(*) AS n, sum(char_end)::BIGINT AS sum_end FROM z GROUP BY label""",
     "text_budget": f"""
         WITH {_SAMPLES},
         b AS (SELECT *, len(regexp_extract_all(text, {_P})) AS n_tokens, CAST('0x' || substr(md5('0:' || idx), 1, 15) AS BIGINT) AS h FROM s
@@ -287,7 +287,7 @@ SQL = {
         WITH {_POS}, sc AS (SELECT idx, 0 AS depth, 0 AS b, min(char_start) AS s, max(char_end) AS e FROM pos GROUP BY idx
           UNION ALL SELECT idx, 1, token_pos // 32, min(char_start), max(char_end) FROM pos GROUP BY idx, token_pos // 32
           UNION ALL SELECT idx, 2, token_pos // 8, min(char_start), max(char_end) FROM pos GROUP BY idx, token_pos // 8)
-        SELECT pos.idx, token_pos, depth, b AS block FROM pos JOIN sc ON sc.idx = pos.idx AND s <= char_start AND char_start <= e
+        SELECT pos.idx, token_pos, depth::BIGINT AS depth, b AS block FROM pos JOIN sc ON sc.idx = pos.idx AND s <= char_start AND char_start <= e
         QUALIFY row_number() OVER (PARTITION BY pos.idx, token_pos ORDER BY depth DESC, e - s, b) = 1""",
     "span_labels": f"""
         WITH {_POS}, ch AS (SELECT idx, unnest(range(char_start, char_end)) AS c, char_start AS st, char_end AS en, pygments_simple_type AS l FROM pos WHERE char_end > char_start AND pygments_simple_type IS NOT NULL),
@@ -309,7 +309,7 @@ SQL = {
     "vote_first_reached": _vote("hi"),
     "simplified_labels": "SELECT pygments_type, l AS label, list_position(["
     + ", ".join(f"'{x}'" for x in labels.CODE_LABELS)
-    + "], l) - 1 AS label_id, n FROM (SELECT pygments_type, count(*) AS n, CASE "
+    + "], l)::BIGINT - 1 AS label_id, n FROM (SELECT pygments_type, count(*) AS n, CASE "
     + " ".join(f"WHEN starts_with(pygments_type, '{p}') THEN '{labels.LEXER_PREFIXES[p]}'" for p in sorted(labels.LEXER_PREFIXES, key=len, reverse=True))
     + " ELSE 'other' END AS l FROM token_features GROUP BY pygments_type) x",
     "token_flags": """
