@@ -28,7 +28,8 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rows = _positions(spark, d).withColumn("batch", F.date_format("first_written", "yyyy-MM-dd"))
     days = quantiles.digest(rows, [*GROUPS, "batch"], METRICS)
     whole = quantiles.merge(days.withColumn("batch", F.lit("all")), [*GROUPS, "batch"])
-    return quantiles.read_percentiles(days.unionByName(whole), [*GROUPS, "batch"], PERCENTILES)
+    out = quantiles.read_percentiles(days.unionByName(whole), [*GROUPS, "batch"], PERCENTILES)
+    return out.withColumn("max_rank_error", F.lit(quantiles.RANK_ERROR))  # as a share of n
 
 
 def _checked(spark: SparkSession, d: str, *more: str) -> DataFrame:
