@@ -184,6 +184,44 @@ def test_long_texts_go_in_blocks(spark, rows, monkeypatch):
     assert rows(spans.shared_documents(df, "id", "text")) == sorted(_brute_spans(list(enumerate(docs)), 200), key=repr)
 
 
+def _brute_amounts(docs, n):
+    holders = defaultdict(set)
+    for i, t in docs:
+        for k in range(len(t or "") - n + 1):
+            holders[t[k : k + n]].add(i)
+    out = []
+    for i, t in docs:
+        flags = bytearray(len(t or ""))
+        for k in range(len(t or "") - n + 1):
+            if len(holders[t[k : k + n]]) > 1:
+                flags[k : k + n] = b"\1" * n
+        n_shared = sum(flags)
+        out.append((i, None if t is None else len(t), n_shared, n_shared / len(t) if t else 0.0, len([x for x in bytes(flags).split(b"\0") if x])))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [spans.BLOCK_CHARS, 300])
+@pytest.mark.parametrize("span", [200, 64])
+def test_shared_amounts(spark, rows, monkeypatch, span, block):
+    monkeypatch.setattr(spans, "BLOCK_CHARS", block)
+    rng = np.random.default_rng(span)
+    docs = [_random_text(rng, rng.integers(0, 2000)) for _ in range(25)]
+    for _ in range(40):  # one to three stretches of other documents, some of them too short
+        parts = [_random_text(rng, rng.integers(0, 50))]
+        for _ in range(rng.integers(1, 4)):
+            source = docs[rng.integers(0, len(docs))]
+            at = rng.integers(0, len(source) + 1)
+            parts += [source[at : at + span + [-1, 0, 1, 30, 700][rng.integers(0, 5)]], _random_text(rng, rng.integers(0, 3))]
+        docs.append("".join(parts))
+    notice = _random_text(rng, span + 150)
+    docs += [_random_text(rng, 100) + notice + _random_text(rng, 100) for _ in range(5)]
+    docs += [notice[: span + 60] + "#", "#" + notice[60:], notice[:-1] + "#" + notice[1:]]  # two partners, each with a side
+    docs += [None, "", "x" * 500, "x" * (span - 1), "x" * span, "ab" * 300, docs[0], docs[0], notice + notice]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "id long, text string, marks int")
+    assert rows(spans.shared_amounts(df, "id", "text", span)) == _brute_amounts(list(enumerate(docs)), span)
+    assert spans.shared_amounts(df.limit(0), "id", "text", span).count() == 0
+
+
 def test_no_tokenizer_is_copied():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not [f for _, _, fs in os.walk(os.path.join(root, "tokenloom")) for f in fs if f.endswith((".tiktoken", ".model"))]

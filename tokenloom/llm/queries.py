@@ -131,6 +131,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_documents(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands in other documents, too."""
+    return spans.shared_amounts(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -150,4 +155,5 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_reparameterised": p9_reparameterised,
     "p10_found": p10_found,
+    "p10_shared": p10_shared,
 }

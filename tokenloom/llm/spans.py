@@ -10,6 +10,9 @@ a chunk, without exception.
 Documents with a chunk of another document are candidates; spans are then settled on digests of exactly ``span``
 characters: first of those that begin at a chunk, which settles nearly all long copies, then of every place of what is
 left. All digests are grouped with least and greatest document only, so a group of copies of any size stays one row.
+
+How much of a document is shared is settled chunk by chunk: a chunk whose whole context (all spans that hold it) stands
+in another document needs no closer look; of the others every span is compared.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.session import cut_lineage
@@ -188,21 +191,27 @@ def _shared(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
     )
 
 
-def _span_digests(df: DataFrame, key: str, text: str, span: int, everywhere: bool) -> DataFrame:
+def _marked(block: Block, values: list[tuple], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, piece, digest) of the chunks marked in their text; ``values``: (key, marks) of each piece."""
+    begin, end, piece = _chunks(block, span)
+    digest = block.digest(begin, end, 0)
+    marked = np.zeros(len(digest), bool)
+    bounds = np.searchsorted(piece, np.arange(len(values) + 1))
+    for i, v in enumerate(values):
+        if bounds[i] < bounds[i + 1]:
+            marked[bounds[i] : bounds[i + 1]] = np.isin(digest[bounds[i] : bounds[i + 1]], np.asarray(v[1], np.int64))
+    return begin[marked], end[marked], piece[marked], digest[marked]
+
+
+def _span_digests(df: DataFrame, key: str, text: str, span: int, everywhere: bool, places: bool = False) -> DataFrame:
     """(d0, d1, key[, at]) of ``span`` characters. ``df`` has, besides, ``marks``: the sorted digests of the chunks
     that count. At chunks only: the spans that begin, and those that end, at a marked chunk. ``everywhere``: all spans
-    that hold a marked chunk."""
+    that hold a marked chunk. ``places``: with ``at``, where the span begins in its text."""
+    names = ["d0", "d1", key] + ["at"] * places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, core, values, _ in _blocks(batches, 2 * span):
-            begin, end, piece = _chunks(block, span)
-            digest = block.digest(begin, end, 0)
-            marked = np.zeros(len(digest), bool)
-            bounds = np.searchsorted(piece, np.arange(len(values) + 1))
-            for i, v in enumerate(values):
-                if bounds[i] < bounds[i + 1]:
-                    marked[bounds[i] : bounds[i + 1]] = np.isin(digest[bounds[i] : bounds[i + 1]], np.asarray(v[1], np.int64))
-            begin, end, piece = begin[marked], end[marked], piece[marked]
+        for block, core, values, offset in _blocks(batches, 2 * span):
+            begin, end, piece, _ = _marked(block, values, span)
             if everywhere:
                 flag = np.zeros(len(block.points) + 1, np.int32)
                 lo = np.maximum(end - span, block.starts[piece])
@@ -219,11 +228,29 @@ def _span_digests(df: DataFrame, key: str, text: str, span: int, everywhere: boo
             own = (at >= core[piece, 0]) & (at < core[piece, 1]) if len(at) else np.empty(0, bool)
             at, piece = at[own], piece[own]
             keys = np.array([v[0] for v in values])[piece] if len(piece) else np.empty(0, np.int64)
-            d0, d1 = block.digest(at, at + span, 0), block.digest(at, at + span, 1)
+            columns = [block.digest(at, at + span, 0), block.digest(at, at + span, 1), keys] + ([at + offset[piece]] if places else [])
             for k in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (d0, d1, keys)], names=["d0", "d1", key])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], names=names)
+
+    return df.select(key, text, "marks").mapInArrow(run, ", ".join(f"`{n}` bigint" for n in names))
+
+
+def _contexts(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
+    """(d0, d1, digest, key, at, n): each marked chunk with its context, the ``n`` characters from place ``at`` on that
+    all spans with this chunk lie in. ``df`` has ``marks``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, core, values, offset in _blocks(batches, 2 * span):
+            begin, end, piece, digest = _marked(block, values, span)
+            lo, hi = np.maximum(end - span, block.starts[piece]), np.minimum(begin + span, block.ends[piece])
+            own = (begin >= core[piece, 0]) & (begin < core[piece, 1]) & (hi - lo >= span)
+            lo, hi, piece, digest = lo[own], hi[own], piece[own], digest[own]
+            keys = np.array([v[0] for v in values])[piece] if len(piece) else np.empty(0, np.int64)
+            columns = (block.digest(lo, hi, 0), block.digest(lo, hi, 1), digest, keys, lo + offset[piece], hi - lo)
+            for k in range(0, len(lo), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], names=["d0", "d1", "digest", key, "at", "n"])
 
-    return df.select(key, text, "marks").mapInArrow(run, f"d0 bigint, d1 bigint, `{key}` bigint")
+    return df.select(key, text, "marks").mapInArrow(run, f"d0 bigint, d1 bigint, digest bigint, `{key}` bigint, at bigint, n bigint")
 
 
 def _with_marks(df: DataFrame, marks: DataFrame, key: str, text: str) -> DataFrame:
@@ -232,15 +259,19 @@ def _with_marks(df: DataFrame, marks: DataFrame, key: str, text: str) -> DataFra
     return df.select(key, text).join(lists, key)
 
 
+def _shared_chunks(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
+    """(digest, key): the chunks of each document that another document has, too."""
+    chunks = chunk_digests(df, key, text, span)
+    return cut_lineage(chunks.join(_shared(chunks, ["digest"], key), "digest", "left_semi"))
+
+
 def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
     """(key): the documents that hold at least ``span`` consecutive code points which also stand in another document.
 
     ``key`` is a unique integer. Null, empty and shorter texts hold no span; a repetition within one document is no
     case. Characters are compared by two independent 64-bit digests of exactly ``span`` code points.
     """
-    chunks = chunk_digests(df, key, text, span)
-    shared = _shared(chunks, ["digest"], key)
-    marks = cut_lineage(chunks.join(shared, "digest", "left_semi"))
+    marks = _shared_chunks(df, key, text, span)
     spans = _span_digests(_with_marks(df, marks, key, text), key, text, span, False)
     known = cut_lineage(spans.join(_shared(spans, ["d0", "d1"], key), ["d0", "d1"], "left_semi").select(key).distinct())
     # What is not settled: documents with marks but no such span. Their chunks are looked at everywhere.
@@ -250,3 +281,46 @@ def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
     spans = _span_digests(_with_marks(df, rest, key, text), key, text, span, True)
     late = spans.join(_shared(spans, ["d0", "d1"], key), ["d0", "d1"], "left_semi").select(key).distinct()
     return known.unionByName(late).distinct()
+
+
+def shared_amounts(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
+    """(key, n_chars, n_shared, share, n_spans) of every document: how many of its code points lie in any ``span``
+    consecutive ones that also stand in another document, as a number and a share, and in how many separate stretches.
+
+    ``key`` is a unique integer. A document that shares nothing has 0 of each, so has null text, whose n_chars is null.
+    Compared as in ``shared_documents``, whose documents are those with n_shared > 0.
+    """
+    contexts = _contexts(_with_marks(df, _shared_chunks(df, key, text, span), key, text), key, text, span)
+    groups = contexts.groupBy("d0", "d1").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("first") != F.col("last"))
+    chunks = cut_lineage(contexts.join(groups, ["d0", "d1"], "left").select("digest", key, "at", "n", "first", "last"))
+    # A chunk is open if no other document has its context: its spans are looked at one by one. Of the documents that
+    # agree in a context, two stand for all.
+    is_open = F.col("first").isNull()
+    doubtful = chunks.where(is_open).select("digest").distinct()
+    asked = chunks.where(is_open | (F.col(key) == F.col("first")) | (F.col(key) == F.col("last")))
+    rest = asked.select("digest", key).join(doubtful, "digest", "left_semi")
+    spans = _span_digests(_with_marks(df, rest, key, text), key, text, span, True, True)
+    single = spans.join(_shared(spans, ["d0", "d1"], key), ["d0", "d1"], "left_semi").select(key, "at", F.lit(span).cast("long").alias("n"))
+    covered = chunks.where(~is_open).select(key, "at", "n").unionByName(single)
+    before = Window.partitionBy(key).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
+    sums = (
+        covered.withColumn("end", F.col("at") + F.col("n"))
+        .withColumn("reached", F.max("end").over(before))  # null at the first
+        .groupBy(key)
+        .agg(
+            F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("at", "reached"))).alias("n_shared"),
+            F.count_if(F.col("reached").isNull() | (F.col("at") > F.col("reached"))).alias("n_spans"),
+        )
+    )
+    n_shared = F.coalesce("n_shared", F.lit(0).cast("long"))
+    return (
+        df.select(key, F.length(text).cast("long").alias("n_chars"))
+        .join(sums, key, "left")
+        .select(
+            key,
+            "n_chars",
+            n_shared.alias("n_shared"),
+            F.coalesce(F.try_divide(n_shared, "n_chars"), F.lit(0.0)).alias("share"),
+            F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        )
+    )
