@@ -134,6 +134,26 @@ def test_reparameterised(spark):
     assert not any(doc == 3 for doc, _ in got)
 
 
+@pytest.mark.parametrize("part", [leakage.PART_CHARS, 50])
+def test_reparameterised_several_copies(spark, monkeypatch, part):
+    monkeypatch.setattr(leakage, "PART_CHARS", part)
+    towns = ["Lima", "Oslo", "Cairo", "Quito", "Turin", "Accra"]
+    text = "In the quiet city of {0} the old driver number {1} sells fresh bread to every happy child in the old city of {2} for coins"
+    items = [(i, text.format(towns[i], 10 + i, towns[i])) for i in range(6)]
+    gap = " xyzzy quux " * 3
+    docs = [
+        text.format("Rome", 15, "Rome") + gap + text.format("Bonn", 18, "Bonn"),  # two variants
+        items[0][1] + " " + text.format("Rome", 15, "Rome"),  # the passage itself and a variant right after it
+        text.format("Rome", 15, "Bonn"),  # one slot, two words
+        text.format("Rome", 15, "Bonn") + gap + text.format("Rome", 15, "Rome"),
+        text.format("Rome", 15, "Rome"),
+    ]
+    d, i = spark.createDataFrame(list(enumerate(docs)), "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    got = {(r.doc, r.item): (r.n_words, r.n_changed) for r in leakage.reparameterised(d, "doc", "text", i, "item", "text").collect()}
+    assert {k for k, _ in got} == {0, 1, 3, 4} and all((k, j) in got for k in (0, 1, 3, 4) for j in range(6))
+    assert got[(0, 0)] == got[(1, 0)] == got[(3, 0)] == got[(4, 0)] == (len(set(items[0][1].lower().split())), 2)
+
+
 # --- shared spans ----------------------------------------------------------------------------------------------------
 
 

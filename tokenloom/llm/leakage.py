@@ -2,8 +2,8 @@
 
 Texts are brought to NFKC and lower case and cut into words. Numbers, units and names become typed placeholders; what
 is left is the template. Windows of template words are joined by hash; then the slots, the words behind the
-placeholders, are checked: equal slots mean the passage itself, a consistent one-to-one renaming a re-parameterised
-copy.
+placeholders, are checked: equal slots mean the passage itself, a renaming that is one-to-one throughout a passage a
+re-parameterised copy.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.session import cut_lineage
+
 WINDOW = 12
 #: A word in fewer items than this is taken for a name; so is any word that no item holds.
 NAME_ITEMS = 3
@@ -132,21 +134,22 @@ def template_windows(
     pairs=None,
     min_literal: int = 0,
     with_words: bool = True,
+    places: bool = False,
 ) -> DataFrame:
-    """(key, template bigint, slots bigint, n_literal int, words string): all windows of all texts, each distinct one
-    of a text about once.
+    """(key, template bigint, slots bigint, n_literal int, words string[, at bigint]): all windows of all texts, each
+    once. ``places``: with ``at``, the number of words before the window in its text.
 
     ``common`` is a broadcast set of words kept as they are. ``templates`` and ``pairs`` are broadcast sorted arrays
     of template hashes, and of combined template and slot hashes; windows not among them are dropped here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "template", "slots", "n_literal", "words"]
+        names = [key, "template", "slots", "n_literal", "words"] + ["at"] * places
         canon = Canon(common.value)
         known = None if templates is None else templates.value
         paired = None if pairs is None else pairs.value
 
-        def block(words: list[str], owner: list[int], length: list[int]) -> Iterator[pa.RecordBatch]:
+        def block(words: list[str], owner: list[int], length: list[int], base: list[int]) -> Iterator[pa.RecordBatch]:
             if len(words) < window:
                 return
             number = np.fromiter(map(canon.__getitem__, words), np.int64, len(words))
@@ -154,6 +157,7 @@ def template_windows(
             t, r = tem[number], raw[number]
             template = _window_hash(t, window, 1)
             doc = np.repeat(np.arange(len(length)), length)
+            shift = np.array(base, np.int64) - np.r_[0, np.cumsum(length)[:-1]]  # from places in the block to places in the text
             whole = doc[: len(template)] == doc[window - 1 :]
             keep = whole if known is None else whole & _isin(template, known)
             at = np.flatnonzero(keep)
@@ -184,32 +188,36 @@ def template_windows(
                         pa.array(slots[k : k + 50_000].view(np.int64)),
                         pa.array(n_literal[k : k + 50_000].astype(np.int32)),
                         pa.array(shown, pa.string()),
-                    ],
+                    ]
+                    + [pa.array(a + shift[doc[a]])] * places,
                     names=names,
                 )
 
         for batch in batches:
             words: list[str] = []
-            owner, length = [], []
+            owner, length, base = [], [], []
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 value = value.as_py()
                 if not value:
                     continue
+                at = 0
                 for part in _parts(value, window - 1):
                     words += part
                     owner.append(k)
                     length.append(len(part))
+                    base.append(at)
+                    at += max(0, len(part) - (window - 1))  # the next part begins with this one's last words
                     if len(words) >= BLOCK_WORDS:
-                        yield from block(words, owner, length)
-                        words, owner, length = [], [], []
+                        yield from block(words, owner, length, base)
+                        words, owner, length, base = [], [], [], []
                         if len(canon) > 1_000_000:
                             canon.__init__(common.value)
                             canon.clear()
-            yield from block(words, owner, length)
+            yield from block(words, owner, length, base)
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, template bigint, slots bigint, n_literal int, words string"
+        run, f"`{key}` {kind}, template bigint, slots bigint, n_literal int, words string" + ", at bigint" * places
     )
 
 
@@ -240,12 +248,12 @@ def _fits(df: DataFrame, limit: int) -> pa.Table | None:
 class Items:
     """The items' side: its common words, its windows, and what of them may be sent to all tasks."""
 
-    def __init__(self, items: DataFrame, key: str, text: str, window: int, name_items: int = NAME_ITEMS, limit: int = BROADCAST_WINDOWS):
+    def __init__(self, items: DataFrame, key: str, text: str, window: int, name_items: int = NAME_ITEMS, limit: int = BROADCAST_WINDOWS, places: bool = False):
         sc = items.sparkSession.sparkContext
         words = _fits(common_words(items, key, text, name_items), limit)
         # With more words than may be sent, no word is kept as it is: coarser templates, the same result.
         self.common = sc.broadcast(frozenset(words.column(0).to_pylist() if words is not None else ()))
-        self.windows = template_windows(items, key, text, self.common, window).distinct()
+        self.windows = template_windows(items, key, text, self.common, window, places=places).distinct()
         hashes = _fits(self.windows.select("template", "slots"), limit)  # as many rows as would be broadcast
         self.small = hashes is not None
         self.templates = self.pairs = None
@@ -284,31 +292,44 @@ def reparameterised(
 ) -> DataFrame:
     """doc_key, item_key, n_windows, n_words, n_changed: documents with an item's template, slots consistent.
 
-    Windows with at least ``min_literal`` words that are no placeholders meet by template; then each item's slot word
-    must stand for one word only in the document, and the reverse. n_words counts the distinct words of the item met, n_changed
-    those that differ. Pairs with inconsistent slots are left out.
+    Windows with at least ``min_literal`` words that are no placeholders meet by template. A passage is a stretch of
+    the document that such windows cover without a gap, at one and the same distance to the item. In a passage, each
+    slot word of the item must stand for one word only, and the reverse; a pair comes out if any of its passages is
+    consistent, and only consistent ones count. n_windows counts their distinct windows, n_words the distinct words of
+    the item met, n_changed those of them that differ somewhere. Keys are unique in both tables.
     """
     items, item_key = _apart(items, item_key, doc_key)
-    known = Items(items, item_key, item_text, window)
-    found = template_windows(docs, doc_key, doc_text, known.common, window, known.templates, None, min_literal)
-    side = known.windows.where(F.col("n_literal") >= min_literal).select("template", F.col("words").alias("item_words"), item_key)
+    known = Items(items, item_key, item_text, window, places=True)
+    found = template_windows(docs, doc_key, doc_text, known.common, window, known.templates, None, min_literal, places=True)
+    side = known.windows.where(F.col("n_literal") >= min_literal).select(
+        "template", F.col("words").alias("_item_words"), F.col("at").alias("_item_at"), item_key
+    )
     if known.small:
         side = F.broadcast(side)
-    met = found.join(side, "template").select(doc_key, item_key, "template", "words", "item_words").distinct()
-    slots = met.select(
-        doc_key,
-        item_key,
-        "words",
-        F.explode(F.arrays_zip(F.split("item_words", " ").alias("i"), F.split("words", " ").alias("d"))).alias("z"),
-    ).select(doc_key, item_key, F.col("z.i").alias("i"), F.col("z.d").alias("d"))
-    named = slots.distinct()
-    forward = named.groupBy(doc_key, item_key, "i").agg(F.count(F.lit(1)).alias("k"), F.max((F.col("i") != F.col("d")).cast("int")).alias("changed"))
-    ahead = forward.groupBy(doc_key, item_key).agg(F.max("k").alias("k"), F.sum("changed").alias("n_changed"), F.count(F.lit(1)).alias("n_words"))
-    back = named.groupBy(doc_key, item_key, "d").agg(F.count(F.lit(1)).alias("k")).groupBy(doc_key, item_key).agg(F.max("k").alias("k_back"))
-    counts = met.groupBy(doc_key, item_key).agg(F.count(F.lit(1)).alias("n_windows"))
+    passage = [doc_key, item_key, "_distance", "_begin"]
+    line = Window.partitionBy(doc_key, item_key, "_distance").orderBy("at")
+    last = F.lag("at").over(line)
+    met = cut_lineage(
+        found.join(side, "template")
+        .withColumn("_distance", F.col("at") - F.col("_item_at"))
+        .withColumn("_new", F.when(last.isNull() | (F.col("at") > last + window), F.col("at")))
+        .withColumn("_begin", F.max("_new").over(line))
+        .select(*passage, "template", F.col("words").alias("_words"), "_item_words")
+    )
+    zipped = F.explode(F.arrays_zip(F.split("_item_words", " ").alias("i"), F.split("_words", " ").alias("d"))).alias("z")
+    named = met.select(*passage, zipped).select(*passage, F.col("z.i").alias("_i"), F.col("z.d").alias("_d")).distinct()
+    consistent = (
+        named.groupBy(*passage)
+        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_i").alias("n_i"), F.count_distinct("_d").alias("n_d"))
+        .where((F.col("n") == F.col("n_i")) & (F.col("n") == F.col("n_d")))
+        .select(*passage)
+    )
+    changed = F.max((F.col("_i") != F.col("_d")).cast("int"))
+    words = named.join(consistent, passage, "left_semi").groupBy(doc_key, item_key, "_i").agg(changed.alias("changed"))
+    counts = met.join(consistent, passage, "left_semi").select(doc_key, item_key, "template", "_words", "_item_words").distinct()
     return (
-        ahead.join(back, [doc_key, item_key])
-        .where((F.col("k") == 1) & (F.col("k_back") == 1))
-        .join(counts, [doc_key, item_key])
+        counts.groupBy(doc_key, item_key)
+        .agg(F.count(F.lit(1)).alias("n_windows"))
+        .join(words.groupBy(doc_key, item_key).agg(F.count(F.lit(1)).alias("n_words"), F.sum("changed").alias("n_changed")), [doc_key, item_key])
         .select(doc_key, item_key, "n_windows", "n_words", "n_changed")
     )
