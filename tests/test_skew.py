@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from tokenloom.operators import skew
 from tokenloom.operators.skew import heavy_key_report, heavy_keys, salted, salted_summary
 
 NAN = float("nan")
@@ -57,3 +58,10 @@ def test_report(spark, rows):
     assert rows(heavy_key_report(df, ["n"], 0.01, ["i"])) == [("n", "1"), ("n", "2")]
     with pytest.raises(ValueError):
         heavy_keys(df, "s", 0.0)
+
+
+@pytest.mark.parametrize("salted_keys", [[], ["a", "b"]])
+def test_report_is_decided_on_the_merged_counts(spark, rows, monkeypatch, salted_keys):
+    monkeypatch.setattr(skew, "heavy_keys", lambda *_: spark.createDataFrame([(k, 0) for k in salted_keys], "key string, n_rows long"))
+    df = spark.createDataFrame([("a", i) for i in range(98)] + [(None, 98), ("b", 99)], "s string, i long")
+    assert rows(heavy_key_report(df, ["s"], 0.02, ["i"])) == [("s", "a")]

@@ -2,7 +2,7 @@
 
 Heavy keys are found first by a map-side combined count. Their rows get a salt, so each heavy key is spread over
 ``salts`` reducers; partial results per (key, salt) are then merged per key. Light keys all keep salt 0 and pass the
-second stage unchanged. The salt is a hash of the row's own values, not ``rand()``: a task that is run again after a
+second stage unchanged. What is reported as heavy is decided on the merged counts. The salt is a hash of the row's own values, not ``rand()``: a task that is run again after a
 lost executor must produce the same rows.
 """
 
@@ -22,6 +22,10 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _total(df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("n_all"))
+
+
 def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     """(key, n_rows) of the keys that hold at least ``share`` of all rows of ``df``, rows with a null key included.
 
@@ -30,10 +34,9 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
     if not 1 / MAX_SHARE_DENOMINATOR <= share <= 1:
         raise ValueError("share must lie between 1/10000 and 1")
     inverse = round(1 / share)
-    total = df.agg(F.count(F.lit(1)).alias("n_all"))
     return (
         key_counts(df, key)
-        .crossJoin(F.broadcast(total))  # one row
+        .crossJoin(F.broadcast(_total(df)))  # one row
         .where(F.col("n_rows") * inverse >= F.col("n_all"))
         .select("key", "n_rows")
     )
@@ -86,9 +89,9 @@ def salted_summary(
         F.min("lo").alias("min_value"),
         F.max("hi").alias("max_value"),
     )
-    marks = F.broadcast(heavy.select(F.col("key").alias("_h")))
-    return merged.join(marks, merged["_key"] == F.col("_h"), "left").select(
-        F.col("_key").alias("key"), "n_rows", "n_values", "mean_value", "min_value", "max_value", F.col("_h").isNotNull().alias("is_heavy")
+    is_heavy = F.col("n_rows") * round(1 / share) >= F.col("n_all")
+    return merged.crossJoin(F.broadcast(_total(df))).select(  # one row
+        F.col("_key").alias("key"), "n_rows", "n_values", "mean_value", "min_value", "max_value", is_heavy.alias("is_heavy")
     )
 
 
