@@ -74,10 +74,22 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("lift", F.round("lift", 6)).withColumn("pmi", F.round("pmi", 6))
 
 
-def _sequences(spark: SparkSession, d: str, name: str, key: list[str]) -> DataFrame:
-    """The known token count of each sequence, once."""
-    rows = table(spark, d, name).where(F.col("seq_len").isNotNull())
-    return rows.groupBy(*key).agg(F.max("seq_len").alias("known"))
+def _sequences(spark: SparkSession, d: str, name: str, *more: str) -> DataFrame:
+    """The known token count of each sequence, once, with its value of the columns ``more``."""
+    rows = table(spark, d, name).groupBy("idx").agg(F.max("seq_len").alias("known"), *[F.max(c).alias(c) for c in more])
+    return rows.where(F.col("known").isNotNull())
+
+
+def _known_of_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """_language, _snippet_id, known: the sum over the sequences of a snippet. A sequence without a language is of the
+    snippet with its id, if there is but one."""
+    only = table(spark, d, "snippets").groupBy("snippet_id").agg(F.count_distinct(F.struct("language")).alias("n"), F.max("language").alias("only"))
+    return (
+        _sequences(spark, d, "token_features", "language", "snippet_id")
+        .join(only.where("n = 1"), "snippet_id", "left")
+        .groupBy(F.coalesce("language", "only").alias("_language"), F.col("snippet_id").alias("_snippet_id"))
+        .agg(F.sum("known").alias("known"))
+    )
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -89,12 +101,12 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     latest = lambda *c: F.max(F.struct("written_at", *c)).alias("r")
     samples = (
         table(spark, d, "text_samples").groupBy("idx").agg(latest("source_dataset", "language", "text"))
-        .join(_sequences(spark, d, "text_token_features", ["idx"]), "idx", "left")
+        .join(_sequences(spark, d, "text_token_features"), "idx", "left")
         .select(F.lit("text_samples"), F.col("r.source_dataset"), F.col("r.language"), none, F.col("r.text"), "known")
     )
     snippets = (
         table(spark, d, "snippets").groupBy("language", "snippet_id").agg(latest("code"))
-        .join(_sequences(spark, d, "token_features", ["language", "snippet_id"]), ["language", "snippet_id"], "left")
+        .join(_known_of_snippets(spark, d), F.col("language").eqNullSafe(F.col("_language")) & (F.col("snippet_id") == F.col("_snippet_id")), "left")
         .select(F.lit("snippets"), none, "language", none, F.col("r.code"), "known")
     )
     return docs.union(samples).union(snippets)
