@@ -154,6 +154,21 @@ def test_reparameterised_several_copies(spark, monkeypatch, part):
     assert got[(0, 0)] == got[(1, 0)] == got[(3, 0)] == got[(4, 0)] == (len(set(items[0][1].lower().split())), 2)
 
 
+def test_reparameterised_for_any_size_of_the_item_table(spark, rows):
+    towns = ["Lima", "Oslo", "Cairo", "Quito", "Turin", "Accra"]
+    text = "In the quiet city of {0} the old driver number {1} sells fresh bread to every happy child in the old city of {0} for coins"
+    docs = [(1, text.format("Lima", 10)), (2, text.format("Rome", 77)), (3, text.format("Lima", 78)), (4, None), (5, "a few words")]
+    d = spark.createDataFrame(docs, "doc long, text string")
+    tables = {n: spark.createDataFrame([(i, text.format(towns[i], 10 + i)) for i in range(n)], "item long, text string") for n in (1, 6)}
+    want = rows(leakage.reparameterised(d, "doc", "text", tables[6], "item", "text"))
+    assert {r[0] for r in want} == {1, 2, 3} and len(want) == 18
+    assert rows(leakage.reparameterised(d, "doc", "text", tables[6], "item", "text", limit=3)) == want
+    other = [(9, "Every morning the baker of our village walks along a river and counts white swans before the shop opens at noon")]
+    for few in (tables[1], tables[1].union(spark.createDataFrame(other, "item long, text string"))):
+        got = {(r.doc, r.item): r.n_changed for r in leakage.reparameterised(d, "doc", "text", few, "item", "text").collect()}
+        assert got[(1, 0)] == 0 and got[(3, 0)] == 1 and {i for _, i in got} == {0}
+
+
 # --- shared spans ----------------------------------------------------------------------------------------------------
 
 

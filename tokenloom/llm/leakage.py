@@ -135,9 +135,11 @@ def template_windows(
     min_literal: int = 0,
     with_words: bool = True,
     places: bool = False,
+    listed: bool = False,
 ) -> DataFrame:
     """(key, template bigint, slots bigint, n_literal int, words string[, at bigint]): all windows of all texts, each
-    once. ``places``: with ``at``, the number of words before the window in its text.
+    once. ``places``: with ``at``, the number of words before the window in its text. ``listed``: ``df`` has, besides,
+    ``_common``, those words of the text that are kept as they are.
 
     ``common`` is a broadcast set of words kept as they are. ``templates`` and ``pairs`` are broadcast sorted arrays
     of template hashes, and of combined template and slot hashes; windows not among them are dropped here.
@@ -145,7 +147,8 @@ def template_windows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "template", "slots", "n_literal", "words"] + ["at"] * places
-        canon = Canon(common.value)
+        held = set() if listed else common.value
+        canon = Canon(held)
         known = None if templates is None else templates.value
         paired = None if pairs is None else pairs.value
 
@@ -196,10 +199,13 @@ def template_windows(
         for batch in batches:
             words: list[str] = []
             owner, length, base = [], [], []
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            lists = batch.column(2).to_pylist() if listed else [None] * batch.num_rows
+            for k, value, own in zip(batch.column(0).to_pylist(), batch.column(1), lists):
                 value = value.as_py()
                 if not value:
                     continue
+                if own:
+                    held.update(own)
                 at = 0
                 for part in _parts(value, window - 1):
                     words += part
@@ -211,12 +217,13 @@ def template_windows(
                         yield from block(words, owner, length, base)
                         words, owner, length, base = [], [], [], []
                         if len(canon) > 1_000_000:
-                            canon.__init__(common.value)
+                            held = set(own or ()) if listed else common.value
+                            canon.__init__(held)
                             canon.clear()
             yield from block(words, owner, length, base)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(
+    return df.select(key, text, *["_common"] * listed).mapInArrow(
         run, f"`{key}` {kind}, template bigint, slots bigint, n_literal int, words string" + ", at bigint" * places
     )
 
@@ -239,6 +246,22 @@ def common_words(items: DataFrame, key: str, text: str, name_items: int = NAME_I
     )
 
 
+def _with_common(df: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
+    """Texts with ``_common``: their words among those of ``common``, by a shuffle join. A text's own words bound the
+    list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1)):
+                for part in _parts(t.as_py() or "", 0):
+                    words = pa.array(list(dict.fromkeys(part)), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(words), k.type), words], names=[key, "word"])
+
+    words = df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, word string")
+    lists = words.join(common, "word").groupBy(key).agg(F.collect_set("word").alias("_common"))
+    return df.select(key, text).join(lists, key, "left")
+
+
 def _fits(df: DataFrame, limit: int) -> pa.Table | None:
     """The rows if they are at most ``limit``, else None."""
     rows = df.limit(limit + 1).toArrow()
@@ -251,9 +274,13 @@ class Items:
     def __init__(self, items: DataFrame, key: str, text: str, window: int, name_items: int = NAME_ITEMS, limit: int = BROADCAST_WINDOWS, places: bool = False):
         sc = items.sparkSession.sparkContext
         words = _fits(common_words(items, key, text, name_items), limit)
-        # With more words than may be sent, no word is kept as it is: coarser templates, the same result.
+        # With more words than may be sent, no word is kept as it is: coarser templates, which change no result of
+        # ``leaks``. Where templates count (``places``), each text gets the list of its own common words instead.
+        self.listed = cut_lineage(common_words(items, key, text, name_items)) if words is None and places else None
         self.common = sc.broadcast(frozenset(words.column(0).to_pylist() if words is not None else ()))
-        self.windows = template_windows(items, key, text, self.common, window, places=places).distinct()
+        self.windows = template_windows(
+            self.with_common(items, key, text), key, text, self.common, window, places=places, listed=self.listed is not None
+        ).distinct()
         hashes = _fits(self.windows.select("template", "slots"), limit)  # as many rows as would be broadcast
         self.small = hashes is not None
         self.templates = self.pairs = None
@@ -263,6 +290,10 @@ class Items:
             self.pairs = sc.broadcast(np.unique(_mix(template + slots * np.uint64(3))))
 
 
+    def with_common(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        return df if self.listed is None else _with_common(df, key, text, self.listed)
+
+
 def _apart(items: DataFrame, item_key: str, doc_key: str) -> tuple[DataFrame, str]:
     if item_key != doc_key:
         return items, item_key
@@ -288,7 +319,7 @@ def leaks(
 
 
 def reparameterised(
-    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW, min_literal: int = 6
+    docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, window: int = WINDOW, min_literal: int = 6, limit: int = BROADCAST_WINDOWS
 ) -> DataFrame:
     """doc_key, item_key, n_windows, n_words, n_changed: documents with an item's template, slots consistent.
 
@@ -299,8 +330,13 @@ def reparameterised(
     the item met, n_changed those of them that differ somewhere. Keys are unique in both tables.
     """
     items, item_key = _apart(items, item_key, doc_key)
-    known = Items(items, item_key, item_text, window, places=True)
-    found = template_windows(docs, doc_key, doc_text, known.common, window, known.templates, None, min_literal, places=True)
+    # In a table of a few items hardly any word is in three of them, and all would be names.
+    name_items = min(NAME_ITEMS, max(1, items.where(F.col(item_text).isNotNull()).count() // 2))
+    known = Items(items, item_key, item_text, window, name_items, limit, places=True)
+    rows = known.with_common(docs, doc_key, doc_text)
+    found = template_windows(
+        rows, doc_key, doc_text, known.common, window, known.templates, None, min_literal, places=True, listed=known.listed is not None
+    )
     side = known.windows.where(F.col("n_literal") >= min_literal).select(
         "template", F.col("words").alias("_item_words"), F.col("at").alias("_item_at"), item_key
     )
