@@ -140,7 +140,8 @@ def test_counts_are_handed_on_in_parts(spark, rows, monkeypatch):
 def test_calibration():
     bits, segments, radius = setjoin.calibrate(100_000, 0.8)
     assert bits == 17 and (1 - 0.9**bits) ** segments <= setjoin.MISS
-    assert 12 < radius < 64
+    assert 6 < radius < setjoin.CHECK_BITS // 2
+    assert setjoin.calibrate(2**33, 0.8)[0] == 33
 
 
 def _near_sets(seed, n):
@@ -170,3 +171,42 @@ def test_similar_sets(spark, rows, seed):
     assert set(links) == set(sets)
     assert sum(c - 1 + k for c, k in links.values()) == 2 * len(want)
     assert setjoin.similar_pairs(df.limit(0), "id", "ids", 5, 4, 5, 0).count() == 0
+
+
+@pytest.mark.parametrize("together", [1, 16])
+def test_hot_segments_and_classes_are_cut(spark, rows, monkeypatch, together):
+    rng = np.random.default_rng(4)
+    data = [list(range(30)) for _ in range(40)]  # one set in 40 records
+    for k in range(60):  # sets near to it and to each other, that share many segments
+        data.append([*range(k % 3, 29), 1000 + k])
+    data += _near_sets(9, 100)
+    order = rng.permutation(len(data)).tolist()
+    df = spark.createDataFrame([(i, data[i]) for i in order], "id long, ids array<long>")
+    sets = {i: set(s) - {None} for i, s in enumerate(data)}
+    sets = {i: s for i, s in sets.items() if len(s) >= 5}
+    want = sorted(((i, j) for i, j in itertools.combinations(sets, 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])), key=repr)
+    monkeypatch.setattr(setjoin, "SEEN_TOGETHER", together)
+    assert rows(setjoin.similar_pairs(df, "id", "ids", 5, 4, 5, len(data), block=8)) == want
+    links = {r.id: r.n_copies - 1 + r.n_links for r in setjoin.record_links(df, "id", "ids", 5, 4, 5, len(data), block=8).collect()}
+    degree = Counter(x for pair in want for x in pair)
+    assert links == {i: degree[i] for i in sets}
+
+
+def test_similar_sets_of_two_tables(spark, rows):
+    data = _near_sets(6, 300) + [[1, 2, 3, 4, 5]] * 6 + [None, [], [7, None]]
+    left, right = ([(i, ids) for i, ids in enumerate(data) if i % 2 == k] for k in (0, 1))
+    right.append((0, data[0]))  # keys may stand in both tables
+    make = lambda part: spark.createDataFrame(part, "id long, ids array<long>")
+    sets = lambda part: {i: set(s) - {None} for i, s in part if s}
+    a, b = ({i: s for i, s in sets(p).items() if len(s) >= 5} for p in (left, right))
+    want = sorted(((i, j) for i in a for j in b if 5 * len(a[i] & b[j]) >= 4 * len(a[i] | b[j])), key=repr)
+    assert want and rows(setjoin.similar_between(make(left), make(right), "id", "ids", 5, 4, 5, len(data))) == want
+    assert setjoin.similar_between(make(left), make(right).limit(0), "id", "ids", 5, 4, 5, len(data)).count() == 0
+
+
+def test_similar_sets_send_nothing_that_grows(spark):
+    """With Spark's own choice of joins left on, only tables of bounded size are broadcast."""
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(_near_sets(3, 50))], "id long, ids array<long>")
+    plan = setjoin.similar_pairs(df, "id", "ids", 5, 4, 5, 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 6 and plan.count("BroadcastNestedLoopJoin") == 0
+    assert plan.count("BroadcastHashJoin") == 2  # the hot segments, known to be few
