@@ -56,8 +56,32 @@ def check(text: str, language: str | None) -> Verdict:
         except lexers.LexError as e:
             furthest = max(furthest, e.args[0])
             continue
-        at = recognise(g, tokens.kinds, tokens.began)
+        at = _rejected(g, tokens)
         if at < 0:
             return Verdict(True, dialect, None)
-        furthest = max(furthest, tokens.places[at])
+        furthest = max(furthest, at)
     return Verdict(False, None, furthest)
+
+
+def _rejected(g: Grammar, tokens: lexers.Tokens) -> int:
+    """-1 if the dialect accepts, else the place it reached. With conditional directives it must accept what is read if
+    nothing is defined, and every other branch with some choice of the conditions."""
+    if tokens.conditionals is None:
+        at = recognise(g, tokens.kinds, tokens.began)
+        return at if at < 0 else tokens.places[at]
+
+    def read(atoms: dict[str, bool]) -> int:
+        kept = tokens.conditionals.kept(atoms, len(tokens.kinds))
+        at = recognise(g, [tokens.kinds[i] for i in kept])
+        return at if at < 0 else tokens.places[kept[at]]
+
+    for atoms, alone in tokens.conditionals.choices():
+        at = read(atoms)
+        if at < 0:
+            continue
+        if len(alone) < 2:
+            return at
+        for own in alone:  # perhaps the branches don't go together
+            if (at := read(own)) >= 0:
+                return at
+    return -1

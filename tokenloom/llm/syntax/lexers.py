@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from tokenloom.llm.syntax.conditionals import Conditionals
 from tokenloom.llm.syntax.gll import IDENT, Grammar
 
 
@@ -12,12 +13,26 @@ class LexError(ValueError):
 
 
 class Tokens:
-    """Kinds, closed by the end mark; the place of each token; whether a line end stands before it."""
+    """Kinds, closed by the end mark; the place of each token; whether a line end stands before it. With conditional
+    directives these are the tokens of all branches, of which ``conditionals`` tells what is read together."""
 
-    __slots__ = ("kinds", "places", "began")
+    __slots__ = ("kinds", "places", "began", "conditionals")
 
-    def __init__(self, kinds: list[int], places: list[int], began: list[bool] | None = None):
-        self.kinds, self.places, self.began = kinds, places, began
+    def __init__(self, kinds: list[int], places: list[int], began: list[bool] | None = None, conditionals: Conditionals | None = None):
+        self.kinds, self.places, self.began, self.conditionals = kinds, places, began, conditionals
+
+
+def _inner(lexer, text: str, start: int, stop: int, before: str = "", after: str = "") -> tuple[list[int], list[int]]:
+    """Tokens of an expression inside a string, without the end mark; an empty one is an error."""
+    if not text[start:stop].strip():
+        raise LexError(start)
+    try:
+        tokens = lexer(before + text[start:stop] + after)
+    except LexError as e:
+        raise LexError(min(stop, max(start, start + e.args[0] - len(before)))) from None
+    if tokens.conditionals:
+        raise LexError(start)
+    return tokens.kinds[:-1], [min(stop, max(start, start + p - len(before))) for p in tokens.places[:-1]]
 
 
 _IDENT = r"[^\W\d]\w*"
@@ -51,34 +66,94 @@ _OPS_JAVA = r"\.\.\.|<<=|->|\+\+|--|<<|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\
 _OPS_CS = r"\.\.|\?\?=|\?\?|\?\.(?!\d)|<<=|->|=>|\+\+|--|<<|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|::|[-+*/%&|^~!<>=?:;,.(){}\[\]]"
 
 _RAW_CPP = r'(?:u8|[uUL])?R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|'
-_HOLE = r"\{\{|\}\}|\{(?:[^\"{}]|\"(?:[^\"\\\n]|\\.)*\")*\}"
 _MASTERS = {
     "c": _master(_NUMBER_C, r'(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*"', r"(?:u8|[uUL])?'(?:[^'\\\n]|\\.)+'", _OPS_C, r"[^\W\d][\w$]*", r"//(?:[^\n\\]|\\.)*"),
     "cpp": _master(_NUMBER_C, _RAW_CPP + r'(?:u8|[uUL])?"(?:[^"\\\n]|\\.)*"', r"(?:u8|[uUL])?'(?:[^'\\\n]|\\.)+'", _OPS_C, r"[^\W\d][\w$]*", r"//(?:[^\n\\]|\\.)*"),
     "java": _master(_NUMBER_JAVA, r'"""[ \t\f]*\r?\n(?:[^\\]|\\.)*?"""|' + _STRING, _CHAR_ONE, _OPS_JAVA, r"[^\W\d][\w$]*|\$[\w$]*"),
     "csharp": _master(
         _NUMBER_CS,
-        rf'\$*(?P<q>"{{3,}})(?!").*?(?<!")(?P=q)(?!")|(?:\$@|@\$)"(?:[^"{{}}]|""|{_HOLE})*"|@"(?:[^"]|"")*"|\$"(?:[^"\\\n{{}}]|\\.|{_HOLE})*"|(?:{_STRING})(?:u8)?',
+        rf'(?:\$@|@\$)"|\$+(?:"{{3,}}|")|(?P<q>"{{3,}})(?!").*?(?<!")(?P=q)(?!")|@"(?:[^"]|"")*"|(?:{_STRING})(?:u8)?',  # of the interpolated ones only the head
         _CHAR_ONE, _OPS_CS, r"@?[^\W\d]\w*",
     ),
 }
 
 
-def _never(name: str, rest: str, family: str) -> bool:
-    """A condition that is known not to hold: a constant, or C++ asked for in C."""
-    rest = rest.strip()
-    return (name == "if" and rest in ("0", "false")) or (family == "c" and name in ("if", "ifdef") and re.fullmatch(r"(defined\W*)?__cplusplus\W*", rest) is not None)
+_NEXT_DIRECTIVE = re.compile(r"^[ \t]*(?=#)", re.M)
+_CS_PLAIN = re.compile(rf'@"(?:[^"]|"")*"|{_STRING}|{_CHAR_ONE}', re.S)
+_CS_HEAD = re.compile(r'(\$@|@\$)(?=")|(\$+)("{3,}|")')
+
+
+def _interpolated(text: str, pos: int) -> tuple[int, list[tuple[int, int]]]:
+    """End and holes (the expression of each, without alignment and format) of the C# string that begins at ``pos``."""
+    head = _CS_HEAD.match(text, pos)
+    verbatim, quote, braces = head[1] is not None, head[3] or '"', "{" * head[0].count("$")
+    raw, at, n = len(quote) > 2, head.end() + verbatim, len(text)
+    holes: list[tuple[int, int]] = []
+    while at < n:
+        c = text[at]
+        if c == '"':
+            if raw:
+                run = re.compile('"+').match(text, at).end()
+                if run - at >= len(quote):
+                    return run, holes
+                at = run
+            elif verbatim and text.startswith('""', at):
+                at += 2
+            else:
+                return at + 1, holes
+        elif c == "\\" and not (verbatim or raw):
+            at += 2
+        elif c == "\n" and not (verbatim or raw):
+            raise LexError(at)
+        elif c == "{":
+            run = re.compile("{+").match(text, at).end()
+            if run - at < len(braces) or (not raw and (run - at) % 2 == 0):
+                at = run
+                continue
+            start = at = run
+            stop, depth = -1, 0
+            while True:
+                if at >= n:
+                    raise LexError(start)
+                c = text[at]
+                if stop < 0 and c in "$@\"'":
+                    if _CS_HEAD.match(text, at):
+                        at = _interpolated(text, at)[0]
+                        continue
+                    plain = _CS_PLAIN.match(text, at)
+                    if plain:
+                        at = plain.end()
+                        continue
+                if stop < 0 and c in "([{":
+                    depth += 1
+                elif stop < 0 and depth and c in ")]}":
+                    depth -= 1
+                elif c == "}":
+                    break
+                elif stop < 0 and not depth and text.startswith("::", at):
+                    at += 1
+                elif stop < 0 and not depth and c in ",:":
+                    stop = at
+                at += 1
+            holes.append((start, at if stop < 0 else stop))
+            if raw and not text.startswith("}" * len(braces), at):
+                raise LexError(at)
+            at += len(braces) if raw else 1
+        else:
+            at += 1
+    raise LexError(pos)
 
 
 def c_like(text: str, g: Grammar, family: str) -> Tokens:
-    """C, C++, Java, C#. Of conditional directives the first branch counts, the second after ``#if 0``."""
+    """C, C++, Java, C#. Branches of conditional directives all give their tokens, but those known never to be read. A
+    hole of an interpolated string becomes a call of the string with its expression."""
     match = _MASTERS[family].match
     kinds_of, words, ident = g.kinds, g.words, g.kinds[IDENT]
     number, string, char = (g.kinds.get(k, -9) for k in ("NUM", "STR", "CHR"))
     directives = {"c": _C_DIRECTIVES, "cpp": _C_DIRECTIVES, "csharp": _CS_DIRECTIVES}.get(family, frozenset())
     kinds: list[int] = []
     places: list[int] = []
-    opened: list[list[bool]] = []  # per #if: is this branch read, has any been read
+    branches: Conditionals | None = None
     pos = 0
     while True:
         m = match(text, pos)
@@ -96,40 +171,43 @@ def c_like(text: str, g: Grammar, family: str) -> Tokens:
             kind = number
         elif what == "str":
             kind = string
+            if family == "csharp" and (text[at] == "$" or text.startswith("@$", at)):
+                pos, holes = _interpolated(text, at)
+                kinds.append(kind)
+                places.append(at)
+                for start, stop in holes:
+                    own, where = _inner(lambda t: c_like(t, g, family), text, start, stop)
+                    kinds += [kinds_of["("], kinds_of["("], *own, kinds_of[")"], kinds_of[")"]]
+                    places += [start, start, *where, stop, stop]
+                continue
         elif what == "chr":
             kind = char
         elif what == "end":
-            if opened:
+            if branches and not branches.closed():
                 raise LexError(at)
             kinds.append(0)
             places.append(at)
-            return Tokens(kinds, places)
+            return Tokens(kinds, places, None, branches)
         elif what == "hash" and directives:
             if text[text.rfind("\n", 0, at) + 1 : at].strip() and not m["blank"].endswith("*/"):
                 raise LexError(at)
             d = _DIRECTIVE.match(text, at)
             name, pos = d[1], d.end()
-            if name and name not in directives:
+            if name and name not in directives and not (branches and branches.is_dead()):
                 raise LexError(at)
-            if name in ("if", "ifdef", "ifndef"):
-                live = (not opened or opened[-1][0]) and not _never(name, d[2], family)
-                opened.append([live, live or bool(opened and not opened[-1][0])])
-            elif name in ("elif", "else", "elifdef", "elifndef"):
-                if not opened:
+            if name.startswith(("if", "el", "endif")):
+                branches = branches or Conditionals(family)
+                if not branches.directive(name, d[2], len(kinds)):
                     raise LexError(at)
-                opened[-1][0] = not opened[-1][1]
-                opened[-1][1] = True
-            elif name == "endif":
-                if not opened:
-                    raise LexError(at)
-                opened.pop()
+                if branches.is_dead():  # to the next directive, whatever stands there
+                    m = _NEXT_DIRECTIVE.search(text, pos)
+                    pos = m.end() if m else len(text)
+            elif branches and branches.is_dead():
+                m = _NEXT_DIRECTIVE.search(text, pos)
+                pos = m.end() if m else len(text)
             continue
         else:
             raise LexError(at)
-        if opened and not opened[-1][0]:
-            continue
-        if kind == -9:
-            raise LexError(at)
         kinds.append(kind)
         places.append(at)
 
@@ -228,8 +306,65 @@ _PHP = re.compile(
 )
 
 
+_PHP_SUBSCRIPT = re.compile(r"\[(?:-?\d+|0[xX][\da-fA-F]+|0[bB][01]+|\$?[^\W\d]\w*)\]")
+_PHP_PLAIN = re.compile(r"'(?:[^'\\]|\\.)*'", re.S)
+_PHP_NAME = re.compile(r"[^\W\d]\w*")
+
+
+def _php_holes(text: str, at: int, quote: str, stop: int) -> tuple[int, list[tuple[int, int]]]:
+    """End and expressions of the interpolated text from ``at`` to ``quote`` (to ``stop`` if that is empty)."""
+    holes: list[tuple[int, int]] = []
+    while at < stop:
+        c = text[at]
+        if c == "\\":
+            at += 2
+        elif quote and c == quote:
+            return at + 1, holes
+        elif text.startswith(("{$", "${"), at):
+            start, name = at + 1, None
+            at += 1
+            if c == "$":
+                start = at = at + 1
+                name = _PHP_NAME.match(text, at)
+                if name and name.end() < stop and text[name.end()] in "[}":
+                    start = at = name.end() + (text[name.end()] == "[")
+            depth = int(bool(name) and start > name.end())
+            while at < stop and (depth or text[at] != "}"):
+                c = text[at]
+                if c == '"':
+                    at = _php_holes(text, at + 1, c, stop)[0]
+                    continue
+                plain = _PHP_PLAIN.match(text, at)
+                if plain:
+                    at = plain.end()
+                    continue
+                depth += (c in "([{") - (c in ")]}")
+                at += 1
+            if at >= stop:
+                raise LexError(start)
+            if not name or start != name.end():  # else it is but a name
+                end = at
+                if name and start > name.end():  # a name and its subscript
+                    end = text.rfind("]", start, at)
+                holes.append((start, end))
+            at += 1
+        elif c == "$" and (name := _PHP_NAME.match(text, at + 1)):
+            at = name.end()
+            if at < stop and text[at] == "[":
+                subscript = _PHP_SUBSCRIPT.match(text, at, stop)
+                if subscript is None:
+                    raise LexError(at)
+                at = subscript.end()
+        else:
+            at += 1
+    if quote:
+        raise LexError(at)
+    return stop, holes
+
+
 def php(text: str, g: Grammar) -> Tokens:
-    """Text outside the tags is an ``HTML`` statement; a closing tag ends a statement."""
+    """Text outside the tags is an ``HTML`` statement; a closing tag ends a statement. An expression inside a string is
+    joined to it by ``.``."""
     kinds_of, words, ident = g.kinds, g.words, g.kinds[IDENT]
     kinds: list[int] = []
     places: list[int] = []
@@ -254,6 +389,7 @@ def php(text: str, g: Grammar) -> Tokens:
             raise LexError(pos)
         what, pos = m.lastgroup, m.end()
         at = m.start(what)
+        holes = ()
         if what == "id":
             word = m[what]
             kind = kinds_of["QNAME"] if "\\" in word else words.get(word.lower(), ident)
@@ -265,6 +401,8 @@ def php(text: str, g: Grammar) -> Tokens:
             close = re.compile(r"^[ \t]*" + m["tag"] + r"\b", re.M).search(text, pos)
             if close is None:
                 raise LexError(at)
+            if m["hq"] != "'":
+                holes = _php_holes(text, pos, "", close.start())[1]
             kind, pos = kinds_of["STR"], close.end()
         elif what == "op":
             kind = kinds_of.get(m[what])
@@ -282,47 +420,61 @@ def php(text: str, g: Grammar) -> Tokens:
             kind = kinds_of["NUM"]
         elif what == "str":
             kind = kinds_of["STR"]
+            body = at + (text[at] in "bB")
+            if text[body] != "'" and "$" in m[what]:
+                pos, holes = _php_holes(text, body + 1, text[body], len(text))
         else:
             raise LexError(at)
         kinds.append(kind)
         places.append(at)
+        for start, stop in holes:
+            own, where = _inner(lambda t: php(t, g), text, start, stop, "<?php ")
+            kinds += [kinds_of["."], kinds_of["("], *own, kinds_of[")"]]
+            places += [start, start, *where, stop]
 
 
 _PY = re.compile(
     r"""(?P<blank>(?>[ \t\f]+|\\\r?\n)*+)(?:(?P<nl>\r\n|\r|\n)|(?P<com>\#[^\r\n]*)"""
-    r"""|(?P<str>(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?!'')(?:[^'\\\r\n]|\\.)*'|"(?!"")(?:[^"\\\r\n]|\\.)*"))"""
+    r"""|(?P<fields>(?:[rR][fFtT]|[fFtT][rR]?)(?:'''|\"\"\"|'|"))|(?P<str>(?:[rR][bB]?|[bB][rR]?|[uU])?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?!'')(?:[^'\\\r\n]|\\.)*'|"(?!"")(?:[^"\\\r\n]|\\.)*"))"""
     r"""|(?P<id>[^\W\d]\w*)|(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?P<dec>\d(?:_?\d)*)(?P<frac>\.(?:\d(?:_?\d)*)?)?(?P<exp>[eE][+-]?\d(?:_?\d)*)?(?P<imag>[jJ])?"""
     r"""|\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?P<glued>\w*))"""
     r"""|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|>>|<<|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>=:;,.(){}\[\]])|(?P<end>\Z))""",
     re.S,
 )
-_PY_OLD = re.compile(_PY.pattern.replace(r"(?P<op>", r"(?P<op><>|`|").replace(r"|0[oO](?:_?[0-7])+", r"|0[oO]?[0-7]+[lL]?(?![.\deE])|[1-9]\d*[lL]").replace(r"(?:[rR][bBfFtT]?", r"(?:[uUbB][rR]?|[rR][bBfFtT]?"), re.S)
+_PY_OLD = re.compile(_PY.pattern.replace(r"(?P<op>", r"(?P<op><>|`|").replace(r"|0[oO](?:_?[0-7])+", r"|0[oO]?[0-7]+[lL]?(?![.\deE])|[1-9]\d*[lL]").replace(r"(?P<str>(?:[rR][bB]?|[bB][rR]?|[uU])?", r"(?P<str>(?:[uUbB][rR]?|[rR])?").replace(_PY.pattern[_PY.pattern.index("|(?P<fields>") : _PY.pattern.index("|(?P<str>")], ""), re.S)
 _PY_STRING = re.compile(r"""([A-Za-z]{0,2})('''|\"\"\"|'|")""")
 
 
-def _formatted_end(text: str, pos: int) -> int:
-    """End of the formatted string that begins at ``pos``: its fields may hold strings with the same quotes. -1 if it
-    does not end."""
+_PY_SHOWN = re.compile(r"=\s*(?=[}:]|!(?!=))")
+
+
+def _formatted(text: str, pos: int) -> tuple[int, list[tuple[int, int]]]:
+    """End of the formatted string that begins at ``pos``, and the expression of each of its fields, which may hold
+    strings with the same quotes. The end is -1 if there is none or a brace is left over."""
     head = _PY_STRING.match(text, pos)
-    quote, at, n = head[2], head.end(), len(text)
-    fields: list[int] = []  # open brackets within each open field, -1: in its format
+    quote, raw, at, n = head[2], "r" in head[1].lower(), head.end(), len(text)
+    fields: list[tuple[int, int]] = []
+    opened: list[list[int]] = []  # of each open field its start, its open brackets, and where its expression ends or -1
     while at < n:
         c = text[at]
-        inside = bool(fields) and fields[-1] >= 0
-        if not inside:
+        if not opened or opened[-1][2] >= 0:  # in text, or in a format
             if c == "\\":
-                at += 2
-            elif not fields and text.startswith(quote, at):
-                return at + len(quote)
+                named = not raw and text.startswith("N{", at + 1)
+                at = (text.find("}", at) + 1 or n) if named else at + (1 if text[at + 1 : at + 2] in ("{", "}") else 2)
+            elif not opened and text.startswith(quote, at):
+                return at + len(quote), fields
             elif c == "\n" and len(quote) == 1:
-                return -1
-            elif text.startswith("{{", at) and not fields:
+                return -1, []
+            elif not opened and text.startswith(("{{", "}}"), at):
                 at += 2
             elif c == "{":
-                fields.append(0)
+                opened.append([at + 1, 0, -1])
                 at += 1
-            elif c == "}" and fields:
-                fields.pop()
+            elif c == "}":
+                if not opened:
+                    return -1, []
+                start, _, stop = opened.pop()
+                fields.append((start, stop))
                 at += 1
             else:
                 at += 1
@@ -330,27 +482,33 @@ def _formatted_end(text: str, pos: int) -> int:
         string = _PY_STRING.match(text, at)
         if string and not (text[at - 1].isalnum() or text[at - 1] == "_"):
             if "f" in string[1].lower() or "t" in string[1].lower():
-                at = _formatted_end(text, at)
+                at = _formatted(text, at)[0]
             else:
                 m = _PY.match(text, at)
                 at = m.end() if m and m.lastgroup == "str" else -1
             if at < 0:
-                return -1
+                return -1, []
         elif c in "([{":
-            fields[-1] += 1
+            opened[-1][1] += 1
             at += 1
-        elif c in ")]}" and fields[-1]:
-            fields[-1] -= 1
+        elif opened[-1][1]:
+            opened[-1][1] -= c in ")]}"
             at += 1
         elif c == "}":
-            fields.pop()
+            fields.append((opened.pop()[0], at))
             at += 1
-        elif c == ":" and not fields[-1]:
-            fields[-1] = -1
+        elif c == ":" or (c == "!" and text[at + 1 : at + 2] != "="):
+            opened[-1][2] = at
             at += 1
+        elif c == "=" and (shown := _PY_SHOWN.match(text, at)) and text[at - 1] not in "=!<>":
+            opened[-1][2] = at
+            at = shown.end()
+            if text[at] == "}":
+                fields.append((opened[-1][0], opened.pop()[2]))
+                at += 1
         else:
             at += 1
-    return -1
+    return -1, []
 
 
 _GLUE_WORDS = frozenset("and or if else in is for not".split())
@@ -358,7 +516,8 @@ _GLUE_WORDS = frozenset("and or if else in is for not".split())
 
 def python(text: str, g: Grammar, old: bool = False) -> Tokens:
     """Lines and indentation become ``NEWLINE``, ``INDENT`` and ``DEDENT``; tabs reach to the next multiple of eight,
-    and must agree with tabs of one column."""
+    and must agree with tabs of one column. The fields of formatted strings become calls of the string, behind all strings
+    that are joined to it."""
     match = (_PY_OLD if old else _PY).match
     kinds_of, words, ident = g.kinds, g.words, g.kinds[IDENT]
     newline, indent, dedent = kinds_of["NEWLINE"], kinds_of["INDENT"], kinds_of["DEDENT"]
@@ -366,6 +525,7 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
     kinds: list[int] = []
     places: list[int] = []
     levels: list[tuple[int, int]] = [(0, 0)]
+    fields: list[tuple[list[int], list[int]]] = []
     depth, start, pos = [], True, 1 if text.startswith("﻿") else 0
     while True:
         m = match(text, pos)
@@ -380,6 +540,7 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
         if what == "nl":
             if depth or start:
                 continue
+            _put(fields, kinds, places)
             kinds.append(newline)
             places.append(at)
             start = True
@@ -387,6 +548,7 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
         if what == "end":
             if depth:
                 raise LexError(at)
+            _put(fields, kinds, places)
             if not start:
                 kinds.append(newline)
                 places.append(at)
@@ -439,8 +601,21 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
             kind = number
         else:
             kind = string
-            if text[at] in "fFtT" or text[at + 1] in "fFtT":
-                end = _formatted_end(text, at)
-                pos = end if end > 0 else pos
+            if what == "fields":
+                pos, found = _formatted(text, at)
+                if pos < 0:
+                    raise LexError(at)
+                for begin, stop in found:
+                    own, where = _inner(lambda t: python(t, g), text, begin, stop, "(", "\n)")
+                    fields.append(([kinds_of["("], *own[:-1], kinds_of[")"]], [begin, *where[:-1], stop]))
+        if fields and kind != string:
+            _put(fields, kinds, places)
         kinds.append(kind)
         places.append(at)
+
+
+def _put(fields: list[tuple[list[int], list[int]]], kinds: list[int], places: list[int]) -> None:
+    for own, where in fields:
+        kinds += own
+        places += where
+    fields.clear()
