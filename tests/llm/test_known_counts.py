@@ -1,6 +1,6 @@
 """Known token counts of p5_tokens: several sequences of a snippet, and token rows without a language."""
 
-from tokenloom.llm.queries import p5_tokens
+from tokenloom.llm.queries import p5_documents, p5_tokens, p8_ids
 
 
 def test_sequences_of_a_snippet_add_up(spark, tmp_path):
@@ -25,3 +25,11 @@ def test_sequences_of_a_snippet_add_up(spark, tmp_path):
         ("documents", "en"): (1, 0, 0), ("text_samples", "text"): (1, 1, 2), ("snippets", "Python"): (1, 1, 17),
         ("snippets", "C"): (2, 1, 5), ("snippets", "Java"): (1, 1, 4), ("snippets", None): (1, 1, 3),
     }
+
+
+def test_documents_have_as_many_tokens_as_ids(spark):
+    directory = "/root/testdata/sf0.001"
+    ids = {str(r.doc_id): r.n for r in p8_ids(spark, directory).selectExpr("doc_id", "size(ids) n").collect()}
+    rows = p5_documents(spark, directory).collect()
+    assert {r.text_id: r.n_tokens for r in rows if r.table_name == "documents"} == ids
+    assert len({(r.table_name, r.language, r.text_id) for r in rows}) == len(rows)

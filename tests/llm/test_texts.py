@@ -65,15 +65,27 @@ def test_totals_are_exact(spark):
         w = want[s]
         for i, x in enumerate((1, not t, len(t or ""), len(enc.encode_ordinary(t or "")), k is not None, k or 0)):
             w[i] += x
-    got = {r.source: [r.n_texts, r.n_empty, r.n_chars, r.n_tokens, r.n_known, r.known_tokens] for r in budget.token_budget(df, ["id"], "text", ["source"], "known").collect()}
-    assert got == dict(want)
-    assert budget.token_budget(df.limit(0), ["id"], "text", ["source"], "known").count() == 0
+    for sent in (10**6, 5, 0):  # all lengths sent, some, none
+        counted = budget.document_tokens(df, ["id", "source", "known"], "text", sent_pieces=sent)
+        assert {r.id: r.n_tokens for r in counted.collect()} == {i: len(enc.encode_ordinary(t or "")) for i, t, *_ in data}
+        got = {r.source: [r.n_texts, r.n_empty, r.n_chars, r.n_tokens, r.n_known, r.known_tokens] for r in budget.token_budget(counted, ["source"], "known").collect()}
+        assert got == dict(want)
+    assert budget.document_tokens(df.limit(0), ["id"], "text").count() == 0
 
 
 def test_pieces_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(budget, "HELD_PIECES", 3)
-    df = spark.createDataFrame([(1, "a b c d e f a b c")], "slice long, text string")
-    assert {r.piece: r.freq for r in budget.piece_counts(df, "slice", "text").collect()}[" b"] == 2
+    df = spark.createDataFrame([("a b c d e f a b c",)] * 3, "text string")
+    assert {r.piece: r.freq for r in budget.piece_counts(df, "text").collect()}[" b"] == 6
+
+
+def test_long_pieces_go_by_their_digest(spark):
+    long = "x" * 70
+    df = spark.createDataFrame([(1, long), (2, f"{long} {long}"), (3, "y" * 5000), (4, "\0" + "a" * 32)], "id long, text string")
+    enc = encoder(PATH)
+    for sent in (100, 0):
+        got = {r.id: r.n_tokens for r in budget.document_tokens(df, ["id"], "text", sent_pieces=sent).collect()}
+        assert got == {r.id: len(enc.encode_ordinary(r.text)) for r in df.collect()}
 
 
 # --- leaks -----------------------------------------------------------------------------------------------------------

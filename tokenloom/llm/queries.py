@@ -93,27 +93,37 @@ def _known_of_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """table_name, source, language, domain, text, known: each document, text sample and snippet once."""
+    """table_name, text_id, source, language, domain, text, known: each document, text sample and snippet once. A
+    snippet's id is unique within its language."""
     none = F.lit(None).cast("string")
     docs = table(spark, d, "documents").select(
-        F.lit("documents").alias("table_name"), "source", F.col("lang").alias("language"), "domain", "text", F.lit(None).cast("long").alias("known")
+        F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("text_id"), "source", F.col("lang").alias("language"), "domain", "text", F.lit(None).cast("long").alias("known")
     )
     latest = lambda *c: F.max(F.struct("written_at", *c)).alias("r")
     samples = (
         table(spark, d, "text_samples").groupBy("idx").agg(latest("source_dataset", "language", "text"))
         .join(_sequences(spark, d, "text_token_features"), "idx", "left")
-        .select(F.lit("text_samples"), F.col("r.source_dataset"), F.col("r.language"), none, F.col("r.text"), "known")
+        .select(F.lit("text_samples"), "idx", F.col("r.source_dataset"), F.col("r.language"), none, F.col("r.text"), "known")
     )
     snippets = (
         table(spark, d, "snippets").groupBy("language", "snippet_id").agg(latest("code"))
         .join(_known_of_snippets(spark, d), F.col("language").eqNullSafe(F.col("_language")) & (F.col("snippet_id") == F.col("_snippet_id")), "left")
-        .select(F.lit("snippets"), none, "language", none, F.col("r.code"), "known")
+        .select(F.lit("snippets"), "snippet_id", none, "language", none, F.col("r.code"), "known")
     )
     return docs.union(samples).union(snippets)
 
 
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return budget.document_tokens(_texts(spark, d), ["table_name", "text_id", "source", "language", "domain", "known"], "text")
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The number of tokens of each text, beside the known one where there is one."""
+    return _counted(spark, d).withColumnRenamed("known", "known_tokens")
+
+
 def p5_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return budget.token_budget(_texts(spark, d), [], "text", ["table_name", "source", "language", "domain"], "known")
+    return budget.token_budget(_counted(spark, d), ["table_name", "source", "language", "domain"], "known")
 
 
 def _sets(spark: SparkSession, d: str) -> tuple[DataFrame, str, str, int, int, int, int]:
@@ -161,6 +171,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_tokens": p5_tokens,
+    "p5_documents": p5_documents,
     "p6_found": p6_found,
     "p6_links": p6_links,
     "p8_ids": p8_ids,
