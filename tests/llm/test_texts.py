@@ -231,7 +231,7 @@ def test_long_texts_go_in_blocks(spark, rows, monkeypatch):
     assert rows(spans.shared_documents(df, "id", "text")) == sorted(_brute_spans(list(enumerate(docs)), 200), key=repr)
 
 
-def _brute_amounts(docs, n):
+def _brute_stretches(docs, n):
     holders = defaultdict(set)
     for i, t in docs:
         for k in range(len(t or "") - n + 1):
@@ -242,8 +242,15 @@ def _brute_amounts(docs, n):
         for k in range(len(t or "") - n + 1):
             if len(holders[t[k : k + n]]) > 1:
                 flags[k : k + n] = b"\1" * n
-        n_shared = sum(flags)
-        out.append((i, None if t is None else len(t), n_shared, n_shared / len(t) if t else 0.0, len([x for x in bytes(flags).split(b"\0") if x])))
+        out += [(i, m.start(), m.end() - m.start()) for m in re.finditer(b"\1+", bytes(flags))]
+    return sorted(out, key=repr)
+
+
+def _brute_amounts(docs, stretches):
+    out = []
+    for i, t in docs:
+        own = [n for j, _, n in stretches if i == j]
+        out.append((i, None if t is None else len(t), sum(own), sum(own) / len(t) if t else 0.0, len(own)))
     return sorted(out, key=repr)
 
 
@@ -265,7 +272,10 @@ def test_shared_amounts(spark, rows, monkeypatch, span, block):
     docs += [notice[: span + 60] + "#", "#" + notice[60:], notice[:-1] + "#" + notice[1:]]  # two partners, each with a side
     docs += [None, "", "x" * 500, "x" * (span - 1), "x" * span, "ab" * 300, docs[0], docs[0], notice + notice]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "id long, text string, marks int")
-    assert rows(spans.shared_amounts(df, "id", "text", span)) == _brute_amounts(list(enumerate(docs)), span)
+    stretches = _brute_stretches(list(enumerate(docs)), span)
+    assert rows(spans.shared_stretches(df, "id", "text", span)) == stretches
+    assert rows(spans.shared_amounts(df, "id", "text", span)) == _brute_amounts(list(enumerate(docs)), stretches)
+    assert rows(spans.shared_documents(df, "id", "text", span)) == sorted({(i,) for i, *_ in stretches}, key=repr)
     assert spans.shared_amounts(df.limit(0), "id", "text", span).count() == 0
 
 

@@ -158,6 +158,11 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amounts(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Which parts of each document stand in other documents, too."""
+    return spans.shared_stretches(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -179,4 +184,5 @@ QUERIES = {
     "p9_reparameterised": p9_reparameterised,
     "p10_found": p10_found,
     "p10_shared": p10_shared,
+    "p10_stretches": p10_stretches,
 }

@@ -29,6 +29,8 @@ from tokenloom.session import cut_lineage
 SPAN = 200
 #: Characters that a gear hash covers: 64 bits, shifted by 4 for each.
 GEAR = 16
+#: Parts that the rows of a hot digest are spread over.
+SALTS = 64
 #: Code points handled at once in a task.
 BLOCK_CHARS = 1_000_000
 
@@ -181,14 +183,32 @@ def chunk_digests(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataF
     return df.select(key, text).mapInArrow(run, f"digest bigint, `{key}` bigint")
 
 
-def _shared(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
-    """Digests that more than one document has."""
-    return (
-        rows.groupBy(*digests)
-        .agg(F.min(key).alias("first"), F.max(key).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select(*digests)
-    )
+def _groups(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
+    """digests, first, last, n of what more than one document has. Combined before it is shuffled; a row a group."""
+    grouped = rows.groupBy(*digests).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("n"))
+    return cut_lineage(grouped.where(F.col("first") != F.col("last")))
+
+
+def _hot(groups: DataFrame, digests: list[str]) -> DataFrame:
+    """Digests that hold a thousandth of all grouped rows each: at most 1,000."""
+    total = groups.agg(F.sum("n").alias("_all"))
+    return groups.crossJoin(F.broadcast(total)).where(F.col("n") * 1000 >= F.col("_all")).select(*digests)  # one row
+
+
+def _joined(rows: DataFrame, groups: DataFrame, digests: list[str], hot: DataFrame, key: str, how: str) -> DataFrame:
+    """A shuffle join in which the rows of hot digests, known to be few digests, are spread by a salt of their key."""
+    marks = F.broadcast(hot.select(*digests, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("_salt")
+    left = rows.join(marks, digests, "left").select(*rows.columns, salt)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = groups.join(marks, digests, "left").select(*groups.columns, F.explode(salts).alias("_salt"))
+    return left.hint("merge").join(right.hint("merge"), [*digests, "_salt"], how).drop("_salt")
+
+
+def _held_twice(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
+    """The rows whose digests another document has, too."""
+    groups = _groups(rows, digests, key)
+    return _joined(rows, groups.select(*digests), digests, _hot(groups, digests), key, "left_semi")
 
 
 def _marked(block: Block, values: list[tuple], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -256,13 +276,15 @@ def _contexts(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
 def _with_marks(df: DataFrame, marks: DataFrame, key: str, text: str) -> DataFrame:
     """Texts with the sorted digests marked in them; a text's own chunks bound the list."""
     lists = marks.groupBy(key).agg(F.sort_array(F.collect_set("digest")).alias("marks"))
-    return df.select(key, text).join(lists, key)
+    return df.select(key, text).hint("merge").join(lists.hint("merge"), key)
 
 
-def _shared_chunks(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    """(digest, key): the chunks of each document that another document has, too."""
+def _shared_chunks(df: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, key): the chunks of each document that another document has, too; and the hot digests among them."""
     chunks = chunk_digests(df, key, text, span)
-    return cut_lineage(chunks.join(_shared(chunks, ["digest"], key), "digest", "left_semi"))
+    groups = _groups(chunks, ["digest"], key)
+    hot = _hot(groups, ["digest"])
+    return cut_lineage(_joined(chunks, groups.select("digest"), ["digest"], hot, key, "left_semi")), hot
 
 
 def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
@@ -271,51 +293,68 @@ def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
     ``key`` is a unique integer. Null, empty and shorter texts hold no span; a repetition within one document is no
     case. Characters are compared by two independent 64-bit digests of exactly ``span`` code points.
     """
-    marks = _shared_chunks(df, key, text, span)
+    marks, hot = _shared_chunks(df, key, text, span)
     spans = _span_digests(_with_marks(df, marks, key, text), key, text, span, False)
-    known = cut_lineage(spans.join(_shared(spans, ["d0", "d1"], key), ["d0", "d1"], "left_semi").select(key).distinct())
+    known = cut_lineage(_held_twice(spans, ["d0", "d1"], key).select(key).distinct())
     # What is not settled: documents with marks but no such span. Their chunks are looked at everywhere.
-    open_marks = marks.join(known, key, "left_anti")
-    doubtful = open_marks.select("digest").distinct()
-    rest = marks.join(doubtful, "digest", "left_semi")
+    open_marks = marks.hint("merge").join(known.hint("merge"), key, "left_anti")
+    rest = _joined(marks, open_marks.select("digest").distinct(), ["digest"], hot, key, "left_semi")
     spans = _span_digests(_with_marks(df, rest, key, text), key, text, span, True)
-    late = spans.join(_shared(spans, ["d0", "d1"], key), ["d0", "d1"], "left_semi").select(key).distinct()
-    return known.unionByName(late).distinct()
+    return known.unionByName(_held_twice(spans, ["d0", "d1"], key).select(key)).distinct()
 
 
-def shared_amounts(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
-    """(key, n_chars, n_shared, share, n_spans) of every document: how many of its code points lie in any ``span``
-    consecutive ones that also stand in another document, as a number and a share, and in how many separate stretches.
-
-    ``key`` is a unique integer. A document that shares nothing has 0 of each, so has null text, whose n_chars is null.
-    Compared as in ``shared_documents``, whose documents are those with n_shared > 0.
-    """
-    contexts = _contexts(_with_marks(df, _shared_chunks(df, key, text, span), key, text), key, text, span)
-    groups = contexts.groupBy("d0", "d1").agg(F.min(key).alias("first"), F.max(key).alias("last")).where(F.col("first") != F.col("last"))
-    chunks = cut_lineage(contexts.join(groups, ["d0", "d1"], "left").select("digest", key, "at", "n", "first", "last"))
+def _covered(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
+    """(key, at, n): stretches of each document, which may overlap, that make up all its shared spans."""
+    marks, hot = _shared_chunks(df, key, text, span)
+    contexts = _contexts(_with_marks(df, marks, key, text), key, text, span)
+    groups = _groups(contexts, ["d0", "d1"], key)
+    chunks = cut_lineage(
+        _joined(contexts, groups.select("d0", "d1", "first", "last"), ["d0", "d1"], _hot(groups, ["d0", "d1"]), key, "left").select("digest", key, "at", "n", "first", "last")
+    )
     # A chunk is open if no other document has its context: its spans are looked at one by one. Of the documents that
     # agree in a context, two stand for all.
     is_open = F.col("first").isNull()
     doubtful = chunks.where(is_open).select("digest").distinct()
     asked = chunks.where(is_open | (F.col(key) == F.col("first")) | (F.col(key) == F.col("last")))
-    rest = asked.select("digest", key).join(doubtful, "digest", "left_semi")
+    rest = _joined(asked.select("digest", key), doubtful, ["digest"], hot, key, "left_semi")
     spans = _span_digests(_with_marks(df, rest, key, text), key, text, span, True, True)
-    single = spans.join(_shared(spans, ["d0", "d1"], key), ["d0", "d1"], "left_semi").select(key, "at", F.lit(span).cast("long").alias("n"))
-    covered = chunks.where(~is_open).select(key, "at", "n").unionByName(single)
+    single = _held_twice(spans, ["d0", "d1"], key).select(key, "at", F.lit(span).cast("long").alias("n"))
+    return chunks.where(~is_open).select(key, "at", "n").unionByName(single)
+
+
+def shared_stretches(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
+    """(key, begin, n_chars): the longest runs of code points of each document that all lie in spans which also stand in
+    some other document; ``begin`` counts from 0.
+
+    Runs don't overlap or touch, and have at least ``span`` code points. ``key`` and cases as in ``shared_documents``,
+    whose documents are those with a run. The runs of a document lie in one task; its length bounds them.
+    """
     before = Window.partitionBy(key).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
-    sums = (
-        covered.withColumn("end", F.col("at") + F.col("n"))
-        .withColumn("reached", F.max("end").over(before))  # null at the first
-        .groupBy(key)
-        .agg(
-            F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("at", "reached"))).alias("n_shared"),
-            F.count_if(F.col("reached").isNull() | (F.col("at") > F.col("reached"))).alias("n_spans"),
-        )
+    so_far = Window.partitionBy(key).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.max(F.col("at") + F.col("n")).over(before)  # null at the first
+    fresh = F.when(reached.isNull() | (F.col("at") > reached), F.col("at"))
+    return (
+        _covered(df, key, text, span)
+        .withColumn("_fresh", fresh)
+        .withColumn("begin", F.max("_fresh").over(so_far))
+        .groupBy(key, "begin")
+        .agg((F.max(F.col("at") + F.col("n")) - F.col("begin")).alias("n_chars"))
     )
+
+
+def shared_amounts(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
+    """(key, n_chars, n_shared, share, n_spans) of every document: how many of its code points lie in any ``span``
+    consecutive ones that also stand in another document, as a number and a share, and in how many separate stretches.
+
+    ``key`` is a unique integer. A document that shares nothing has 0 of each, so has null text, whose n_chars is null.
+    Compared as in ``shared_documents``, whose documents are those with n_shared > 0.
+    """
+    sums = shared_stretches(df, key, text, span).groupBy(key).agg(F.sum("n_chars").alias("n_shared"), F.count(F.lit(1)).alias("n_spans"))
     n_shared = F.coalesce("n_shared", F.lit(0).cast("long"))
     return (
         df.select(key, F.length(text).cast("long").alias("n_chars"))
-        .join(sums, key, "left")
+        .hint("merge")
+        .join(sums.hint("merge"), key, "left")
         .select(
             key,
             "n_chars",

@@ -30,7 +30,22 @@ _SETS = """
                   FROM token_sets) t WHERE len(ids) >= 5)
 """
 
+_SPANS = """
+    WITH w AS (SELECT doc_id, unnest(range(1, length(text) - 198)) AS i, text FROM documents WHERE length(text) >= 200),
+    p AS (SELECT doc_id, i, substr(text, i, 200) AS s FROM w),
+    hit AS (SELECT doc_id, i FROM p SEMI JOIN (SELECT s FROM p GROUP BY s HAVING min(doc_id) <> max(doc_id)) g USING (s)),
+    part AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS gap FROM hit),
+    run AS (SELECT doc_id, i, count(*) FILTER (gap) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM part),
+    stretch AS (SELECT doc_id, min(i) - 1 AS start, max(i) - min(i) + 200 AS n_chars FROM run GROUP BY doc_id, k)
+"""
+
 SQL = {
+    "p10_found": _SPANS + "SELECT DISTINCT doc_id FROM hit",
+    "p10_stretches": _SPANS + "SELECT doc_id, start AS begin, n_chars FROM stretch",
+    "p10_shared": _SPANS
+    + """
+        SELECT d.doc_id, length(text) AS n_chars, coalesce(n, 0)::BIGINT AS n_shared, coalesce(n / nullif(length(text), 0), 0)::DOUBLE AS share, coalesce(k, 0) AS n_spans
+        FROM documents d LEFT JOIN (SELECT doc_id, sum(n_chars) AS n, count(*) AS k FROM stretch GROUP BY doc_id) s ON s.doc_id = d.doc_id""",
     "p3_found": _top(3, "top_feature_id, rank_no, idx, token_pos"),
     "p3_top_tokens": _top(10, "top_feature_id, rank_no, top_feature_activation, token_str, idx, token_pos"),
     "p4_found": _PAIRS
