@@ -254,10 +254,11 @@ def _brute_amounts(docs, stretches):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [spans.BLOCK_CHARS, 300])
+@pytest.mark.parametrize(("block", "bits"), [(spans.BLOCK_CHARS, spans.BITMAP_BITS), (300, 15)])
 @pytest.mark.parametrize("span", [200, 64])
-def test_shared_amounts(spark, rows, monkeypatch, span, block):
+def test_shared_amounts(spark, rows, monkeypatch, span, block, bits):
     monkeypatch.setattr(spans, "BLOCK_CHARS", block)
+    monkeypatch.setattr(spans, "BITMAP_BITS", bits)  # with few bits much of it hits by chance
     rng = np.random.default_rng(span)
     docs = [_random_text(rng, rng.integers(0, 2000)) for _ in range(25)]
     for _ in range(40):  # one to three stretches of other documents, some of them too short

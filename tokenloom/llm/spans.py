@@ -7,9 +7,11 @@ fixed margin on both sides, is what digests are taken of. The numbers are chosen
 row hold at least one widened chunk whose cuts are fixed by those characters alone: two texts that share a span share
 a chunk, without exception.
 
-Documents with a chunk of another document are candidates; spans are then settled on digests of exactly ``span``
-characters: first of those that begin at a chunk, which settles nearly all long copies, then of every place of what is
-left. All digests are grouped with least and greatest document only, so a group of copies of any size stays one row.
+Digests of chunks are counted, and those of several documents are marked in a bitmap of fixed size that goes to all
+tasks. A second pass over the texts takes the chunks that hit it; what hits it by chance is sorted out exactly, later.
+Spans are settled on digests of exactly ``span`` characters: first of those that begin or end at such a chunk, which
+settles nearly all long copies, then of every place of what is left. All digests are grouped with least and greatest
+document only, so a group of copies of any size stays one row.
 
 How much of a document is shared is settled chunk by chunk: a chunk whose whole context (all spans that hold it) stands
 in another document needs no closer look; of the others every span is compared.
@@ -21,7 +23,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.session import cut_lineage
@@ -31,6 +34,8 @@ SPAN = 200
 GEAR = 16
 #: Parts that the rows of a hot digest are spread over.
 SALTS = 64
+#: Bits of a place in the bitmap: 16 MB. However full it is, it only lets through more.
+BITMAP_BITS = 27
 #: Code points handled at once in a task.
 BLOCK_CHARS = 1_000_000
 
@@ -211,80 +216,132 @@ def _held_twice(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
     return _joined(rows, groups.select(*digests), digests, _hot(groups, digests), key, "left_semi")
 
 
-def _marked(block: Block, values: list[tuple], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, piece, digest) of the chunks marked in their text; ``values``: (key, marks) of each piece."""
+def _place(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - BITMAP_BITS)
+
+
+def _bitmap(hashes: DataFrame) -> Broadcast:
+    """A bitmap of the leading bits of 64-bit hashes (the only column), for all tasks. It is put together by the
+    executors in pieces of 4 kB, of which there are 2**BITMAP_BITS / 32,768 at most."""
+    place = _place(F.col(hashes.columns[0])) + 1  # buckets hold places from 1 on
+    pieces = hashes.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+    whole = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for b, bits in zip(pieces.column(0).to_pylist(), pieces.column(1).to_pylist()):
+        whole[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(whole)
+
+
+def _hits(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def _met(block: Block, span: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, piece, digest) of the chunks whose digests are in the bitmap."""
+    shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
     begin, end, piece = _chunks(block, span)
     digest = block.digest(begin, end, 0)
-    marked = np.zeros(len(digest), bool)
-    bounds = np.searchsorted(piece, np.arange(len(values) + 1))
-    for i, v in enumerate(values):
-        if bounds[i] < bounds[i + 1]:
-            marked[bounds[i] : bounds[i + 1]] = np.isin(digest[bounds[i] : bounds[i + 1]], np.asarray(v[1], np.int64))
-    return begin[marked], end[marked], piece[marked], digest[marked]
+    hit = _hits(bitmap, (digest.view(np.uint64) >> shift).astype(np.int64))
+    return begin[hit], end[hit], piece[hit], digest[hit]
+
+
+def _batches(names: list[str], columns: list[np.ndarray], missing: dict[str, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    missing = missing or {}
+    for k in range(0, len(columns[0]), 100_000):
+        cut = slice(k, k + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(x[cut], mask=missing[n][cut] if n in missing else None) for n, x in zip(names, columns)], names=names)
+
+
+def _keys(values: list[tuple], piece: np.ndarray) -> np.ndarray:
+    return np.array([v[0] for v in values])[piece] if len(piece) else np.empty(0, np.int64)
+
+
+def _edge_spans(df: DataFrame, key: str, text: str, span: int, bitmap: Broadcast) -> DataFrame:
+    """(digest, key, d0, d1): of each chunk in the bitmap the spans that begin and end with it. d0 and d1 are null where
+    the text is too short on that side."""
+    names = ["digest", key, "d0", "d1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, core, values, _ in _blocks(batches, 2 * span):
+            begin, end, piece, digest = _met(block, span, bitmap.value)
+            own = (begin >= core[piece, 0]) & (begin < core[piece, 1])
+            at = np.r_[begin[own], end[own] - span]
+            piece, digest = np.r_[piece[own], piece[own]], np.r_[digest[own], digest[own]]
+            off = (at < block.starts[piece]) | (at + span > block.ends[piece])
+            at = np.where(off, block.starts[piece], at)
+            stop = np.where(off, at, at + span)
+            yield from _batches(names, [digest, _keys(values, piece), block.digest(at, stop, 0), block.digest(at, stop, 1)], {"d0": off, "d1": off})
+
+    return df.select(key, text).mapInArrow(run, ", ".join(f"`{n}` bigint" for n in names))
 
 
-def _span_digests(df: DataFrame, key: str, text: str, span: int, everywhere: bool, places: bool = False) -> DataFrame:
-    """(d0, d1, key[, at]) of ``span`` characters. ``df`` has, besides, ``marks``: the sorted digests of the chunks
-    that count. At chunks only: the spans that begin, and those that end, at a marked chunk. ``everywhere``: all spans
-    that hold a marked chunk. ``places``: with ``at``, where the span begins in its text."""
-    names = ["d0", "d1", key] + ["at"] * places
+def _span_digests(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
+    """(d0, d1, key, at) of all spans that hold a chunk whose digest is in ``marks``, sorted digests that ``df`` has,
+    besides; ``at`` is where the span begins in its text."""
+    names = ["d0", "d1", key, "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, core, values, offset in _blocks(batches, 2 * span):
-            begin, end, piece, _ = _marked(block, values, span)
-            if everywhere:
-                flag = np.zeros(len(block.points) + 1, np.int32)
-                lo = np.maximum(end - span, block.starts[piece])
-                hi = np.minimum(begin, block.ends[piece] - span)
-                ok = lo <= hi
-                np.add.at(flag, lo[ok], 1)
-                np.add.at(flag, hi[ok] + 1, -1)
-                at = np.flatnonzero(np.cumsum(flag) > 0)
-            else:
-                at = np.r_[begin, end - span]
-                of = np.r_[piece, piece]
-                at = np.unique(at[(at >= block.starts[of]) & (at + span <= block.ends[of])])
+            begin, end, piece = _chunks(block, span)
+            digest = block.digest(begin, end, 0)
+            marked = np.zeros(len(digest), bool)
+            bounds = np.searchsorted(piece, np.arange(len(values) + 1))
+            for i, v in enumerate(values):
+                if bounds[i] < bounds[i + 1]:
+                    marked[bounds[i] : bounds[i + 1]] = np.isin(digest[bounds[i] : bounds[i + 1]], np.asarray(v[1], np.int64))
+            begin, end, piece = begin[marked], end[marked], piece[marked]
+            flag = np.zeros(len(block.points) + 1, np.int32)
+            lo, hi = np.maximum(end - span, block.starts[piece]), np.minimum(begin, block.ends[piece] - span)
+            ok = lo <= hi
+            np.add.at(flag, lo[ok], 1)
+            np.add.at(flag, hi[ok] + 1, -1)
+            at = np.flatnonzero(np.cumsum(flag) > 0)
             piece = np.searchsorted(block.starts, at, side="right") - 1
             own = (at >= core[piece, 0]) & (at < core[piece, 1]) if len(at) else np.empty(0, bool)
             at, piece = at[own], piece[own]
-            keys = np.array([v[0] for v in values])[piece] if len(piece) else np.empty(0, np.int64)
-            columns = [block.digest(at, at + span, 0), block.digest(at, at + span, 1), keys] + ([at + offset[piece]] if places else [])
-            for k in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], names=names)
+            yield from _batches(names, [block.digest(at, at + span, 0), block.digest(at, at + span, 1), _keys(values, piece), at + offset[piece]])
 
     return df.select(key, text, "marks").mapInArrow(run, ", ".join(f"`{n}` bigint" for n in names))
 
 
-def _contexts(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    """(d0, d1, digest, key, at, n): each marked chunk with its context, the ``n`` characters from place ``at`` on that
-    all spans with this chunk lie in. ``df`` has ``marks``."""
+def _contexts(df: DataFrame, key: str, text: str, span: int, bitmap: Broadcast) -> DataFrame:
+    """(d0, d1, digest, key, at, n): each chunk in the bitmap with its context, the ``n`` characters from place ``at`` on
+    that all spans with this chunk lie in."""
+    names = ["d0", "d1", "digest", key, "at", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, core, values, offset in _blocks(batches, 2 * span):
-            begin, end, piece, digest = _marked(block, values, span)
+            begin, end, piece, digest = _met(block, span, bitmap.value)
             lo, hi = np.maximum(end - span, block.starts[piece]), np.minimum(begin + span, block.ends[piece])
             own = (begin >= core[piece, 0]) & (begin < core[piece, 1]) & (hi - lo >= span)
             lo, hi, piece, digest = lo[own], hi[own], piece[own], digest[own]
-            keys = np.array([v[0] for v in values])[piece] if len(piece) else np.empty(0, np.int64)
-            columns = (block.digest(lo, hi, 0), block.digest(lo, hi, 1), digest, keys, lo + offset[piece], hi - lo)
-            for k in range(0, len(lo), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in columns], names=["d0", "d1", "digest", key, "at", "n"])
+            yield from _batches(names, [block.digest(lo, hi, 0), block.digest(lo, hi, 1), digest, _keys(values, piece), lo + offset[piece], hi - lo])
 
-    return df.select(key, text, "marks").mapInArrow(run, f"d0 bigint, d1 bigint, digest bigint, `{key}` bigint, at bigint, n bigint")
+    return df.select(key, text).mapInArrow(run, ", ".join(f"`{n}` bigint" for n in names))
 
 
 def _with_marks(df: DataFrame, marks: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts with the sorted digests marked in them; a text's own chunks bound the list."""
-    lists = marks.groupBy(key).agg(F.sort_array(F.collect_set("digest")).alias("marks"))
-    return df.select(key, text).hint("merge").join(lists.hint("merge"), key)
+    """Texts with the sorted digests marked in them; a text's own chunks bound the list. Only texts whose keys hit a
+    bitmap of the marks' keys are exchanged."""
+    lists = cut_lineage(marks.groupBy(key).agg(F.sort_array(F.collect_set("digest")).alias("marks")))
+    bitmap = _bitmap(lists.select(F.xxhash64(key)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_hits(bitmap.value, batch.column(2).to_numpy()))).select([0, 1])
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, text))
+    some = df.select(key, text, _place(F.xxhash64(key)).alias("_place")).mapInArrow(run, kinds)
+    return some.hint("merge").join(lists.hint("merge"), key)
+
+
+def _shared_chunks(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
+    """(digest, n): the chunks of more than one document, and how many hold them."""
+    return _groups(chunk_digests(df, key, text, span), ["digest"], key).select("digest", "n")
 
 
-def _shared_chunks(df: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
-    """(digest, key): the chunks of each document that another document has, too; and the hot digests among them."""
-    chunks = chunk_digests(df, key, text, span)
-    groups = _groups(chunks, ["digest"], key)
-    hot = _hot(groups, ["digest"])
-    return cut_lineage(_joined(chunks, groups.select("digest"), ["digest"], hot, key, "left_semi")), hot
+def _exactly(digests: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each of the digests that is of several documents, once."""
+    return digests.distinct().hint("merge").join(groups.select("digest").hint("merge"), "digest", "left_semi")
 
 
 def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> DataFrame:
@@ -293,20 +350,20 @@ def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
     ``key`` is a unique integer. Null, empty and shorter texts hold no span; a repetition within one document is no
     case. Characters are compared by two independent 64-bit digests of exactly ``span`` code points.
     """
-    marks, hot = _shared_chunks(df, key, text, span)
-    spans = _span_digests(_with_marks(df, marks, key, text), key, text, span, False)
-    known = cut_lineage(_held_twice(spans, ["d0", "d1"], key).select(key).distinct())
-    # What is not settled: documents with marks but no such span. Their chunks are looked at everywhere.
-    open_marks = marks.hint("merge").join(known.hint("merge"), key, "left_anti")
-    rest = _joined(marks, open_marks.select("digest").distinct(), ["digest"], hot, key, "left_semi")
-    spans = _span_digests(_with_marks(df, rest, key, text), key, text, span, True)
+    groups = _shared_chunks(df, key, text, span)
+    spots = cut_lineage(_edge_spans(df, key, text, span, _bitmap(groups.select("digest"))))
+    known = cut_lineage(_held_twice(spots.where("d0 is not null").select("d0", "d1", key), ["d0", "d1"], key).select(key).distinct())
+    # What is not settled: documents with shared chunks but no such span. Their chunks are looked at everywhere.
+    doubtful = _exactly(spots.select("digest", key).hint("merge").join(known.hint("merge"), key, "left_anti").select("digest"), groups)
+    rest = _joined(spots.select("digest", key), doubtful, ["digest"], _hot(groups, ["digest"]), key, "left_semi")
+    spans = cut_lineage(_span_digests(_with_marks(df, rest, key, text), key, text, span))
     return known.unionByName(_held_twice(spans, ["d0", "d1"], key).select(key)).distinct()
 
 
 def _covered(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
     """(key, at, n): stretches of each document, which may overlap, that make up all its shared spans."""
-    marks, hot = _shared_chunks(df, key, text, span)
-    contexts = _contexts(_with_marks(df, marks, key, text), key, text, span)
+    shared = _shared_chunks(df, key, text, span)
+    contexts = cut_lineage(_contexts(df, key, text, span, _bitmap(shared.select("digest"))))
     groups = _groups(contexts, ["d0", "d1"], key)
     chunks = cut_lineage(
         _joined(contexts, groups.select("d0", "d1", "first", "last"), ["d0", "d1"], _hot(groups, ["d0", "d1"]), key, "left").select("digest", key, "at", "n", "first", "last")
@@ -314,10 +371,10 @@ def _covered(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
     # A chunk is open if no other document has its context: its spans are looked at one by one. Of the documents that
     # agree in a context, two stand for all.
     is_open = F.col("first").isNull()
-    doubtful = chunks.where(is_open).select("digest").distinct()
+    doubtful = _exactly(chunks.where(is_open).select("digest"), shared)
     asked = chunks.where(is_open | (F.col(key) == F.col("first")) | (F.col(key) == F.col("last")))
-    rest = _joined(asked.select("digest", key), doubtful, ["digest"], hot, key, "left_semi")
-    spans = _span_digests(_with_marks(df, rest, key, text), key, text, span, True, True)
+    rest = _joined(asked.select("digest", key), doubtful, ["digest"], _hot(shared, ["digest"]), key, "left_semi")
+    spans = cut_lineage(_span_digests(_with_marks(df, rest, key, text), key, text, span))
     single = _held_twice(spans, ["d0", "d1"], key).select(key, "at", F.lit(span).cast("long").alias("n"))
     return chunks.where(~is_open).select(key, "at", "n").unionByName(single)
 
