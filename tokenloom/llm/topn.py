@@ -10,8 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.session import cut_lineage
+
 #: Rows held back in a task before they are cut down to the N best of each group.
 BUFFER_ROWS = 100_000
+#: Rows kept in a task (many groups) before they are handed on.
+KEPT_ROWS = 1_000_000
+#: Bounds of so many groups are sent to all tasks; beyond, they are joined by a shuffle.
+SENT_BOUNDS = 500_000
 
 
 def _best(t: pa.Table, group: str, score: str, ties: Sequence[str], identity: Sequence[str], n: int) -> pa.Table:
@@ -44,9 +50,9 @@ def top_n_per_group(
     gives no rows.
 
     Each task keeps the n best of each group of its own rows (nothing else of it can be among the n best of all), and
-    reports the n-th best score as a lower bound. The greatest bound of each group is joined back, survivors below it
-    fall out, and what is left, a few rows per group, is ranked. A group of any size is thus cut to n rows per task
-    before the first shuffle.
+    reports the n-th best score as a lower bound. The greatest bound of each group is joined to what the tasks kept,
+    rows below it fall out where they are, and only what is left, few more than n rows of a group however many tasks
+    saw it, is exchanged and ranked.
     """
     columns = [group, score, *ties]
     slim = df.select(group, (F.col(score).cast("double") + F.lit(0.0)).alias(score), *ties).where(
@@ -55,33 +61,40 @@ def top_n_per_group(
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held, rows = None, [], 0
+
+        def cut() -> pa.Table:
+            fresh = pa.Table.from_batches(held)
+            return _best(pa.concat_tables([kept, fresh]) if kept is not None else fresh, group, score, ties, identity, n)
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            g = t.column(group).combine_chunks().to_numpy(zero_copy_only=False)
+            first = np.r_[True, g[1:] != g[:-1]]
+            place = np.arange(len(g)) - np.maximum.accumulate(np.where(first, np.arange(len(g)), 0)) + 1
+            scores = t.column(score).combine_chunks().to_numpy(zero_copy_only=False)
+            bound = pa.array(np.where(place == n, scores, 0.0), mask=place != n)
+            yield from t.append_column("_bound", bound).combine_chunks().to_batches(max_chunksize=20_000)
+
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= BUFFER_ROWS:
-                fresh = pa.Table.from_batches(held)
-                kept = _best(pa.concat_tables([kept, fresh]) if kept is not None else fresh, group, score, ties, identity, n)
+            if rows >= max(BUFFER_ROWS, 0 if kept is None else kept.num_rows):  # what is kept is sorted again but a few times
+                kept = cut()
                 held, rows = [], 0
+                if kept.num_rows >= KEPT_ROWS:  # any rows' own n best make valid bounds
+                    yield from out(kept)
+                    kept = None
         if held:
-            fresh = pa.Table.from_batches(held)
-            kept = _best(pa.concat_tables([kept, fresh]) if kept is not None else fresh, group, score, ties, identity, n)
+            kept = cut()
         if kept is not None and kept.num_rows:
-            g = kept.column(group).combine_chunks().to_numpy(zero_copy_only=False)
-            first = np.r_[True, g[1:] != g[:-1]]
-            place = np.arange(len(g)) - np.maximum.accumulate(np.where(first, np.arange(len(g)), 0)) + 1
-            scores = kept.column(score).combine_chunks().to_numpy(zero_copy_only=False)
-            bound = pa.array(np.where(place == n, scores, 0.0), mask=place != n)
-            yield from kept.append_column("_bound", bound).combine_chunks().to_batches(max_chunksize=20_000)
+            yield from out(kept)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    survivors = slim.select(*columns).mapInArrow(local, f"{schema}, _bound double")
-    bounds = Window.partitionBy(group)
+    kept = cut_lineage(slim.select(*columns).mapInArrow(local, f"{schema}, _bound double"))
+    bounds = kept.where(F.col("_bound").isNotNull()).groupBy(F.col(group).alias("_group")).agg(F.max("_bound").alias("_least"))
+    few = bounds.limit(SENT_BOUNDS + 1).count() <= SENT_BOUNDS
+    rows = kept.drop("_bound")
+    bounded = rows.join(F.broadcast(bounds), F.col(group) == F.col("_group"), "left") if few else rows.hint("merge").join(bounds.hint("merge"), F.col(group) == F.col("_group"), "left")
+    passed = bounded.where(F.col("_least").isNull() | (F.col(score) >= F.col("_least"))).select(*columns)
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), *[F.col(c).asc_nulls_last() for c in ties])
-    # One exchange by group serves the bound and the ranking: a task sent at most n rows of each group.
-    passed = (
-        survivors.withColumn("_bound", F.max("_bound").over(bounds))
-        .where(F.col("_bound").isNull() | (F.col(score) >= F.col("_bound")))
-        .drop("_bound")
-    )
     tie_free = passed.withColumn("rank_no", F.dense_rank().over(order)).where(F.col("rank_no") <= n)
     return tie_free.dropDuplicates([group, *identity]).select(group, F.col("rank_no").cast("long").alias("rank_no"), score, *ties)
