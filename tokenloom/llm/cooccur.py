@@ -87,25 +87,30 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(merged())
 
 
+def chunk_rows(df: DataFrame, size: int) -> DataFrame:
+    """(record, i, l, behind): each chunk of ``size`` items of each record with those behind it, in tasks by record and
+    number. Chunks of sorted items are in ascending order, so left < right holds between chunks."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / size).cast("int")), lambda i: F.slice("items", i * size + 1, size))
+    left = df.withColumn("chunks", chunks).select("record", "chunks", F.posexplode("chunks").alias("i", "l"))
+    behind = F.slice("chunks", F.col("i") + 2, F.size("chunks"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, lest few bytes be made few tasks: they are much work
+    return left.select("record", "i", "l", behind.alias("behind")).repartition(tasks, F.xxhash64("record", "i"))
+
+
 def pair_counts(df: DataFrame, large: int = LARGE_BASKET) -> DataFrame:
-    """(feature_a, feature_b, n_ab), feature_a < feature_b, from a table with a sorted list ``items`` per record.
+    """(feature_a, feature_b, n_ab), feature_a < feature_b, from a table with a sorted list ``items`` per record and a
+    number ``record``, which need not be unique.
 
-    Large baskets are split into chunks; each chunk and each pair of chunks becomes a row of its own, spread over all
-    tasks, so no record makes one task quadratically long. Ordinary baskets pass as they are. Tasks count their pairs
-    before the shuffle; the counts of both kinds are then added up.
+    Large baskets are split into chunks. Each chunk is sent to a task by the numbers of its record and its own, and is
+    multiplied there with itself and the chunks behind it; so neither a record nor copies of one make a task
+    quadratically long. Ordinary baskets pass as they are. Tasks count their pairs before the shuffle; the counts of
+    both kinds are then added up.
     """
     nothing = F.lit(None).cast("array<bigint>")
     plain = df.where(F.size("items").between(2, large)).select(F.col("items").alias("l"), nothing.alias("r"))
-    half = large // 2
-    big = df.where(F.size("items") > large).withColumn(
-        "chunks",
-        F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / half).cast("int")), lambda i: F.slice("items", i * half + 1, half)),
-    )
-    # Chunks of sorted items are in ascending order, so left < right holds between chunks.
-    left = big.select("chunks", F.posexplode("chunks").alias("i", "l"))
-    cross = left.select("l", F.explode(F.concat(F.array(nothing), F.slice("chunks", F.col("i") + 2, F.size("chunks")))).alias("r"))
-    spread = cross.repartition(F.xxhash64("l", "r"))
-    partial = plain.unionByName(spread).mapInArrow(_count_pairs, "feature_a bigint, feature_b bigint, n_ab bigint")
+    spread = chunk_rows(df.where(F.size("items") > large), large // 2)
+    cross = spread.select("l", F.explode(F.concat(F.array(nothing), "behind")).alias("r"))
+    partial = plain.unionByName(cross).mapInArrow(_count_pairs, "feature_a bigint, feature_b bigint, n_ab bigint")
     return partial.groupBy("feature_a", "feature_b").agg(F.sum("n_ab").alias("n_ab"))
 
 
@@ -117,7 +122,7 @@ def associations(df: DataFrame, items: str, record: list[str], min_pairs: int =
     ``min_lift`` (compared in exact decimals) come out. No records give no rows. Item counts are joined to the pairs
     that are left after the first condition; the exchange that makes records unique is shared by pairs and counts.
     """
-    each = baskets(df, items, record).select("items")
+    each = baskets(df, items, record).select(F.xxhash64(*record).alias("record"), "items")
     # The count of the null item added to each record is the number of records.
     with_total = F.concat("items", F.array(F.lit(None).cast("bigint")))
     counts = each.select(F.explode(with_total).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
@@ -130,8 +135,9 @@ def associations(df: DataFrame, items: str, record: list[str], min_pairs: int =
     return (
         pair_counts(each)
         .where(F.col("n_ab") >= min_pairs)
-        .join(a, "feature_a")
-        .join(b, "feature_b")
+        .hint("merge")
+        .join(a.hint("merge"), "feature_a")
+        .join(b.hint("merge"), "feature_b")
         .crossJoin(F.broadcast(total))  # one row
         .where(exact("n_ab") * exact("n") >= exact("n_a") * exact("n_b") * F.lit(min_lift).cast("decimal(9,3)"))
         .select("feature_a", "feature_b", "n_ab", "n_a", "n_b", "n", lift.alias("lift"), F.log2(lift).alias("pmi"))
