@@ -9,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tokenloom.llm import cooccur, quantiles, setjoin, topn
 
 NAN = float("nan")
@@ -72,6 +74,24 @@ def test_percentiles_of_groups(spark):
     assert quantiles.read_percentiles(quantiles.digest(df.limit(0), ["g"], ["v"]), ["g"], [0.5]).count() == 0
 
 
+@pytest.mark.parametrize("held", [quantiles.HELD_VALUES, 500])
+def test_merged_trees_stay_small_and_within_the_bound(spark, monkeypatch, held):
+    monkeypatch.setattr(quantiles, "HELD_VALUES", held)
+    rng = np.random.default_rng(7)
+    data = [("a" if i % 3 else None, float(x), float(np.floor(x))) for i, x in enumerate(rng.pareto(1.0, 40_000) * 100)]
+    df = spark.createDataFrame(data, "g string, v double, w double").repartition(8)
+    nodes = quantiles.digest(df, ["g"], ["v", "w"])
+    again = quantiles.merge(nodes.unionByName(nodes), ["g"])
+    assert again.count() <= nodes.count() and nodes.count() <= 4 * 3 * quantiles.FACTOR
+    shares = [0.001, 0.1, 0.5, 0.9, 0.999]
+    checked = quantiles.rank_check(df, ["g"], ["v", "w"], quantiles.read_percentiles(nodes, ["g"], shares)).collect()
+    assert len(checked) == 20 and all(r.within for r in checked)
+    twice = quantiles.rank_check(df.union(df), ["g"], ["v", "w"], quantiles.read_percentiles(again, ["g"], shares)).collect()
+    assert len(twice) == 20 and all(r.within for r in twice)
+    off = quantiles.read_percentiles(nodes, ["g"], shares).withColumn("value", F.col("value") * 1.1)
+    assert not all(r.within for r in quantiles.rank_check(df, ["g"], ["v", "w"], off).collect())
+
+
 # --- top items -------------------------------------------------------------------------------------------------------
 
 _ITEM = "g long, s double, t string, i string, p long, s_bound double"
@@ -100,6 +120,18 @@ def test_top_n(spark, rows, partitions):
     assert topn.top_n_per_group(df.limit(0), "g", "s", ["t", "i", "p"], ["i", "p"], 3).count() == 0
 
 
+@pytest.mark.parametrize(("kept", "sent"), [(topn.KEPT_ROWS, 0), (50, topn.SENT_BOUNDS), (50, 0)])
+def test_top_n_of_many_groups(spark, rows, monkeypatch, kept, sent):
+    monkeypatch.setattr(topn, "KEPT_ROWS", kept)
+    monkeypatch.setattr(topn, "BUFFER_ROWS", 20)
+    monkeypatch.setattr(topn, "SENT_BOUNDS", sent)
+    rng = np.random.default_rng(8)
+    data = [(0 if rng.random() < 0.4 else int(rng.integers(1, 400)), float(rng.integers(0, 9)), "t", f"i{k}", k, 0.0) for k in range(3000)]
+    df = spark.createDataFrame(data, _ITEM).repartition(5)
+    got = topn.top_n_per_group(df, "g", "s", ["t", "i", "p"], ["i", "p"], 3).select("g", "rank_no", "i", "p")
+    assert rows(got) == sorted(_brute_top(data, 3), key=repr)
+
+
 # --- pairs -----------------------------------------------------------------------------------------------------------
 
 
@@ -120,17 +152,26 @@ def test_pairs(spark, rows, large, monkeypatch):
     data += [(1000, None), (1001, []), (1002, [None, 3]), (1003, [None]), (1004, [2**40, 7, 7, None, -5]), (1005, list(range(60)))]
     data += data[:50]
     df = spark.createDataFrame(data, "k long, ids array<long>")
-    each = cooccur.baskets(df, "ids", ["k"]).select("items")
+    each = cooccur.baskets(df, "ids", ["k"]).select("items", F.col("k").alias("record"))
     assert rows(cooccur.pair_counts(each, large)) == sorted(((a, b, n) for a, b, n, *_ in _brute_pairs(data)), key=repr)
     got = cooccur.associations(df, "ids", ["k"], 2, 1.5).select("feature_a", "feature_b", "n_ab", "n_a", "n_b", "n")
     assert rows(got) == sorted((r for r in _brute_pairs(data) if r[2] >= 2 and 2 * r[2] * r[5] >= 3 * r[3] * r[4]), key=repr)
     assert cooccur.associations(df.limit(0), "ids", ["k"]).count() == 0
 
 
+def test_copies_of_a_large_basket_are_spread(spark):
+    """Their chunks go to many tasks, though all have the same items."""
+    df = spark.createDataFrame([(k, list(range(200))) for k in range(30)], "k long, ids array<long>").repartition(4)
+    each = cooccur.baskets(df, "ids", ["k"]).select("items", F.col("k").alias("record"))
+    seen = cooccur.chunk_rows(each, 20).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(seen) == 4 and max(r["count"] for r in seen) < 2 * 30 * 20 / 4
+    assert {r.n_ab for r in cooccur.pair_counts(each, 20).collect()} == {30}
+
+
 def test_counts_are_handed_on_in_parts(spark, rows, monkeypatch):
     df = spark.createDataFrame([(k, list(range(40))) for k in range(300)], "k long, ids array<long>").coalesce(1)
     monkeypatch.setattr(cooccur, "HELD_PAIRS", 1000)
-    each = cooccur.baskets(df, "ids", ["k"]).select("items")
+    each = cooccur.baskets(df, "ids", ["k"]).select("items", F.col("k").alias("record"))
     assert {r.n_ab for r in cooccur.pair_counts(each).collect()} == {300}
 
 

@@ -32,6 +32,13 @@ def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("max_rank_error", F.lit(quantiles.RANK_ERROR))  # as a share of n
 
 
+def p1_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile of all batches lies within the stated error of the exact ranks."""
+    rows = _positions(spark, d)
+    whole = quantiles.read_percentiles(quantiles.digest(rows, GROUPS, METRICS), GROUPS, PERCENTILES)
+    return quantiles.rank_check(rows, GROUPS, METRICS, whole).select(*GROUPS, "metric", "n", "percentile", "within")
+
+
 def _checked(spark: SparkSession, d: str, *more: str) -> DataFrame:
     rows = table(spark, d, "snippets").withColumn("repository", syntaxcheck.repository_of(F.col("file_path")))
     return syntaxcheck.check_files(rows, ["language", "snippet_id", *more], "language", "code")
@@ -169,6 +176,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_percentiles": p1_percentiles,
+    "p1_bound": p1_bound,
     "p2_found": p2_found,
     "p2_rates": p2_rates,
     "p3_found": p3_found,
