@@ -1,22 +1,24 @@
 """One row per token of a snippet, with labels, scope, visible names, declaration and last write.
 
-Tokenizing, lexing and parsing need Python; they run once per snippet and hand each token only the runs, leaves and
-records that touch it. Votes, lookups, distances and the history of writes are column expressions and one window.
+Tokenizing, lexing and parsing need Python, and a snippet stands alone; so all that is known of its tokens is settled in
+the same pass over the snippet, and rows leave it complete: nothing is shuffled, and no row carries anything of the
+snippet that the table does not ask for. Lookups are by bisection; visible names change at few places of a snippet and
+are put together once for each.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.functions import labels, spans
-from tokenloom.functions.binding import bind
+from tokenloom.functions import labels
 from tokenloom.functions.syntax import ParserRegistry, analyse
 from tokenloom.functions.tokenizers import PatternTokenizer, Tokenizer
 from tokenloom.operators.lexing import lexer_runs
@@ -126,112 +128,198 @@ def parse_snippets(snippets: DataFrame, tokenizer: Tokenizer | None = None, regi
     return snippets.mapInArrow(run, out_schema)
 
 
-def _json_list(values: Column, text: bool) -> Column:
-    """A JSON list with a blank behind each comma, non-ASCII kept."""
-    parts = F.transform(values, (lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")) if text else (lambda v: v.cast("string")))
+def _json_list(values: Column) -> Column:
+    """A JSON list of texts with a blank behind each comma, non-ASCII kept."""
+    parts = F.transform(values, lambda v: F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", ""))
     return F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]"))
 
 
+def _under(records: list[dict], field: str, start: int, end: int) -> list[tuple[str, int]]:
+    """(label, characters) of the records that touch a token."""
+    return [(r[field], min(r["end"], end) - max(r["start"], start)) for r in records]
+
+
+def _winner(votes: Iterable[tuple[str, int]], default: str | None = None) -> str | None:
+    """The label of most characters; among equals the one seen first. Empty ones don't vote."""
+    counts: dict[str, int] = {}
+    for label, n in votes:
+        if label:
+            counts[label] = counts.get(label, 0) + n
+    return max(counts, key=counts.__getitem__) if counts else default
+
+
+def _code_label(votes: list[tuple[str, int]], gives_way: Callable[[str], bool], special: str) -> str:
+    if not votes:
+        return special
+    return _winner([v for v in votes if not gives_way(v[0])]) or _winner(votes, "other")
+
+
+class _Visible:
+    """What can be seen from a scope once some declarations have ended."""
+
+    def __init__(self, declarations: list[dict]):
+        self.by_scope: dict[int, list[tuple[int, int, dict]]] = {}
+        for i, d in enumerate(declarations):
+            self.by_scope.setdefault(d["scope_id"], []).append((d["end"], i, d))
+        self.ends = {s: sorted(e for e, *_ in ds) for s, ds in self.by_scope.items()}
+        self.known: dict[tuple, tuple[dict[str, dict], list[dict]]] = {}
+
+    def __call__(self, ancestors: list[int], place: int) -> tuple[tuple, dict[str, dict], list[dict]]:
+        """A key that stays while nothing changes; declarations by name; and in order of depth, start and name."""
+        key = (ancestors[0], *(bisect_right(self.ends[s], place) for s in ancestors if s in self.ends))
+        found = self.known.get(key)
+        if found is None:
+            best: dict[str, tuple] = {}
+            for s in ancestors:
+                for end, i, d in self.by_scope.get(s, ()):
+                    rank = (-d["depth"], -d["start"], i)
+                    if end <= place and (d["name"] not in best or rank < best[d["name"]][0]):
+                        best[d["name"]] = rank, d
+            names = {n: d for n, (_, d) in best.items()}
+            found = self.known[key] = names, sorted(names.values(), key=lambda d: (-d["depth"], d["start"], d["name"]))
+        return key, *found
+
+
+def _first_behind(tokens: list[dict]) -> Callable[[int], int | None]:
+    """Position of the first token that holds a character, else of the first non-empty one that ends behind it."""
+    spans = [(t["start"], t["end"], i) for i, t in enumerate(tokens) if t["start"] < t["end"]]
+    ends = [e for _, e, _ in spans]
+    if all(a <= b for a, b in zip(ends, ends[1:])):  # then the first that ends behind it is also the first to hold it
+
+        def find(place: int) -> int | None:
+            k = bisect_right(ends, place)
+            return spans[k][2] if k < len(spans) else None
+
+    else:
+
+        def find(place: int) -> int | None:
+            behind = [(not s <= place, i) for s, e, i in spans if e > place]
+            return min(behind)[1] if behind else None
+
+    return find
+
+
+#: White space of names: what the JVM's ``\\s`` and ``\\p{Z}`` match.
+_BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _identity(d: dict) -> tuple:
+    return d["scope_id"], d["name"], d["start"], d["end"], d["kind"]
+
+
+def _token_rows(code: str, parsed: dict, shown: Callable[[Sequence], object]) -> Iterator[tuple]:
+    """The values of TOKEN_FIELDS of each token, without the distances; ``shown`` renders a list."""
+    tokens, status, error = parsed["tokens"], parsed["status"], parsed["error"]
+    visible, find = _Visible(parsed["declarations"]), _first_behind(tokens)
+    rendered: dict[tuple, tuple] = {}
+    places: dict[int, int | None] = {}
+    writes: dict[tuple, int] = {}
+    for pos, t in enumerate(tokens):
+        start, end, scope = t["start"], t["end"], t["scope"]
+        text = code[start:end]
+        votes = _under(t["runs"], "simple", start, end)
+        simple = _code_label(votes, ("whitespace", "text").__contains__, "special")
+        if start == end:
+            full, path, leaf, identifier = "Token.Special", "special", "special", ""
+        else:
+            full = _code_label(_under(t["runs"], "label", start, end), lambda x: x.startswith("Token.Text"), "Token.Special")
+            path, leaf, identifier = (_winner(_under(t["leaves"], f, start, end), "") for f in ("path", "label", "name"))
+        state, by_name, in_order = visible(scope["ancestors"], t["place"])
+        lists = rendered.get(state)
+        if lists is None:
+            lists = rendered[state] = len(in_order), *(shown([d[f] for d in in_order]) for f in ("name", "kind", "start"))
+        name_like = identifier != "" or simple in labels.NAME_LIKE
+        name = identifier or text.strip(_BLANKS)
+        declared = used = seen = None
+        if name_like and name:
+            seen = by_name.get(name)
+            if start != end:
+                declared = next((d for d in t["declared"] if d["name"] == name), None)
+                used = next((u for u in t["used"] if u["name"] == name), None)
+        meant = declared or seen
+        declared_at = last_write = access = None
+        if meant:
+            if meant["start"] not in places:
+                places[meant["start"]] = find(meant["start"])
+            declared_at = places[meant["start"]]
+        if used:
+            access = used["access"]
+        writing = access in ("write", "read_write")
+        if name:
+            key = _identity(meant) if meant else (name,)
+            last_write = writes.get(key)
+            if writing and end >= used["end"]:  # a write counts from the token that completes the name on
+                writes[key] = pos
+        yield (
+            t["token_id"], pos, text, t["raw"], t["decoded"], start, end, full, simple, path, leaf, status, error, scope["depth"], scope["type"], *lists, name_like, identifier or None,
+            seen is not None, declared is not None, seen and seen["kind"], access, access in ("read", "read_write"), writing, access == "read_write", used and used["start"], used and used["end"], declared_at, last_write,
+        )
+
+
 def annotate_tokens(snippets: DataFrame, tokenizer: Tokenizer | None = None, registry: ParserRegistry | None = None, include_code: bool = False, json_lists: bool = True) -> DataFrame:
     """The token annotation table, 42 columns with ``code`` (null unless asked for).
 
-    (language, snippet_id) is unique in ``snippets``. Lists are JSON strings, or arrays with ``json_lists`` off. A
-    snippet without tokens has no rows. The only shuffle is that of the write history, by snippet and declaration.
+    (language, snippet_id) is unique in ``snippets``. Lists are JSON strings, or arrays with ``json_lists`` off. Null code
+    is empty; a snippet without tokens has no rows. Row-local: no shuffle.
     """
-    parsed = parse_snippets(snippets, tokenizer, registry)
-    keep = [*IDENTITY, "status", "error", "declarations"] + (["code"] if include_code else [])
-    starts = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    places = bind(starts, lambda own: F.transform("declarations", lambda d: F.struct(_key(d).alias("key"), spans.token_at_char(own, d["start"]).alias("pos"))))
-    with_places = parsed.withColumn("declaration_places", places)
-    rows = with_places.select(*keep, "declaration_places", parsed["code"].alias("_code"), F.posexplode("tokens").alias("token_pos", "t"))
-    t = F.col("t")
-    start, end = t["start"], t["end"]
-    empty = start == end
-    text = labels.token_text(F.col("_code"), start.cast("int"), end.cast("int"))
-    simple = labels.select_code_label(spans.run_labels(t["runs"], start, end, "simple"))
-    full = F.when(empty, F.lit("Token.Special")).otherwise(
-        labels.select_code_label(spans.run_labels(t["runs"], start, end, "label"), weak=lambda x: x.startswith("Token.Text"), special="Token.Special")
-    )
-    path = F.when(empty, F.lit("special")).otherwise(labels.vote_first_seen(spans.run_labels(t["leaves"], start, end, "path"), F.lit("")))
-    leaf = F.when(empty, F.lit("special")).otherwise(labels.vote_first_seen(spans.run_labels(t["leaves"], start, end, "label"), F.lit("")))
-    identifier = F.when(empty, F.lit("")).otherwise(labels.vote_first_seen(spans.run_labels(t["leaves"], start, end, "name"), F.lit("")))
-    base = (
-        rows.withColumn("token_text", text)
-        .withColumn("pygments_label", full)
-        .withColumn("pygments_simple_label", simple)
-        .withColumn("tree_sitter_path", path)
-        .withColumn("tree_sitter_leaf_type", leaf)
-        .withColumn("_identifier", identifier)
-        .withColumn("_visible", spans.visible_declarations(F.col("declarations"), t["scope"], t["place"]))
-        .withColumn("is_name_like_token", (F.col("_identifier") != "") | F.col("pygments_simple_label").isin(*labels.NAME_LIKE))
-        .withColumn("_name", F.when(F.col("_identifier") != "", F.col("_identifier")).otherwise(F.regexp_replace("token_text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
-    )
-    named = F.col("is_name_like_token") & (F.col("_name") != "")
-    looked_up = (
-        base.withColumn("_declared", F.when(named & ~empty, spans.covering(t["declared"], F.col("_name"), start, end)))
-        .withColumn("_used", F.when(named & ~empty, spans.covering(t["used"], F.col("_name"), start, end)))
-        .withColumn("_seen", F.when(named, F.get(F.filter("_visible", lambda d: d["name"] == F.col("_name")), 0)))
-        .withColumn("_effective", F.coalesce("_declared", "_seen"))
-        .withColumn("_key", F.when(F.col("_name") != "", F.coalesce(_key(F.col("_effective")), F.concat(F.lit("unresolved\0"), F.col("_name")))))
-        .withColumn("token_name_declaration_token_pos", F.get(F.filter("declaration_places", lambda p: p["key"] == F.col("_key")), 0)["pos"])
-    )
-    access = F.col("_used")["access"]
-    slim = looked_up.select(
-        *IDENTITY,
-        t["token_id"].alias("token_id"),
-        F.col("token_pos").cast("long").alias("token_pos"),
-        "token_text",
-        t["raw"].alias("tokenizer_token"),
-        t["decoded"].alias("token_decoded"),
-        start.alias("token_offset_start"),
-        end.alias("token_offset_end"),
-        "pygments_label",
-        "pygments_simple_label",
-        "tree_sitter_path",
-        "tree_sitter_leaf_type",
-        F.col("status").alias("tree_sitter_status"),
-        F.col("error").alias("tree_sitter_error"),
-        t["scope"]["depth"].alias("scope_depth"),
-        t["scope"]["type"].alias("scope_node_type"),
-        F.size("_visible").cast("long").alias("num_in_scope_names"),
-        *[F.transform("_visible", _field(f)).alias(n) for f, n in (("name", "in_scope_names"), ("kind", "in_scope_name_kinds"), ("start", "in_scope_decl_starts"))],
-        "is_name_like_token",
-        F.when(F.col("_identifier") != "", F.col("_identifier")).alias("token_identifier_name"),
-        F.col("_seen").isNotNull().alias("token_name_is_in_scope"),
-        F.col("_declared").isNotNull().alias("token_name_is_decl"),
-        F.col("_seen")["kind"].alias("token_name_scope_kind"),
-        access.alias("token_variable_access_kind"),
-        F.coalesce(access.isin("read", "read_write"), F.lit(False)).alias("token_variable_is_read"),
-        F.coalesce(access.isin("write", "read_write"), F.lit(False)).alias("token_variable_is_write"),
-        F.coalesce(access == "read_write", F.lit(False)).alias("token_variable_is_read_write"),
-        F.col("_used")["start"].alias("token_variable_usage_start"),
-        F.col("_used")["end"].alias("token_variable_usage_end"),
-        "token_name_declaration_token_pos",
-        "_key",
-        (F.col("code") if include_code else F.lit(None).cast("string")).alias("code"),
-    )
-    # A write counts from the token that completes the name on.
-    done = F.col("token_variable_is_write") & (F.col("token_offset_end") >= F.col("token_variable_usage_end"))
-    history = Window.partitionBy("language", "snippet_id", "_key").orderBy("token_pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.col("_key").isNotNull(), F.last(F.when(done, F.col("token_pos")), ignorenulls=True).over(history))
-    out = slim.withColumn("token_name_last_write_token_pos", last)
-    out = out.withColumn("token_name_distance_to_declaration_tokens", F.col("token_pos") - F.col("token_name_declaration_token_pos"))
-    out = out.withColumn("token_name_distance_to_last_write_tokens", F.col("token_pos") - F.col("token_name_last_write_token_pos"))
+    tokenizer, registry = tokenizer or PatternTokenizer(), registry or ParserRegistry()
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = snippets.select(*IDENTITY, F.col("code").alias("_code"))
     if json_lists:
-        for c in ("source_snippet_ids", "source_file_paths", "in_scope_names", "in_scope_name_kinds"):
-            out = out.withColumn(c, _json_list(F.col(c), True))
-        out = out.withColumn("in_scope_decl_starts", _json_list(F.col("in_scope_decl_starts"), False))
-    return out.select(*COLUMNS)
+        for c in ("source_snippet_ids", "source_file_paths"):
+            own = own.withColumn(c, _json_list(F.col(c)))
+    fields = [T.StructField(n, T.ArrayType(k) if n in _LISTS and not json_lists else T.StringType() if n in _LISTS else k) for n, k in TOKEN_FIELDS]
+    schema = T.StructType([*own.schema.fields[: len(IDENTITY)], *fields, T.StructField("code", T.StringType())])
+    shape = to_arrow_schema(schema)
+    shown = (lambda x: json.dumps(x, ensure_ascii=False)) if json_lists else list
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, languages = batch.column(len(IDENTITY)), batch.column(IDENTITY.index("language")).to_pylist()
+            rows: list[tuple] = []
+            owner: list[int] = []
 
-def _field(name: str):
-    return lambda d: d[name]
+            def out() -> pa.RecordBatch:
+                of = pa.array(owner, pa.int64())
+                columns = [batch.column(i).take(of).cast(shape.field(i).type) for i in range(len(IDENTITY))]
+                columns += [pa.array(c, shape.field(len(IDENTITY) + k).type) for k, c in enumerate(zip(*rows))]
+                columns.append(texts.take(of) if include_code else pa.nulls(len(rows), pa.string()))
+                made = pa.RecordBatch.from_arrays(columns, schema=shape)
+                rows.clear()
+                owner.clear()
+                return made
 
+            for k, (code, language) in enumerate(zip(texts, languages)):
+                code = code.as_py() or ""
+                for row in _token_rows(code, parse_snippet(code, language or "", tokenizer, registry), shown):
+                    rows.append(row)
+                    owner.append(k)
+                    if len(rows) >= FLUSH_ROWS:
+                        yield out()
+            if rows:
+                yield out()
+
+    out = own.mapInArrow(run, schema)
+    out = out.withColumn("token_name_distance_to_declaration_tokens", F.col("token_pos") - F.col("token_name_declaration_token_pos"))
+    out = out.withColumn("token_name_distance_to_last_write_tokens", F.col("token_pos") - F.col("token_name_last_write_token_pos"))
+    return out.select(*COLUMNS)
 
-def _key(d: Column) -> Column:
-    """A declaration's identity as one string, null for null."""
-    return F.concat(d["scope_id"].cast("string"), F.lit("\0"), d["name"], F.lit("\0"), d["start"].cast("string"), F.lit("\0"), d["end"].cast("string"), F.lit("\0"), d["kind"])
 
+#: Rows that leave the pass together.
+FLUSH_ROWS = 5_000
+
+_TEXT, _INT, _FLAG = T.StringType(), T.LongType(), T.BooleanType()
+_LISTS = {"in_scope_names": _TEXT, "in_scope_name_kinds": _TEXT, "in_scope_decl_starts": _INT}
+#: What the pass gives of a token, in order; of lists the kind of their elements.
+TOKEN_FIELDS = [
+    ("token_id", _INT), ("token_pos", _INT), ("token_text", _TEXT), ("tokenizer_token", _TEXT), ("token_decoded", _TEXT), ("token_offset_start", _INT), ("token_offset_end", _INT),
+    ("pygments_label", _TEXT), ("pygments_simple_label", _TEXT), ("tree_sitter_path", _TEXT), ("tree_sitter_leaf_type", _TEXT), ("tree_sitter_status", _TEXT), ("tree_sitter_error", _TEXT),
+    ("scope_depth", _INT), ("scope_node_type", _TEXT), ("num_in_scope_names", _INT), *_LISTS.items(), ("is_name_like_token", _FLAG), ("token_identifier_name", _TEXT),
+    ("token_name_is_in_scope", _FLAG), ("token_name_is_decl", _FLAG), ("token_name_scope_kind", _TEXT), ("token_variable_access_kind", _TEXT), ("token_variable_is_read", _FLAG),
+    ("token_variable_is_write", _FLAG), ("token_variable_is_read_write", _FLAG), ("token_variable_usage_start", _INT), ("token_variable_usage_end", _INT),
+    ("token_name_declaration_token_pos", _INT), ("token_name_last_write_token_pos", _INT),
+]
 
 #: The columns of the annotation table, in order.
 COLUMNS = [
