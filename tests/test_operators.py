@@ -147,7 +147,7 @@ def test_sets(spark, rows):
 
 
 @pytest.mark.parametrize("mode", ["other_snippets", "all"])
-@pytest.mark.parametrize("block", [3, 512])
+@pytest.mark.parametrize("block", [3, None])
 def test_overlap_against_all_pairs(spark, mode, block):
     rng = random.Random(7)
     data = [(str(u), lang, rng.sample(range(300 if u == 3 else 9), 280 if u == 3 else rng.randrange(0, 6))) for u in range(8) for lang in "xyz" if rng.random() < 0.8]
@@ -169,6 +169,14 @@ def test_overlap_against_all_pairs(spark, mode, block):
     assert feature_sets.overlap_matrix(df.limit(0), "unit").count() == 0
 
 
+def test_mean_jaccard_of_two_lists():
+    left, right = [[1, 2, 3], [], [4, None, 4]], [[2, 3, 9], []]
+    want = [2 / 4, 0, 0, 0, 0, 0]
+    assert feature_sets.mean_jaccard(left, right) == pytest.approx(sum(want) / 6)
+    assert feature_sets.mean_jaccard([[1, 2], [2, 3], [1, 2]], [], same=True) == pytest.approx((1 / 3 + 1 + 1 / 3) / 3)
+    assert np.isnan(feature_sets.mean_jaccard(left, [])) and np.isnan(feature_sets.mean_jaccard([[1]], [], same=True))
+
+
 # --- ingest ----------------------------------------------------------------------------------------------------------
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.features import selected_features, snippet_column
+from tokenloom.session import cut_lineage
 
-#: Sets handled as one block of the all-pairs product.
-BLOCK_SETS = 512
+#: Sets handled as one block of the product: at most so many, and fewer of few sets, so that there is work for all.
+BLOCK_SETS = 4096
+#: Pairs whose common features are counted at once in a task.
+STRIP_PAIRS = 1 << 20
 
 
 def feature_sets(df: DataFrame, by: Sequence[str], top_k: int = 5) -> DataFrame:
@@ -48,64 +51,103 @@ def feature_indicators(df: DataFrame, top_k: int = 5, snippet_id_col: str | None
 
 
 class _Side(NamedTuple):
-    """A block's sets as flat arrays: unit and language of each, its features one after another with their row."""
+    """A block's sets as flat arrays: unit, language and size of each; its features in order, each with its set."""
 
     unit: np.ndarray
     language: np.ndarray
-    rows: np.ndarray
+    sizes: np.ndarray
     features: np.ndarray
+    owners: np.ndarray
 
     @staticmethod
     def of(lists: pa.ListArray) -> _Side:
         structs = lists.flatten()
         sets = structs.field("features")
-        return _Side(
-            structs.field("unit").to_numpy(zero_copy_only=False),
-            structs.field("language").to_numpy(zero_copy_only=False),
-            np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy(zero_copy_only=False)),
-            sets.flatten().to_numpy(zero_copy_only=False),
-        )
+        sizes = sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        features = sets.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(features, kind="stable")
+        plain = lambda name: structs.field(name).to_numpy(zero_copy_only=False)
+        return _Side(plain("unit"), plain("language"), sizes, features[order], np.repeat(np.arange(len(sizes)), sizes)[order])
 
 
 def _tile(a: _Side, b: _Side, same: bool, mode: str) -> list[tuple[str, str, float, int]]:
-    """Sums of Jaccard similarities and pair counts per pair of languages, over one tile of the all-pairs product."""
-    place, number = np.unique(np.concatenate([a.features, b.features]), return_inverse=True)
-
-    def matrix(side: _Side, columns: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(side.unit), max(1, len(place))), np.float32)
-        m[side.rows, columns] = 1
-        return m
-
-    x, y = matrix(a, number[: len(a.features)]), matrix(b, number[len(a.features) :])
-    both = (x @ y.T).astype(np.float64)
-    union = x.sum(1)[:, None] + y.sum(1)[None, :] - both
-    value = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-    valid = np.triu(np.ones(value.shape, bool), 1) if same else np.ones(value.shape, bool)  # each unordered pair once
-    if mode == "other_snippets":
-        valid &= a.unit[:, None] != b.unit[None, :]
+    """Sums of Jaccard similarities and pair counts per pair of languages, over one tile of the product. Only entries
+    of equal features are met with each other; pairs of sets that share none are counted, not visited."""
     la, ia = np.unique(a.language.astype(str), return_inverse=True)
     lb, ib = np.unique(b.language.astype(str), return_inverse=True)
-    pick_a, pick_b = np.eye(len(la))[ia], np.eye(len(lb))[ib]
-    sums, counts = pick_a.T @ (value * valid) @ pick_b, pick_a.T @ valid @ pick_b
-    return [(la[i], lb[j], float(sums[i, j]), int(counts[i, j])) for i in range(len(la)) for j in range(len(lb))]
-
-
-def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode: str = "other_snippets", block: int = BLOCK_SETS) -> DataFrame:
+    sums = np.zeros(len(la) * len(lb))
+    n, m = len(a.unit), len(b.unit)
+    first, last = np.searchsorted(b.features, a.features, "left"), np.searchsorted(b.features, a.features, "right")
+    strip = max(1, STRIP_PAIRS // max(1, m))
+    unit_b = None
+    if mode == "other_snippets":
+        unit_of = {u: k for k, u in enumerate(np.unique(np.concatenate([a.unit, b.unit]).astype(str)))}
+        unit_a, unit_b = (np.array([unit_of[str(u)] for u in side.unit], np.int64) for side in (a, b))
+    for begin in range(0, n, strip):
+        own = np.flatnonzero((a.owners >= begin) & (a.owners < begin + strip))
+        times = last[own] - first[own]
+        at = np.repeat(first[own] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        codes = np.repeat(a.owners[own] - begin, times) * m + b.owners[at]
+        both = np.bincount(codes, minlength=min(strip, n - begin) * m)
+        hit = np.flatnonzero(both)
+        x, y = hit // m + begin, hit % m
+        keep = x < y if same else np.ones(len(hit), bool)  # each unordered pair once
+        if unit_b is not None:
+            keep &= unit_a[x] != unit_b[y]
+        x, y, k = x[keep], y[keep], both[hit[keep]]
+        sums += np.bincount(ia[x] * len(lb) + ib[y], k / (a.sizes[x] + b.sizes[y] - k), len(sums))
+    counts = _valid_pairs(ia, ib, len(la), len(lb), same)
+    if unit_b is not None:
+        counts -= _same_unit_pairs(unit_a, unit_b, ia, ib, len(la), len(lb), same)
+    return [(la[i], lb[j], float(sums[i * len(lb) + j]), int(counts[i, j])) for i in range(len(la)) for j in range(len(lb))]
+
+
+def _valid_pairs(ia: np.ndarray, ib: np.ndarray, n: int, m: int, same: bool) -> np.ndarray:
+    """Pairs of sets of each two languages; in a block with itself only those of an earlier and a later set."""
+    if not same:
+        return np.outer(np.bincount(ia, minlength=n), np.bincount(ib, minlength=m))
+    out = np.zeros((n, m), np.int64)
+    later = np.bincount(ib, minlength=m)
+    for x in range(len(ia)):
+        later[ib[x]] -= 1
+        out[ia[x]] += later
+    return out
+
+
+def _same_unit_pairs(unit_a: np.ndarray, unit_b: np.ndarray, ia: np.ndarray, ib: np.ndarray, n: int, m: int, same: bool) -> np.ndarray:
+    """The same of pairs of equal units. A unit has one set per language, so few share one."""
+    out = np.zeros((n, m), np.int64)
+    order = np.argsort(unit_b, kind="stable")
+    first, last = np.searchsorted(unit_b[order], unit_a, "left"), np.searchsorted(unit_b[order], unit_a, "right")
+    for x in np.flatnonzero(last > first):
+        for y in order[first[x] : last[x]]:
+            if not same or x < y:
+                out[ia[x], ib[y]] += 1
+    return out
+
+
+def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode: str = "other_snippets", block: int | None = None) -> DataFrame:
     """(language_1, language_2, mean_jaccard, n_pairs): mean Jaccard similarity over the pairs of sets of two languages.
 
     ``mode``: ``other_snippets`` leaves out pairs of the same unit, across languages too; ``all`` only a set with
-    itself. Sets that share nothing count as 0, empty ones too. A block without a valid pair is NaN. All pairs are
-    wanted, so the work is quadratic by definition; sets are cut into blocks and a task multiplies two blocks as
-    matrices, so no pair is ever a row, and a task's size is fixed whatever the data. Null languages are left out.
+    itself. Sets that share nothing count as 0, empty ones too. A block without a valid pair is NaN. Null languages are
+    left out; a unit has one set per language.
+
+    Similarities are added up over pairs that share a feature, and divided by the number of all pairs. Sets are cut into
+    blocks, and a task meets the entries of two blocks feature by feature: no pair becomes a row, and a frequent feature
+    is as many tasks' work as there are blocks. Each block is sent once for each block that it meets.
     """
-    rows = sets.where(F.col(language).isNotNull()).select(F.col(unit).cast("string").alias("unit"), F.col(language).alias("language"), "features")
-    n_blocks = max(1, -(-rows.count() // block))
+    rows = cut_lineage(sets.where(F.col(language).isNotNull()).select(F.col(unit).cast("string").alias("unit"), F.col(language).alias("language"), "features"))
+    n_sets = rows.count()
+    n_blocks = max(1, -(-n_sets // (block or min(BLOCK_SETS, max(256, n_sets // 24)))))
     where = F.pmod(F.xxhash64("unit", "language"), F.lit(n_blocks))
-    blocks = rows.groupBy(where.alias("block")).agg(F.collect_list(F.struct("unit", "language", "features")).alias("rows"))
-    partners = blocks.select(F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1).cast("bigint"))).alias("other"), "block", F.col("rows").alias("left"))
-    pairs = partners.join(blocks.select(F.col("block").alias("other"), F.col("rows").alias("right")), "other")
+    blocks = rows.groupBy(where.alias("own")).agg(F.collect_list(F.struct("unit", "language", "features")).alias("rows"))
     # A tile is much work and few bytes: tasks follow the number of tiles.
-    pairs = pairs.repartition(max(1, min(10_000, n_blocks * (n_blocks + 1) // 16)), "block", "other")
+    tasks = max(1, min(10_000, n_blocks * (n_blocks + 1) // 8))
+    last = F.lit(n_blocks - 1).cast("bigint")
+    left = blocks.select(F.col("own").alias("block"), F.explode(F.sequence("own", last)).alias("other"), F.col("rows").alias("left"))
+    right = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("block"), F.col("own").alias("other"), F.col("rows").alias("right"))
+    pairs = left.repartition(tasks, "block", "other").hint("merge").join(right.repartition(tasks, "block", "other").hint("merge"), ["block", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +162,20 @@ def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode:
     tiles = pairs.select("block", "other", "left", "right").mapInArrow(run, "x string, y string, total double, n bigint")
     one_way = tiles.groupBy(F.least("x", "y").alias("language_1"), F.greatest("x", "y").alias("language_2")).agg(F.sum("total").alias("total"), F.sum("n").alias("n_pairs"))
     means = one_way.withColumn("mean_jaccard", F.when(F.col("n_pairs") > 0, F.col("total") / F.col("n_pairs")).otherwise(F.lit(float("nan")))).drop("total")
-    mirrored = means.where(F.col("language_1") != F.col("language_2")).select(F.col("language_2").alias("language_1"), F.col("language_1").alias("language_2"), "n_pairs", "mean_jaccard")
-    return means.unionByName(mirrored).select("language_1", "language_2", "mean_jaccard", "n_pairs")
+    both = F.explode(F.array(F.struct(F.col("language_1").alias("p"), F.col("language_2").alias("q")), F.struct(F.col("language_2").alias("p"), F.col("language_1").alias("q"))))
+    return means.withColumn("_pair", both).select(F.col("_pair.p").alias("language_1"), F.col("_pair.q").alias("language_2"), "mean_jaccard", "n_pairs").distinct()
+
+
+def mean_jaccard(left: Sequence[Sequence[int]], right: Sequence[Sequence[int]], same: bool = False) -> float:
+    """Mean Jaccard similarity of two given lists of feature sets: every pair of one of each, or, with ``same``, every
+    unordered pair of the first list. Two empty sets have similarity 0; no pair gives NaN. For lists that fit a driver."""
+    sides = [[sorted({x for x in s if x is not None}) for s in side] for side in ((left, left) if same else (left, right))]
+    shape = pa.list_(pa.struct([("unit", pa.string()), ("language", pa.string()), ("features", pa.list_(pa.int64()))]))
+    a, b = (_Side.of(pa.array([[{"unit": "", "language": "", "features": s} for s in side]], shape)) for side in sides)
+    if not len(a.unit) or not len(b.unit):
+        return float("nan")
+    total, n = (sum(t[k] for t in _tile(a, b, same, "all")) for k in (2, 3))
+    return total / n if n else float("nan")
 
 
 def concept_overlap(df: DataFrame, top_k: int = 5, snippet_id_col: str | None = None, exclude_same_snippet_id_pairs: bool = True) -> DataFrame:
