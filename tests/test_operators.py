@@ -42,7 +42,7 @@ def test_running_total_and_budget(spark):
     for r in order:
         total += r.n
         want[r.id] = total
-    assert {r.id: r.t for r in windows.running_total(df, "source", "h", "n", "t", 16).collect()} == want
+    assert {r.id: r.t for r in windows.running_total(df, "source", "h", "n", "t").collect()} == want
     kept = windows.token_budget(df.drop("h"), "source", "id", "n", 700, 60).collect()
     chosen, sums, per = [], 0, {}
     for r in order:
