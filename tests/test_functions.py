@@ -59,8 +59,9 @@ def test_label_selection(spark):
 
 
 @pytest.mark.parametrize(("token", "want"), [(" the", "mixed"), ("²", "number"), ("½", "other"), ("😀", "punctuation"), (" ", "whitespace"), ("", "special"), (None, "special"), ("é1", "mixed"), ("--", "punctuation")])
-def test_text_labels(token, want):
-    assert labels.text_label(token) == want
+def test_text_labels(spark, token, want):
+    df = spark.createDataFrame([(token,)], "t string")
+    assert df.select(labels.select_text_label(labels.char_labels_exact("t")).alias("l")).first().l == want
 
 
 def test_simplify(spark):

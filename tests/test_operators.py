@@ -130,9 +130,9 @@ def test_pmi(spark):
     df = features(spark, DATA)
     one = feature_stats.pmi_one(df, 2, F.col("language") == "C").first()
     assert (one.n_rows, one.n_feature, one.n_both, one.n_label) == (7, 2, 2, 2)
-    every = {r.feature_id: r for r in feature_stats.pmi_all(df, F.col("language") == "C", ["global_idx"]).collect()}
+    every = {r.feature_id: r for r in feature_stats.pmi_all(df, F.col("language") == "C").collect()}
     assert every[2].feature_count == 1 and every[2].feature_activation_mass == 3.0 and every[9].pmi == -float("inf")
-    assert feature_stats.pmi_all(df, F.lit(False), ["global_idx"]).count() == 0
+    assert feature_stats.pmi_all(df, F.lit(False)).count() == 0
     assert feature_stats.pmi_one(df.limit(0), 2, F.lit(True)).first().n_rows == 0
 
 
@@ -278,3 +278,51 @@ def test_labels_of_tokens(spark):
     exact = {r.token_text: r.label for r in tokens.label_text_tokens(df, exact=True).collect()}
     assert exact == {"the": "word", " ": "whitespace", "12": "number", "²½": "mixed", "!": "punctuation"}
     assert labels.TEXT_LABELS.index("mixed") == 5
+
+
+def test_vectors_that_do_not_fit(spark, tmp_path):
+    np.savez(tmp_path / "w.npz", w=np.eye(3, dtype=np.float32), b=np.zeros(3, np.float32))
+    data = [("s", "C", 0, "a", [1.0, 2.0, 0.0]), ("s", "C", 1, "b", [1.0]), ("s", "C", 2, "c", [1.0, None, 2.0]), ("s", "C", 3, "d", None)]
+    df = spark.createDataFrame(data, "snippet_id string, language string, token_pos long, token_text string, activation array<float>").withColumn("char_start", F.lit(0)).withColumn("char_end", F.lit(1))
+    out = encode_features(df, EncoderFile(str(tmp_path / "w.npz")), "r", "i", top_k=2, metadata={"model_name": "m"}, isolate=True)
+    got = {r.token_pos: (r.error is None, r.top_k_feature_ids, r.top_k_found, r.model_name) for r in out.collect()}
+    assert got == {0: (True, [1, 0], 2, "m"), 1: (False, None, None, "m"), 2: (False, None, None, "m")}
+    with pytest.raises(Exception, match="no 3 numbers"):
+        encode_features(df, EncoderFile(str(tmp_path / "w.npz")), "r", "i", top_k=2).collect()
+
+
+def test_failures_can_fail_the_query(spark):
+    with pytest.raises(Exception, match="no parser"):
+        annotate_tokens(snippets(spark, "int x;", language="C"), fail_on_error=True).collect()
+
+
+class _Failing(PatternTokenizer):
+    def encode(self, text):
+        if "!" in text:
+            raise ValueError("no tokens for this")
+        return super().encode(text)
+
+
+def test_a_failing_tokenizer_is_a_status():
+    from tokenloom.functions.syntax import ParserRegistry
+    from tokenloom.operators.annotate import parse_snippet
+
+    got = parse_snippet("a!", "Python", _Failing(), ParserRegistry())
+    assert (got["status"], got["error"], got["tokens"]) == ("error", "no tokens for this", [])
+    assert parse_snippet("a", "Python", _Failing(), ParserRegistry())["status"] == "ok"
+
+
+def test_legacy_rows(spark, tmp_path):
+    from tokenloom.operators.legacy import code_feature_rows, text_feature_rows
+
+    np.savez(tmp_path / "w.npz", w=np.eye(4, dtype=np.float32), b=np.zeros(4, np.float32))
+    encoder = EncoderFile(str(tmp_path / "w.npz"))
+    code = spark.createDataFrame([("1", "Python", "def f(x): return  12", "what"), ("2", "Python", None, None)], "idx string, language string, code string, comment string")
+    rows = code_feature_rows(code, SeededProvider(4), encoder, "m", 3, "r", "i", max_length=6, top_k=2, include_code=True).orderBy("token_pos").collect()
+    assert [(r.token_str, r.pygments_simple_type) for r in rows] == [("def", "keyword"), (" f", "function"), ("(", "punctuation"), ("x", "name"), (")", "punctuation"), (":", "punctuation")]
+    assert {(r.seq_len, r.code_char_len, r.comment, r.problem_desc, r.code) for r in rows} == {(6, 20, "what", None, "def f(x): return  12")}
+    assert (rows[0].prev_token_str, rows[0].next_token_str, rows[5].next_token_str, rows[1].pygments_type) == (None, " f", None, "Token.Name.Function")
+    text = spark.createDataFrame([("t", "the 12!", "news", 3)], "idx string, text string, source_dataset string, text_label_id long")
+    rows = text_feature_rows(text, SeededProvider(4), encoder, "m", 3, "r", "i", top_k=2).orderBy("token_pos").collect()
+    assert [(r.token_text, r.pygments_simple_type, r.pygments_type) for r in rows] == [("the", "word", "Text.Word"), (" ", "whitespace", "Text.Whitespace"), ("12", "number", "Text.Number"), ("!", "punctuation", "Text.Punctuation")]
+    assert {(r.modality, r.text_char_len, r.source_dataset, r.text_label_id) for r in rows} == {("text", 7, "news", 3)}

@@ -117,3 +117,51 @@ def test_stream(spark, tmp_path):
     query.awaitTermination()
     assert {(r.status, r.n) for r in spark.table("statuses").collect()} == {("ok", 2), ("parsed_with_errors", 1)}
     assert len(pq.read_schema(next(tmp_path.glob("out/batch=0/*.parquet")))) == 42
+
+
+@pytest.mark.parametrize("suffix", [".arrow", ""])
+def test_overwriting_leaves_nothing_behind(spark, tmp_path, suffix):
+    path = str(tmp_path / f"t{suffix}")
+    for n, parts in ((40, 4), (3, 1)):
+        tb.write_table(spark.range(n).repartition(parts), path)
+        assert tb.read_table(spark, path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == [f"t{suffix}"]
+
+
+def test_saved_dataset_names_its_files_and_columns(spark, tmp_path):
+    path = tmp_path / "set"
+    tb.write_table(spark.createDataFrame([("a", [1, 2], 0.5, True)], "s string, i array<long>, x double, b boolean"), str(path))
+    state, info = (json.loads((path / f"{n}.json").read_text()) for n in ("state", "dataset_info"))
+    assert info["features"]["i"] == {"feature": {"dtype": "int64", "_type": "Value"}, "_type": "Sequence"} and info["features"]["x"]["dtype"] == "float64"
+    for f in state["_data_files"]:
+        with pa.memory_map(str(path / f["filename"])) as source:
+            assert pa.ipc.open_stream(source).read_all().column_names == ["s", "i", "x", "b"]
+
+
+def test_snippet_files(spark, tmp_path):
+    data = [("1-Py-1", "Python", "old", "b", 1), ("1-Py-1", "Python", "x = 'é'", "b", 2), ("2-Py-1", "Python", None, "b", 1), ("1-C-1", "C", "int x;", "b", 1), (None, "C", "lost", "b", 1)]
+    df = spark.createDataFrame(data, "idx string, language string, code string, bpe string, n long")
+    out = tmp_path / "out"
+    assert sn.write_snippet_files(df, str(out), ["n"]) == 4
+    files = {str(p.relative_to(out)): json.loads(p.read_text()) for p in out.rglob("*.json")}
+    assert files == {"Python/1-1.json": {"idx": "1-Py-1", "code": "x = 'é'"}, "Python/2-1.json": {"idx": "2-Py-1", "code": None}, "C/1-1.json": {"idx": "1-C-1", "code": "int x;"}}
+    back = {(r.language, r.code) for r in sn.read_snippets(spark, str(out), ["C"]).collect()}
+    assert back == {("C", "int x;")}
+
+
+def test_all_keys_of_snippets(spark, tmp_path):
+    (tmp_path / "C").mkdir()
+    (tmp_path / "C" / "1-C-1.json").write_text(json.dumps({"idx": "1-C-1", "code": "x", "stars": 3, "language": "no"}))
+    r = sn.read_snippets(spark, str(tmp_path), all_keys=True).first()
+    assert (r.stars, r.language, r.code) == (3, "C", "x")
+
+
+def test_labelled_short_texts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(" a text that is long enough ", 1), ("short", 0), ("another text of some length", 7)], "t string, l long").write.parquet(str(tmp_path / "news"))
+    spec = [{"path": str(tmp_path / "news"), "split": "train", "text_field": "t", "label_field": "l", "label_names": ["no", "yes"]}]
+    rows = sn.labelled_short_texts(spark, spec, 0, F.size(F.split("text", " "))).collect()
+    assert {(r.text, r.text_label, r.text_label_id, r.n_tokens) for r in rows} == {("a text that is long enough", "yes", 1, 6), ("another text of some length", None, 7, 5)}
+    assert sn.labelled_short_texts(spark, spec, 1, F.size(F.split("text", " "))).count() == 1
+    assert [s["path"] for s in sn.default_specs("/d/")][:2] == ["/d/ag_news", "/d/glue-sst2"]

@@ -130,22 +130,37 @@ def access_kind(tree: Tree, n: Node) -> str:
     return "read"
 
 
+class _Inline(NamedTuple):
+    """Nodes of these types, or with one of these parts in their type, declare what stands in the first child of each
+    of the fields: ``only_first`` of those alone, all children ``without`` any."""
+
+    kind: str
+    fields: tuple[str, ...]
+    types: frozenset[str] = frozenset()
+    parts: tuple[str, ...] = ()
+    language: str | None = None
+    only_first: bool = False
+    without: bool = False
+
+
+# What declares a name where it stands; the first that fits counts.
+INLINE_DECLARATIONS = (
+    _Inline("parameter", ("name", "declarator", "pattern"), parts=("parameter",), without=True),
+    _Inline("variable", ("name", "declarator"), frozenset({"variable_declarator", "init_declarator"})),
+    _Inline("with_alias", ("alias",), frozenset({"with_item"})),
+    _Inline("exception_variable", (), frozenset({"catch_clause", "except_clause"}), without=True),
+    _Inline("loop_variable", ("left", "name", "pattern"), parts=("for_statement", "foreach_statement", "enhanced_for_statement"), only_first=True),
+    _Inline("implicit_variable", ("left", "target"), frozenset({"assignment"}), language="Python", only_first=True),
+    _Inline("implicit_variable", ("left",), frozenset({"assignment_expression"}), language="PHP", only_first=True),
+)
+
+
 def _inline_declaration(tree: Tree, language: str, n: Node) -> tuple[str, list[Node]] | None:
     """Kind and subtrees of the identifiers that a node declares where it stands."""
-    if "parameter" in n.type:
-        return "parameter", tree.fields(n, "name", "declarator", "pattern") or tree.children[n.node_id]
-    if n.type in ("variable_declarator", "init_declarator"):
-        return "variable", tree.fields(n, "name", "declarator")
-    if n.type == "with_item":
-        return "with_alias", tree.fields(n, "alias")
-    if n.type in ("catch_clause", "except_clause"):
-        return "exception_variable", tree.children[n.node_id]
-    if any(x in n.type for x in ("for_statement", "foreach_statement", "enhanced_for_statement")):
-        return "loop_variable", tree.fields(n, "left", "name", "pattern")[:1]
-    if language == "Python" and n.type == "assignment":
-        return "implicit_variable", tree.fields(n, "left", "target")[:1]
-    if language == "PHP" and n.type == "assignment_expression":
-        return "implicit_variable", tree.fields(n, "left")[:1]
+    for d in INLINE_DECLARATIONS:
+        if d.language in (None, language) and (n.type in d.types or any(p in n.type for p in d.parts)):
+            found = tree.fields(n, *d.fields)
+            return d.kind, (found[:1] if d.only_first else found) or (tree.children[n.node_id] if d.without else [])
     return None
 
 

@@ -9,9 +9,8 @@ are put together once for each.
 from __future__ import annotations
 
 import json
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from tokenloom.functions import labels
 from tokenloom.functions.syntax import ParserRegistry, analyse
 from tokenloom.functions.tokenizers import PatternTokenizer, Tokenizer
-from tokenloom.operators.lexing import lexer_runs
+from tokenloom.operators.lexing import Touching, lexer_runs
 
 _RUN = "struct<start:bigint,end:bigint,label:string,simple:string>"
 _LEAF = "struct<start:bigint,end:bigint,label:string,path:string,name:string>"
@@ -38,25 +37,6 @@ _PARSED = f"tokens array<{_TOKEN}>, declarations array<{_DECLARATION}>, status s
 IDENTITY = ("snippet_id", "global_idx", "language", "file_path", "source_snippet_ids", "source_file_paths", "num_fragments")
 
 
-class _Touching:
-    """Records that overlap a span, in their own order."""
-
-    def __init__(self, records: list[dict]):
-        self.records = sorted(enumerate(records), key=lambda r: r[1]["start"])
-        self.starts = [r["start"] for _, r in self.records]
-        self.reach = list(accumulate((r["end"] for _, r in self.records), max))
-
-    def __call__(self, start: int, end: int) -> list[dict]:
-        if not self.records:
-            return []
-        lo, hi = bisect_right(self.reach, start), bisect_left(self.starts, end)
-        if hi - lo == 1:  # by far the most frequent case; the reach of the only one passes the start
-            return [self.records[lo][1]]
-        if hi <= lo:
-            return []
-        return [r for _, r in sorted((x for x in self.records[lo:hi] if x[1]["end"] > start), key=lambda x: x[0])]
-
-
 def _scopes_at(scopes: list[dict], places: list[int]) -> Iterator[dict]:
     """The innermost scope at each of the ascending places; ends count as inside."""
     waiting = sorted(scopes, key=lambda s: s["start"])
@@ -76,13 +56,16 @@ def _scopes_at(scopes: list[dict], places: list[int]) -> Iterator[dict]:
 
 
 def parse_snippet(code: str, language: str, tokenizer: Tokenizer, registry: ParserRegistry) -> dict:
-    """Everything that is known of a snippet before its tokens become rows. A failing lexer or parser leaves its part
-    empty and is told in status and error."""
-    tokens = tokenizer.encode(code)
+    """Everything that is known of a snippet before its tokens become rows. A failing tokenizer, lexer or parser leaves
+    its part empty and is told in status and error."""
     empty = {"leaves": [], "scopes": [], "declarations": [], "usages": []}
     status, error = ("empty", "") if not code else ("ok", "")
-    found, runs = empty, []
-    if code:
+    found, runs, tokens = empty, [], []
+    try:
+        tokens = tokenizer.encode(code)
+    except Exception as e:
+        status, error = "error", str(e) or type(e).__name__
+    if code and status != "error":
         try:
             nodes, faulty = registry.get(language)(code)
             found, status = analyse(nodes, code, language), "parsed_with_errors" if faulty else "ok"
@@ -96,7 +79,7 @@ def parse_snippet(code: str, language: str, tokenizer: Tokenizer, registry: Pars
     places = [t.start if t.start < len(code) else max(len(code) - 1, 0) for t in tokens]
     order = sorted(range(len(tokens)), key=places.__getitem__)
     scope_of = dict(zip(order, _scopes_at(scopes, [places[i] for i in order])))
-    near = {name: _Touching(records) for name, records in (("runs", runs), ("leaves", found["leaves"]), ("declared", found["declarations"]), ("used", found["usages"]))}
+    near = {name: Touching(records) for name, records in (("runs", runs), ("leaves", found["leaves"]), ("declared", found["declarations"]), ("used", found["usages"]))}
     rows = [
         {**t._asdict(), "scope": {k: scope_of[i][k] for k in ("scope_id", "depth", "type", "ancestors")}, "place": places[i]}
         | {name: touching(t.start, t.end) for name, touching in near.items()}
@@ -256,11 +239,14 @@ def _token_rows(code: str, parsed: dict, shown: Callable[[Sequence], object]) ->
         )
 
 
-def annotate_tokens(snippets: DataFrame, tokenizer: Tokenizer | None = None, registry: ParserRegistry | None = None, include_code: bool = False, json_lists: bool = True) -> DataFrame:
+def annotate_tokens(
+    snippets: DataFrame, tokenizer: Tokenizer | None = None, registry: ParserRegistry | None = None, include_code: bool = False, json_lists: bool = True, fail_on_error: bool = False
+) -> DataFrame:
     """The token annotation table, 42 columns with ``code`` (null unless asked for).
 
     (language, snippet_id) is unique in ``snippets``. Lists are JSON strings, or arrays with ``json_lists`` off. Null code
-    is empty; a snippet without tokens has no rows. Row-local: no shuffle.
+    is empty; a snippet without tokens has no rows. A snippet that could not be parsed has status ``error`` on its rows;
+    with ``fail_on_error`` it fails the query. Row-local: no shuffle.
     """
     tokenizer, registry = tokenizer or PatternTokenizer(), registry or ParserRegistry()
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -292,7 +278,10 @@ def annotate_tokens(snippets: DataFrame, tokenizer: Tokenizer | None = None, reg
 
             for k, (code, language) in enumerate(zip(texts, languages)):
                 code = code.as_py() or ""
-                for row in _token_rows(code, parse_snippet(code, language or "", tokenizer, registry), shown):
+                parsed = parse_snippet(code, language or "", tokenizer, registry)
+                if fail_on_error and parsed["status"] == "error":
+                    raise ValueError(f"snippet {batch.column(0)[k].as_py()} in {language}: {parsed['error']}")
+                for row in _token_rows(code, parsed, shown):
                     rows.append(row)
                     owner.append(k)
                     if len(rows) >= FLUSH_ROWS:

@@ -95,9 +95,10 @@ def filter_by_features(df: DataFrame, ids: Sequence[int], top_k: int = 20, match
 
 def rows_with_feature(df: DataFrame, feature_id: int, activation_threshold: float = 0.1, top_k: int = 5) -> DataFrame:
     """Rows that have the feature among the first k at or above the threshold, with ``feature_activation``, highest
-    first."""
+    first; of equal ones in order of what keys the table has."""
     act = activation_of(selected_pairs(df, top_k), feature_id, activation_threshold)
-    return df.withColumn("feature_activation", act).where(F.col("feature_activation").isNotNull()).orderBy(F.desc("feature_activation"))
+    keys = [c for c in ("language", "snippet_id", "global_idx", "idx", "token_pos") if c in df.columns]
+    return df.withColumn("feature_activation", act).where(F.col("feature_activation").isNotNull()).orderBy(F.desc("feature_activation"), *keys)
 
 
 def token_weights(
@@ -158,7 +159,7 @@ def pmi_one(df: DataFrame, feature_id: int, mask: Column, activation_threshold:
     return counts.withColumn("pmi", _log_ratio(F.try_divide(F.col("n_both"), n), F.try_divide(F.col("n_feature"), n) * F.try_divide(F.col("n_label"), n)))
 
 
-def pmi_all(df: DataFrame, mask: Column, row_key: Sequence[str], activation_threshold: float = 0.0) -> DataFrame:
+def pmi_all(df: DataFrame, mask: Column, activation_threshold: float = 0.0) -> DataFrame:
     """Binary and activation-weighted PMI of every feature and a label, over the whole lists.
 
     A feature counts once per row, with its greatest activation at or above the threshold; since a list belongs to one

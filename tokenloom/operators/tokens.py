@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.functions.labels import TEXT_LABELS, char_labels, label_id, select_text_label, text_label_exact
+from tokenloom.functions.labels import TEXT_LABELS, char_labels, char_labels_exact, label_id, select_text_label
 from tokenloom.session import cut_lineage
 
 #: Splits a text into pieces that cover it: words with a blank in front, digits, single other characters.
@@ -59,7 +59,7 @@ def insert_bos(tokens: DataFrame, texts: DataFrame, key: list[str], bos: str = "
 def label_text_tokens(tokens: DataFrame, exact: bool = False) -> DataFrame:
     """Adds label and label_id of text tokens from the classes of their characters; ``exact`` by Python's rules for
     numerals outside the decimal digits, otherwise inside the JVM."""
-    label = text_label_exact("token_text") if exact else select_text_label(char_labels(F.col("token_text")))
+    label = select_text_label(char_labels_exact("token_text") if exact else char_labels(F.col("token_text")))
     return tokens.withColumn("label", label).withColumn("label_id", label_id(F.col("label"), TEXT_LABELS))
 
 

@@ -90,7 +90,7 @@ def pmi_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pmi_all(spark: SparkSession, d: str) -> DataFrame:
-    out = st.pmi_all(_rows(spark, d), F.col("pygments_simple_type") == LABEL, ["idx", "token_pos"])
+    out = st.pmi_all(_rows(spark, d), F.col("pygments_simple_type") == LABEL)
     return _rounded(_finite(out, "pmi", "weighted_pmi"))
 
 

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.operators.annotate import annotate_tokens, parse_snippets
-from tokenloom.operators.encode import EncoderFile, SeededProvider, encode_features, extract_activations, good_rows, with_sequence_columns
+from tokenloom.operators.encode import SeededProvider, SentEncoder, encode_features, extract_activations, good_rows
 from tokenloom.operators.ingest import last_wins
-from tokenloom.session import ensure_checkpoint_dir, table
+from tokenloom.operators.legacy import code_feature_rows, text_feature_rows
+from tokenloom.session import table
 
 
 def _snippets(spark: SparkSession, d: str) -> DataFrame:
     """Each snippet once, as delivered last."""
-    rows = last_wins(table(spark, d, "snippets"), ["language", "snippet_id"], ["written_at"]).drop("written_at")
-    rows = rows.select("snippet_id", "global_idx", "language", "file_path", "source_snippet_ids", "source_file_paths", "num_fragments", "code")
-    # Parsing costs far more than reading, so tasks are cut finer than by their bytes.
+    # Parsing costs far more than reading, so tasks are cut finer than by their bytes; the exchange serves the choice of
+    # the last delivery, too.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(tasks, "language", "snippet_id")
+    rows = table(spark, d, "snippets").select("snippet_id", "global_idx", "language", "file_path", "source_snippet_ids", "source_file_paths", "num_fragments", "code", "written_at")
+    return last_wins(rows.repartition(tasks, "language", "snippet_id"), ["language", "snippet_id"], ["written_at"]).drop("written_at")
 
 
 def annotated_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +29,8 @@ def annotated_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("language", "snippet_id", "tree_sitter_status").agg(
         F.count(F.lit(1)).alias("n_tokens"), count(F.col("is_name_like_token"), "n_names"), count(F.col("token_name_is_decl"), "n_declarations"), count(F.col("token_variable_is_read"), "n_reads"),
         count(F.col("token_variable_is_write"), "n_writes"), F.sum("token_name_distance_to_last_write_tokens").alias("sum_write_distance"), F.max("scope_depth").alias("max_depth"), F.sum("num_in_scope_names").alias("sum_visible"),
+        count(F.col("pygments_simple_label") == "keyword", "n_keywords"), count(F.col("pygments_label").startswith("Token.Literal"), "n_literals"), F.sum(F.length("tree_sitter_path")).alias("sum_path"),
+        count(F.col("tree_sitter_leaf_type") == "identifier", "n_identifiers"), F.sum(F.length("in_scope_names")).alias("sum_scope_names"), F.sum(F.length("token_text")).alias("n_chars"),
     )
 
 
@@ -42,26 +43,69 @@ def parse_statuses(spark: SparkSession, d: str) -> DataFrame:
     return parse_snippets(_snippets(spark, d)).groupBy("language", "status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
-def seeded_encoder(spark: SparkSession, inputs: int = 16, width: int = 64, seed: int = 0) -> EncoderFile:
-    """Random weights, written to the shared folder."""
+def seeded_encoder(spark: SparkSession, inputs: int = 16, width: int = 64, seed: int = 0) -> SentEncoder:
+    """Random weights."""
     rng = np.random.default_rng(seed)
-    data = io.BytesIO()
-    np.savez(data, w=rng.standard_normal((inputs, width)), b=rng.standard_normal(width), threshold=np.full(width, 0.5))
-    path = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/encoder-{inputs}-{width}-{seed}.npz"
-    while path.startswith("//"):
-        path = path[1:]
-    with open(path, "wb") as f:
-        f.write(data.getvalue())
-    return EncoderFile(path)
+    made = {"w": rng.standard_normal((inputs, width)), "b": rng.standard_normal(width), "threshold": np.full(width, 0.5)}
+    return SentEncoder(spark.sparkContext.broadcast({k: v.astype(np.float32) for k, v in made.items()}))
+
+
+def _text_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Each text sample once, as delivered last."""
+    return last_wins(table(spark, d, "text_samples"), ["idx"], ["written_at", "text"]).drop("written_at")
 
 
 def sparse_features(spark: SparkSession, d: str) -> DataFrame:
     """Text samples to tokens, vectors and sparse features."""
-    texts = table(spark, d, "text_samples").groupBy("idx").agg(F.max("text").alias("code")).withColumnRenamed("idx", "snippet_id").withColumn("language", F.lit("text"))
-    dense = good_rows(extract_activations(texts, SeededProvider(16), "seeded", 20))
-    out = with_sequence_columns(encode_features(dense, seeded_encoder(spark), "seeded", "layer_20", top_k=4))
+    texts = _text_samples(spark, d).select(F.col("idx").alias("snippet_id"), F.lit("text").alias("language"), F.col("text").alias("code"))
+    dense = good_rows(extract_activations(texts, SeededProvider(16), "seeded", 20, sequence=True))
+    out = encode_features(dense, seeded_encoder(spark), "seeded", "layer_20", top_k=4)
     return out.select("snippet_id", "token_pos", "token_text", "seq_len", "prev_token_str", "top_k_feature_ids", "top_k_found", "sae_l0_positive", "top_1_feature_id", "top_4_feature_id", "sae_active_ge_0_1", "hook_name")
 
 
-QUERIES = {f.__name__: f for f in (annotated_tokens, lexer_labels, parse_statuses, sparse_features)}
-SQL: dict[str, str] = {}
+def sparse_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """What of ``sparse_features`` does not depend on the model."""
+    found = F.when(F.col("top_k_found") == F.size("top_k_feature_ids"), F.lit(True)).otherwise(F.lit(False))
+    rows = sparse_features(spark, d).withColumn("consistent", found & F.col("top_1_feature_id").eqNullSafe(F.get("top_k_feature_ids", 0)) & (F.col("top_k_found") <= F.least(F.lit(4), "sae_l0_positive")))
+    return rows.select("snippet_id", "token_pos", "token_text", "seq_len", "prev_token_str", "consistent")
+
+
+def legacy_text_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The older table of text tokens, without the columns that depend on the model."""
+    rows = text_feature_rows(_text_samples(spark, d), SeededProvider(16), seeded_encoder(spark), "seeded", 20, "seeded", "layer_20", max_length=32, top_k=3)
+    return rows.select(
+        "idx", "modality", "source_dataset", "text_label_id", "token_pos", "seq_len", "text_char_len", "token_text", "char_start", "char_end", "char_len", "is_whitespace_token", "prev_token_str", "next_token_str"
+    )
+
+
+def legacy_code_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The older table of code tokens, counted by label."""
+    samples = _snippets(spark, d).withColumnRenamed("snippet_id", "idx")
+    rows = code_feature_rows(samples, SeededProvider(16), seeded_encoder(spark), "seeded", 20, "seeded", "layer_20", top_k=3)
+    return rows.groupBy("language", "pygments_simple_type", "pygments_label_id").agg(F.count(F.lit(1)).alias("n"), F.sum("char_len").alias("n_chars"), F.max("seq_len").alias("longest"))
+
+
+def tokenized_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """How many tokens each snippet has in the annotation, and how many characters they cover."""
+    parsed = parse_snippets(_snippets(spark, d))
+    return parsed.select("language", "snippet_id", F.size("tokens").cast("long").alias("n_tokens"), F.coalesce(F.array_max(F.transform("tokens", lambda t: t["end"])), F.lit(0)).alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (annotated_tokens, lexer_labels, parse_statuses, sparse_features, sparse_sequences, legacy_text_rows, legacy_code_rows, tokenized_snippets)}
+
+_PIECES = r"' ?[\p{L}\p{Nl}\p{No}]+|\p{Nd}+|[^\p{L}\p{N}]'"
+_TEXTS = f"""s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY written_at DESC, text DESC NULLS LAST) AS r FROM text_samples) x WHERE r = 1),
+        k AS (SELECT *, regexp_extract_all(text, {_PIECES}) AS p FROM s),
+        t AS (SELECT * EXCLUDE (p), unnest(p) AS token_text, unnest(range(len(p))) AS token_pos, len(p) AS n FROM k)"""
+SQL = {
+    "sparse_sequences": f"""
+        WITH {_TEXTS} SELECT idx AS snippet_id, token_pos, token_text, n AS seq_len, lag(token_text) OVER (PARTITION BY idx ORDER BY token_pos) AS prev_token_str, true AS consistent FROM t""",
+    "legacy_text_rows": rf"""
+        WITH {_TEXTS}, c AS (SELECT *, least(n, 32) AS seq_len, sum(length(token_text)) OVER (PARTITION BY idx ORDER BY token_pos)::BIGINT AS char_end FROM t WHERE token_pos < 32)
+        SELECT idx, 'text' AS modality, source_dataset, text_label_id, token_pos, seq_len, length(text) AS text_char_len, token_text, char_end - length(token_text) AS char_start, char_end,
+               length(token_text) AS char_len, regexp_full_match(token_text, '[\s\x1c-\x1f\x0b\x85\p{{Z}}]+') AS is_whitespace_token,
+               lag(token_text) OVER (PARTITION BY idx ORDER BY token_pos) AS prev_token_str, lead(token_text) OVER (PARTITION BY idx ORDER BY token_pos) AS next_token_str FROM c""",
+    "tokenized_snippets": f"""
+        WITH s AS (SELECT language, snippet_id, arg_max(coalesce(code, ''), written_at) AS code FROM snippets GROUP BY ALL)
+        SELECT language, snippet_id, len(regexp_extract_all(code, {_PIECES})) AS n_tokens, length(code) AS n_chars FROM s""",
+}

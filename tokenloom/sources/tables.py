@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import pickle
+import shutil
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -144,22 +146,25 @@ def describe_feature(spark: SparkSession, feature_id: int, models: Sequence[str]
     return read_descriptions(spark, folder, models).where(F.col("feature_id") == feature_id)
 
 
-def _write_arrow(df: DataFrame, path: str) -> None:
+def _write_arrow(df: DataFrame, path: str, stream: bool) -> tuple[pa.Schema, list[str]]:
     """One Arrow file per partition, written where it is computed, into a folder that all executors share. A file
-    appears under its name only when it is complete, so a task that is run again replaces it."""
+    appears under its name only when it is complete, so a task that is run again replaces it; the folder takes the place
+    of an older one only when all of it is there. Gives the schema and the names of the files."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    os.makedirs(path, exist_ok=True)
+    path = path.rstrip("/")
+    fresh, old = (f"{path}.{what}-{uuid.uuid4().hex}" for what in ("new", "old"))
+    os.makedirs(fresh)
     shape = to_arrow_schema(df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = os.path.join(path, f"part-{context.partitionId():05d}.arrow")
+        name = os.path.join(fresh, f"part-{context.partitionId():05d}.arrow")
         partial = f"{name}.{context.taskAttemptId()}"
         n = 0
-        with pa.OSFile(partial, "wb") as sink, pa.ipc.new_file(sink, shape) as writer:
+        with pa.OSFile(partial, "wb") as sink, (pa.ipc.new_stream if stream else pa.ipc.new_file)(sink, shape) as writer:
             for batch in batches:
                 writer.write_batch(batch.cast(shape))
                 n += batch.num_rows
@@ -167,17 +172,44 @@ def _write_arrow(df: DataFrame, path: str) -> None:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     df.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    if os.path.lexists(path):
+        os.rename(path, old)
+    os.rename(fresh, path)
+    if os.path.isdir(old):
+        shutil.rmtree(old)
+    elif os.path.lexists(old):
+        os.remove(old)
+    return shape, sorted(f for f in os.listdir(path) if f.endswith(".arrow"))
+
+
+def _feature(kind: pa.DataType) -> dict:
+    if pa.types.is_list(kind):
+        return {"feature": _feature(kind.value_type), "_type": "Sequence"}
+    name = {"double": "float64", "float": "float32", "halffloat": "float16"}.get(str(kind), str(kind))
+    return {"dtype": name, "_type": "Value"}
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "auto") -> None:
-    """Writes jsonl, parquet, arrow, or hf (a directory of Arrow files that the datasets library reads)."""
+    """Writes jsonl, parquet, arrow, or hf; what stood there before is replaced.
+
+    hf is a folder of Arrow stream files beside the two JSON files that the datasets library keeps of a saved dataset:
+    its columns, and the names of its files. Columns are plain values and lists. That library is not installed here, so
+    loading was not tried.
+    """
     fmt = infer_format(path, fmt)
     if fmt == "jsonl":
         df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
-    elif fmt in ("arrow", "hf"):
-        _write_arrow(df, path)
+    elif fmt == "arrow":
+        _write_arrow(df, path, False)
+    elif fmt == "hf":
+        shape, files = _write_arrow(df, path, True)
+        info = {"citation": "", "description": "", "features": {f.name: _feature(f.type) for f in shape}, "homepage": "", "license": ""}
+        state = {"_data_files": [{"filename": f} for f in files], "_fingerprint": uuid.uuid4().hex[:16], "_format_columns": None, "_format_kwargs": {}, "_format_type": None, "_output_all_columns": False, "_split": None}
+        for name, content in (("dataset_info.json", info), ("state.json", state)):
+            with open(os.path.join(path, name), "w", encoding="utf-8") as f:
+                json.dump(content, f, indent=2)
     else:
         raise ValueError(f"unknown format {fmt}")
 
