@@ -222,16 +222,17 @@ Parser = Callable[[str], tuple[list[Node], bool]]
 
 
 class ParserRegistry:
-    """Parsers by language, made on first use; a failure to make one is kept too."""
+    """Parsers by language, made on first use; a failure to make one is kept too. Without a maker of its own a language
+    has ``otherwise``, else the default parser."""
 
-    def __init__(self, makers: dict[str, Callable[[], Parser]] | None = None):
-        self._makers = makers
+    def __init__(self, makers: dict[str, Callable[[], Parser]] | None = None, otherwise: Callable[[], Parser] | None = None):
+        self._makers, self._otherwise = makers, otherwise
         self._made: dict[str, Parser | Exception] = {}
 
     def get(self, language: str) -> Parser:
         if language not in self._made:
             try:
-                maker = (self._makers or {}).get(language)
+                maker = (self._makers or {}).get(language, self._otherwise)
                 self._made[language] = maker() if maker else default_parser(language)
             except Exception as e:
                 self._made[language] = e
@@ -241,6 +242,29 @@ class ParserRegistry:
         return found
 
 
+_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+def parse_lines(code: str) -> tuple[list[Node], bool]:
+    """A tree for any language: lines are blocks, words in them identifiers, and the first word of a line is declared
+    there. For text that no grammar is at hand for, and to hold the rules above against a plain account of them."""
+    nodes = [Node(0, None, None, "module", True, 0, len(code))]
+    at = 0
+    for line in code.split("\n"):
+        words = list(_WORD.finditer(line))
+        if words:
+            block = len(nodes)
+            nodes.append(Node(block, 0, None, "line_block", True, at, at + len(line)))
+            for k, m in enumerate(words):
+                span, parent = (at + m.start(), at + m.end()), block
+                if k == 0:
+                    parent = len(nodes)
+                    nodes.append(Node(parent, block, None, "variable_declarator", True, *span))
+                nodes.append(Node(len(nodes), parent, None if k else "name", "identifier", True, *span))
+        at += len(line) + 1
+    return nodes, False
+
+
 # Grammar modules and the attributes under which they hold their language.
 GRAMMAR_MODULES = {
     "C": "tree_sitter_c", "C#": "tree_sitter_c_sharp", "C++": "tree_sitter_cpp", "Java": "tree_sitter_java", "Javascript": "tree_sitter_javascript", "PHP": "tree_sitter_php", "Python": "tree_sitter_python",

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom.functions.syntax import ParserRegistry, parse_lines
 from tokenloom.operators.annotate import annotate_tokens, parse_snippets
 from tokenloom.operators.encode import SeededProvider, SentEncoder, encode_features, extract_activations, good_rows
 from tokenloom.operators.ingest import last_wins
@@ -34,6 +35,16 @@ def annotated_tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def line_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Paths, names, scopes, declarations and usages of the tokens of all snippets, with lines for blocks."""
+    rows = annotate_tokens(_snippets(spark, d), registry=ParserRegistry(otherwise=lambda: parse_lines), json_lists=False).where(F.col("token_identifier_name").isNotNull())
+    return rows.select(
+        "language", "snippet_id", "token_pos", "token_text", "tree_sitter_path", "tree_sitter_leaf_type", F.col("token_identifier_name").alias("name"), "scope_depth", "scope_node_type", "num_in_scope_names",
+        F.get("in_scope_names", 0).alias("in_scope_name"), "token_name_is_in_scope", "token_name_is_decl", F.col("token_variable_access_kind").alias("access"), F.col("token_variable_usage_start").alias("usage_start"),
+        F.col("token_name_declaration_token_pos").alias("declared_at"), F.col("token_name_last_write_token_pos").alias("written_at"),
+    )
+
+
 def lexer_labels(spark: SparkSession, d: str) -> DataFrame:
     parsed = parse_snippets(_snippets(spark, d)).select("language", F.explode("tokens").alias("t")).select("language", F.explode("t.runs").alias("r"))
     return parsed.groupBy("language", F.col("r.simple").alias("label")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum(F.col("r.end") - F.col("r.start")).alias("n_chars"))
@@ -91,13 +102,36 @@ def tokenized_snippets(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("language", "snippet_id", F.size("tokens").cast("long").alias("n_tokens"), F.coalesce(F.array_max(F.transform("tokens", lambda t: t["end"])), F.lit(0)).alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (annotated_tokens, lexer_labels, parse_statuses, sparse_features, sparse_sequences, legacy_text_rows, legacy_code_rows, tokenized_snippets)}
+QUERIES = {f.__name__: f for f in (annotated_tokens, line_tokens, lexer_labels, parse_statuses, sparse_features, sparse_sequences, legacy_text_rows, legacy_code_rows, tokenized_snippets)}
 
 _PIECES = r"' ?[\p{L}\p{Nl}\p{No}]+|\p{Nd}+|[^\p{L}\p{N}]'"
 _TEXTS = f"""s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY written_at DESC, text DESC NULLS LAST) AS r FROM text_samples) x WHERE r = 1),
         k AS (SELECT *, regexp_extract_all(text, {_PIECES}) AS p FROM s),
         t AS (SELECT * EXCLUDE (p), unnest(p) AS token_text, unnest(range(len(p))) AS token_pos, len(p) AS n FROM k)"""
 SQL = {
+    "line_tokens": rf"""
+        WITH s AS (SELECT language, snippet_id, row_number() OVER () AS sn, code FROM (SELECT language, snippet_id, arg_max(coalesce(code, ''), written_at) AS code FROM snippets GROUP BY ALL) x),
+        kp AS (SELECT sn, regexp_extract_all(code, {_PIECES}) AS p FROM s),
+        k AS (SELECT sn, unnest(p) AS t, unnest(range(len(p))) AS pos FROM kp),
+        tok AS (SELECT sn, pos, t, sum(length(t)) OVER (PARTITION BY sn ORDER BY pos)::BIGINT AS e FROM k),
+        wp AS (SELECT sn, regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_]*|\n|[^A-Za-z_\n]+') AS p FROM s),
+        w0 AS (SELECT sn, unnest(p) AS w, unnest(range(len(p))) AS i FROM wp),
+        w1 AS (SELECT *, sum(length(w)) OVER (PARTITION BY sn ORDER BY i)::BIGINT AS e, count(*) FILTER (w = chr(10)) OVER (PARTITION BY sn ORDER BY i) AS line FROM w0),
+        w2 AS (SELECT sn, w, e - length(w) AS b, e, line, row_number() OVER (PARTITION BY sn, line ORDER BY i) = 1 AS head FROM w1 WHERE regexp_full_match(w, '[A-Za-z_][A-Za-z0-9_]*')),
+        under AS (SELECT t.sn, pos, t, t.e - length(t) AS tb, t.e AS te, w, w2.b, w2.e, line, head, least(t.e, w2.e) - greatest(t.e - length(t), w2.b) AS n
+                  FROM tok t JOIN w2 ON w2.sn = t.sn AND w2.b < t.e AND w2.e > t.e - length(t)),
+        nm AS (SELECT sn, pos, first(w ORDER BY n DESC, b) AS name FROM (SELECT sn, pos, w, sum(n) AS n, min(b) AS b FROM under GROUP BY ALL) x GROUP BY sn, pos),
+        pt AS (SELECT sn, pos, first(head ORDER BY n DESC, b) AS head FROM (SELECT sn, pos, head, sum(n) AS n, min(b) AS b FROM under GROUP BY ALL) x GROUP BY sn, pos),
+        us AS (SELECT u.sn, u.pos, min(b) AS b, bool_or(head) AS decl, arg_min(head, b) AS writes, any_value(t) AS t, any_value(tb) AS tb, any_value(line) AS line, any_value(name) AS name
+               FROM under u JOIN nm ON nm.sn = u.sn AND nm.pos = u.pos AND nm.name = u.w GROUP BY u.sn, u.pos),
+        hd AS (SELECT h.sn, h.line, h.w, h.e, min(u.pos) AS first_pos, min(u.pos) FILTER (u.te >= h.e AND nm.name = h.w) AS done
+               FROM w2 h JOIN under u ON u.sn = h.sn AND u.b = h.b JOIN nm ON nm.sn = u.sn AND nm.pos = u.pos WHERE h.head GROUP BY ALL)
+        SELECT language, snippet_id, us.pos AS token_pos, us.t AS token_text, 'module > line_block > ' || CASE WHEN pt.head THEN 'variable_declarator > ' ELSE '' END || 'identifier' AS tree_sitter_path,
+               'identifier' AS tree_sitter_leaf_type, us.name, 1 AS scope_depth, 'line_block' AS scope_node_type, (hd.e <= tb)::BIGINT AS num_in_scope_names, CASE WHEN hd.e <= tb THEN hd.w END AS in_scope_name,
+               hd.e <= tb AND hd.w = us.name AS token_name_is_in_scope, us.decl AS token_name_is_decl, CASE WHEN us.writes THEN 'write' ELSE 'read' END AS access, us.b AS usage_start,
+               CASE WHEN us.decl OR (hd.e <= tb AND hd.w = us.name) THEN hd.first_pos END AS declared_at,
+               CASE WHEN (us.decl OR (hd.e <= tb AND hd.w = us.name)) AND hd.done < us.pos THEN hd.done END AS written_at
+        FROM us JOIN pt ON pt.sn = us.sn AND pt.pos = us.pos JOIN hd ON hd.sn = us.sn AND hd.line = us.line JOIN s ON s.sn = us.sn""",
     "sparse_sequences": f"""
         WITH {_TEXTS} SELECT idx AS snippet_id, token_pos, token_text, n AS seq_len, lag(token_text) OVER (PARTITION BY idx ORDER BY token_pos) AS prev_token_str, true AS consistent FROM t""",
     "legacy_text_rows": rf"""
