@@ -5,14 +5,14 @@ import os
 import re
 import time
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tokenloom.llm import budget, encode, leakage, spans
+from tokenloom.llm import budget, encode, leakage, sieve, spans
 from tokenloom.llm.vocab import BYTE_BPE_50K, TOKENIZER_DIR, encoder, safe_parts
 
 PATH = os.path.join(TOKENIZER_DIR, BYTE_BPE_50K)
@@ -121,8 +121,9 @@ def _leak_tables(spark):
     return d, i, list(enumerate(docs)), [(100 + i, t) for i, t in enumerate(items)]
 
 
-@pytest.mark.parametrize("limit", [leakage.BROADCAST_WINDOWS, 3])
-def test_leaks(spark, rows, limit):
+@pytest.mark.parametrize(("limit", "bits"), [(leakage.BROADCAST_WINDOWS, sieve.BITMAP_BITS), (3, sieve.BITMAP_BITS), (3, 15)])
+def test_leaks(spark, rows, monkeypatch, limit, bits):
+    monkeypatch.setattr(sieve, "BITMAP_BITS", bits)
     d, i, docs, items = _leak_tables(spark)
     assert rows(leakage.leaks(d, "id", "text", i, "id", "text", limit=limit)) == _brute_leaks(docs, items)
     assert leakage.leaks(d.limit(0), "id", "text", i, "id", "text").count() == 0
@@ -181,6 +182,28 @@ def test_reparameterised_for_any_size_of_the_item_table(spark, rows):
         assert got[(1, 0)] == 0 and got[(3, 0)] == 1 and {i for _, i in got} == {0}
 
 
+def test_reparameterised_recall(spark):
+    """Of questions whose numbers and rare words were replaced one to one, at least nine in ten are found again."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").collect()]
+    held = Counter(w for _, t in items for w in set(leakage.words_of(t)))
+    rng = np.random.default_rng(11)
+    docs, planted = [], set()
+    for k, (i, t) in enumerate(items):
+        words = leakage.words_of(t)
+        slots = [w for w in dict.fromkeys(words) if w.isdigit() or held[w] < leakage.NAME_ITEMS]
+        chosen = {w: str(rng.integers(100, 10_000)) if w.isdigit() else f"zq{n}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for n, w in enumerate(slots[:4])}
+        if len(words) < 14 or not chosen:
+            continue
+        text = " ".join(chosen.get(w, w) for w in words)
+        docs.append((k, f"{' '.join(rng.choice(['lorem', 'dolor', 'sit', 'amet'], 30))} {text} {' '.join(rng.choice(['magna', 'aliqua', 'ut'], 30))}"))
+        planted.add((k, i))
+    d, i = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    got = {(r.doc, r.item) for r in leakage.reparameterised(d, "doc", "text", i, "item", "text").where("n_changed > 0").collect()}
+    recall = len(planted & got) / len(planted)
+    print(len(planted), recall)
+    assert len(planted) > 100 and recall >= 0.9
+
+
 # --- shared spans ----------------------------------------------------------------------------------------------------
 
 
@@ -254,11 +277,11 @@ def _brute_amounts(docs, stretches):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("block", "bits"), [(spans.BLOCK_CHARS, spans.BITMAP_BITS), (300, 15)])
+@pytest.mark.parametrize(("block", "bits"), [(spans.BLOCK_CHARS, sieve.BITMAP_BITS), (300, 15)])
 @pytest.mark.parametrize("span", [200, 64])
 def test_shared_amounts(spark, rows, monkeypatch, span, block, bits):
     monkeypatch.setattr(spans, "BLOCK_CHARS", block)
-    monkeypatch.setattr(spans, "BITMAP_BITS", bits)  # with few bits much of it hits by chance
+    monkeypatch.setattr(sieve, "BITMAP_BITS", bits)  # with few bits much of it hits by chance
     rng = np.random.default_rng(span)
     docs = [_random_text(rng, rng.integers(0, 2000)) for _ in range(25)]
     for _ in range(40):  # one to three stretches of other documents, some of them too short

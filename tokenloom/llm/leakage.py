@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.llm.sieve import bitmap_of, hash_hits, hot_rows, salted_join
 from tokenloom.session import cut_lineage
 
 WINDOW = 12
 #: A word in fewer items than this is taken for a name; so is any word that no item holds.
 NAME_ITEMS = 3
-#: Windows and words of the items may be this many to be sent to all tasks (about 50 MB); beyond, documents' windows go
-#: through a shuffle join instead.
+#: Windows and words of the items may be this many to be sent to all tasks (about 50 MB); beyond, bitmaps of their hashes
+#: are sent, and the windows that hit them go through a shuffle join.
 BROADCAST_WINDOWS = 500_000
 #: Words handled at once in a task.
 BLOCK_WORDS = 400_000
@@ -132,6 +133,7 @@ def template_windows(
     window: int = WINDOW,
     templates=None,
     pairs=None,
+    sieve: tuple | None = None,
     min_literal: int = 0,
     with_words: bool = True,
     places: bool = False,
@@ -142,7 +144,9 @@ def template_windows(
     ``_common``, those words of the text that are kept as they are.
 
     ``common`` is a broadcast set of words kept as they are. ``templates`` and ``pairs`` are broadcast sorted arrays
-    of template hashes, and of combined template and slot hashes; windows not among them are dropped here.
+    of template hashes, and of combined template and slot hashes; windows not among them are dropped here. ``sieve`` are
+    two broadcast bitmaps instead, of template hashes and of slot hashes, or, with the third entry False, of the template
+    hashes' other half; what doesn't hit both is dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +167,14 @@ def template_windows(
             shift = np.array(base, np.int64) - np.r_[0, np.cumsum(length)[:-1]]  # from places in the block to places in the text
             whole = doc[: len(template)] == doc[window - 1 :]
             keep = whole if known is None else whole & _isin(template, known)
+            if sieve:
+                keep &= hash_hits(sieve[0].value, template)
+                if not sieve[2]:
+                    keep &= hash_hits(sieve[1].value, template << np.uint64(32))
             at = np.flatnonzero(keep)
             if not len(at):
                 return
-            if paired is None and known is None:
+            if paired is None and known is None and sieve is None:
                 slots = _window_hash(r, window, 2)[at]
             else:
                 mixed, slots = _mix(r), np.zeros(len(at), np.uint64)
@@ -176,6 +184,9 @@ def template_windows(
             if paired is not None:
                 hit = _isin(_mix(template[at] + slots * np.uint64(3)), paired)
                 at, slots = at[hit], slots[hit]
+            if sieve and sieve[2]:
+                hit = hash_hits(sieve[1].value, slots)
+                at, slots = at[hit], slots[hit]
             literal = np.r_[0, np.cumsum(t > 3)]
             n_literal = literal[at + window] - literal[at]
             if min_literal:
@@ -269,9 +280,12 @@ def _fits(df: DataFrame, limit: int) -> pa.Table | None:
 
 
 class Items:
-    """The items' side: its common words, its windows, and what of them may be sent to all tasks."""
+    """The items' side: its common words, its windows, and what of them may be sent to all tasks: sorted hashes, or
+    bitmaps of them, ``exact`` if slots have to agree."""
 
-    def __init__(self, items: DataFrame, key: str, text: str, window: int, name_items: int = NAME_ITEMS, limit: int = BROADCAST_WINDOWS, places: bool = False):
+    def __init__(
+        self, items: DataFrame, key: str, text: str, window: int, name_items: int = NAME_ITEMS, limit: int = BROADCAST_WINDOWS, places: bool = False, exact: bool = False
+    ):
         sc = items.sparkSession.sparkContext
         words = _fits(common_words(items, key, text, name_items), limit)
         # With more words than may be sent, no word is kept as it is: coarser templates, which change no result of
@@ -283,13 +297,29 @@ class Items:
         ).distinct()
         hashes = _fits(self.windows.select("template", "slots"), limit)  # as many rows as would be broadcast
         self.small = hashes is not None
-        self.templates = self.pairs = None
-        if hashes is not None:
+        self.templates = self.pairs = self.sieve = None
+        if hashes is None:
+            self.windows = cut_lineage(self.windows)
+            second = F.col("slots") if exact else F.shiftleft("template", 32)
+            self.sieve = bitmap_of(self.windows.select("template")), bitmap_of(self.windows.select(second.alias("h"))), exact
+        else:
             template, slots = (hashes.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("template", "slots"))
             self.templates = sc.broadcast(np.unique(template))
             self.pairs = sc.broadcast(np.unique(_mix(template + slots * np.uint64(3))))
 
 
+    def joined(self, found: DataFrame, side: DataFrame, keys: list[str], doc_key: str) -> DataFrame:
+        """The documents' windows with the items' of equal ``keys``. Templates that many windows have are spread."""
+        if self.small:
+            return found.join(F.broadcast(side), keys)  # at most BROADCAST_WINDOWS rows, counted
+        kept = cut_lineage(found)
+        by = [k for k in keys if k != "words"]
+        counts = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        if by == keys:
+            return salted_join(kept, side, keys, hot_rows(counts, by), doc_key, "inner")
+        apart = side.withColumnRenamed("words", "_words_too")
+        return salted_join(kept, apart, by, hot_rows(counts, by), doc_key, "inner").where(F.col("words") == F.col("_words_too")).drop("_words_too")
+
     def with_common(self, df: DataFrame, key: str, text: str) -> DataFrame:
         return df if self.listed is None else _with_common(df, key, text, self.listed)
 
@@ -310,12 +340,10 @@ def leaks(
     same name the item's is called ``item_<name>``.
     """
     items, item_key = _apart(items, item_key, doc_key)
-    known = Items(items, item_key, item_text, window, limit=limit)
-    found = template_windows(docs, doc_key, doc_text, known.common, window, known.templates, known.pairs)
+    known = Items(items, item_key, item_text, window, limit=limit, exact=True)
+    found = template_windows(docs, doc_key, doc_text, known.common, window, known.templates, known.pairs, known.sieve)
     side = known.windows.select("template", "slots", "words", item_key)
-    if known.small:
-        side = F.broadcast(side)  # at most BROADCAST_WINDOWS rows, counted
-    return found.join(side, ["template", "slots", "words"]).select(doc_key, item_key).distinct()
+    return known.joined(found, side, ["template", "slots", "words"], doc_key).select(doc_key, item_key).distinct()
 
 
 def reparameterised(
@@ -335,18 +363,16 @@ def reparameterised(
     known = Items(items, item_key, item_text, window, name_items, limit, places=True)
     rows = known.with_common(docs, doc_key, doc_text)
     found = template_windows(
-        rows, doc_key, doc_text, known.common, window, known.templates, None, min_literal, places=True, listed=known.listed is not None
+        rows, doc_key, doc_text, known.common, window, known.templates, None, known.sieve, min_literal, places=True, listed=known.listed is not None
     )
     side = known.windows.where(F.col("n_literal") >= min_literal).select(
         "template", F.col("words").alias("_item_words"), F.col("at").alias("_item_at"), item_key
     )
-    if known.small:
-        side = F.broadcast(side)
     passage = [doc_key, item_key, "_distance", "_begin"]
     line = Window.partitionBy(doc_key, item_key, "_distance").orderBy("at")
     last = F.lag("at").over(line)
     met = cut_lineage(
-        found.join(side, "template")
+        known.joined(found, side, ["template"], doc_key)
         .withColumn("_distance", F.col("at") - F.col("_item_at"))
         .withColumn("_new", F.when(last.isNull() | (F.col("at") > last + window), F.col("at")))
         .withColumn("_begin", F.max("_new").over(line))

@@ -24,18 +24,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.llm.sieve import bitmap_of, hash_hits, hits, hot_rows, place_of, salted_join
 from tokenloom.session import cut_lineage
 
 SPAN = 200
 #: Characters that a gear hash covers: 64 bits, shifted by 4 for each.
 GEAR = 16
-#: Parts that the rows of a hot digest are spread over.
-SALTS = 64
-#: Bits of a place in the bitmap: 16 MB. However full it is, it only lets through more.
-BITMAP_BITS = 27
 #: Code points handled at once in a task.
 BLOCK_CHARS = 1_000_000
 
@@ -194,53 +191,17 @@ def _groups(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
     return cut_lineage(grouped.where(F.col("first") != F.col("last")))
 
 
-def _hot(groups: DataFrame, digests: list[str]) -> DataFrame:
-    """Digests that hold a thousandth of all grouped rows each: at most 1,000."""
-    total = groups.agg(F.sum("n").alias("_all"))
-    return groups.crossJoin(F.broadcast(total)).where(F.col("n") * 1000 >= F.col("_all")).select(*digests)  # one row
-
-
-def _joined(rows: DataFrame, groups: DataFrame, digests: list[str], hot: DataFrame, key: str, how: str) -> DataFrame:
-    """A shuffle join in which the rows of hot digests, known to be few digests, are spread by a salt of their key."""
-    marks = F.broadcast(hot.select(*digests, F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("_salt")
-    left = rows.join(marks, digests, "left").select(*rows.columns, salt)
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = groups.join(marks, digests, "left").select(*groups.columns, F.explode(salts).alias("_salt"))
-    return left.hint("merge").join(right.hint("merge"), [*digests, "_salt"], how).drop("_salt")
-
-
 def _held_twice(rows: DataFrame, digests: list[str], key: str) -> DataFrame:
     """The rows whose digests another document has, too."""
     groups = _groups(rows, digests, key)
-    return _joined(rows, groups.select(*digests), digests, _hot(groups, digests), key, "left_semi")
-
-
-def _place(hashed: Column) -> Column:
-    return F.shiftrightunsigned(hashed, 64 - BITMAP_BITS)
-
-
-def _bitmap(hashes: DataFrame) -> Broadcast:
-    """A bitmap of the leading bits of 64-bit hashes (the only column), for all tasks. It is put together by the
-    executors in pieces of 4 kB, of which there are 2**BITMAP_BITS / 32,768 at most."""
-    place = _place(F.col(hashes.columns[0])) + 1  # buckets hold places from 1 on
-    pieces = hashes.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
-    whole = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for b, bits in zip(pieces.column(0).to_pylist(), pieces.column(1).to_pylist()):
-        whole[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(whole)
-
-
-def _hits(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    return salted_join(rows, groups.select(*digests), digests, hot_rows(groups, digests), key, "left_semi")
 
 
 def _met(block: Block, span: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, piece, digest) of the chunks whose digests are in the bitmap."""
-    shift = np.uint64(64 - (len(bitmap) * 8).bit_length() + 1)
     begin, end, piece = _chunks(block, span)
     digest = block.digest(begin, end, 0)
-    hit = _hits(bitmap, (digest.view(np.uint64) >> shift).astype(np.int64))
+    hit = hash_hits(bitmap, digest.view(np.uint64))
     return begin[hit], end[hit], piece[hit], digest[hit]
 
 
@@ -323,14 +284,14 @@ def _with_marks(df: DataFrame, marks: DataFrame, key: str, text: str) -> DataFra
     """Texts with the sorted digests marked in them; a text's own chunks bound the list. Only texts whose keys hit a
     bitmap of the marks' keys are exchanged."""
     lists = cut_lineage(marks.groupBy(key).agg(F.sort_array(F.collect_set("digest")).alias("marks")))
-    bitmap = _bitmap(lists.select(F.xxhash64(key)))
+    bitmap = bitmap_of(lists.select(F.xxhash64(key)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_hits(bitmap.value, batch.column(2).to_numpy()))).select([0, 1])
+            yield batch.filter(pa.array(hits(bitmap.value, batch.column(2).to_numpy()))).select([0, 1])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, text))
-    some = df.select(key, text, _place(F.xxhash64(key)).alias("_place")).mapInArrow(run, kinds)
+    some = df.select(key, text, place_of(F.xxhash64(key)).alias("_place")).mapInArrow(run, kinds)
     return some.hint("merge").join(lists.hint("merge"), key)
 
 
@@ -351,11 +312,11 @@ def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
     case. Characters are compared by two independent 64-bit digests of exactly ``span`` code points.
     """
     groups = _shared_chunks(df, key, text, span)
-    spots = cut_lineage(_edge_spans(df, key, text, span, _bitmap(groups.select("digest"))))
+    spots = cut_lineage(_edge_spans(df, key, text, span, bitmap_of(groups.select("digest"))))
     known = cut_lineage(_held_twice(spots.where("d0 is not null").select("d0", "d1", key), ["d0", "d1"], key).select(key).distinct())
     # What is not settled: documents with shared chunks but no such span. Their chunks are looked at everywhere.
     doubtful = _exactly(spots.select("digest", key).hint("merge").join(known.hint("merge"), key, "left_anti").select("digest"), groups)
-    rest = _joined(spots.select("digest", key), doubtful, ["digest"], _hot(groups, ["digest"]), key, "left_semi")
+    rest = salted_join(spots.select("digest", key), doubtful, ["digest"], hot_rows(groups, ["digest"]), key, "left_semi")
     spans = cut_lineage(_span_digests(_with_marks(df, rest, key, text), key, text, span))
     return known.unionByName(_held_twice(spans, ["d0", "d1"], key).select(key)).distinct()
 
@@ -363,17 +324,17 @@ def shared_documents(df: DataFrame, key: str, text: str, span: int = SPAN) -> Da
 def _covered(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
     """(key, at, n): stretches of each document, which may overlap, that make up all its shared spans."""
     shared = _shared_chunks(df, key, text, span)
-    contexts = cut_lineage(_contexts(df, key, text, span, _bitmap(shared.select("digest"))))
+    contexts = cut_lineage(_contexts(df, key, text, span, bitmap_of(shared.select("digest"))))
     groups = _groups(contexts, ["d0", "d1"], key)
     chunks = cut_lineage(
-        _joined(contexts, groups.select("d0", "d1", "first", "last"), ["d0", "d1"], _hot(groups, ["d0", "d1"]), key, "left").select("digest", key, "at", "n", "first", "last")
+        salted_join(contexts, groups.select("d0", "d1", "first", "last"), ["d0", "d1"], hot_rows(groups, ["d0", "d1"]), key, "left").select("digest", key, "at", "n", "first", "last")
     )
     # A chunk is open if no other document has its context: its spans are looked at one by one. Of the documents that
     # agree in a context, two stand for all.
     is_open = F.col("first").isNull()
     doubtful = _exactly(chunks.where(is_open).select("digest"), shared)
     asked = chunks.where(is_open | (F.col(key) == F.col("first")) | (F.col(key) == F.col("last")))
-    rest = _joined(asked.select("digest", key), doubtful, ["digest"], _hot(shared, ["digest"]), key, "left_semi")
+    rest = salted_join(asked.select("digest", key), doubtful, ["digest"], hot_rows(shared, ["digest"]), key, "left_semi")
     spans = cut_lineage(_span_digests(_with_marks(df, rest, key, text), key, text, span))
     single = _held_twice(spans, ["d0", "d1"], key).select(key, "at", F.lit(span).cast("long").alias("n"))
     return chunks.where(~is_open).select(key, "at", "n").unionByName(single)
