@@ -48,3 +48,19 @@ def test_branches_that_do_not_go_together():
     assert check("#ifdef A\nint a =\n#endif\n#ifdef B\nint b =\n#endif\n1;", "C").valid is False  # nothing defined: 1;
     both = "int a\n#ifdef A\n= 1\n#endif\n#ifdef B\n= 2\n#endif\n;"
     assert check(both, "C").valid
+
+
+def test_dialects_run_together_and_do_not_mix():
+    from tokenloom.llm.syntax.gll import Grammar, recognise
+
+    g = Grammar("%dialects one two\nTop = Item* ; Item = @one 'a' | @two 'b' | 'c' Tail ; Tail = @one 'x' | @two 'y' | @one 'z' | @two 'z' ;")
+    for text, want in {"": 3, "a": 1, "b": 2, "ab": 0, "cz": 3, "czcza": 1, "cxb": 0, "cybcz": 2, "czcxczb": 0}.items():
+        place, accepted = recognise(g, [*(g.kinds[c] for c in text), 0])
+        assert accepted == want and (place < 0) == bool(want), text
+    for text, dialect in {
+        "print 'x'\n": "python2", "print('x')\n": "python3", "print 'x'\nexcept_ = 0777\n": "python2", "f'{x}'\nprint(1)\n": "python3", "print 'x'\ny = f'{x}'\n": None, "nonlocal_ = ur'x'\nasync def f(): pass\n": None,
+        "try:\n  pass\nexcept E, e:\n  print >>f, 1 <> 2\n": "python2", "x = rb'a'\nexec y\n": None, "async = 10L\n": "python2", "def print(): pass\n": "python3", "raise E, 'x'\nf(print=1)\n": None,
+    }.items():
+        assert check(text, "Python")[:2] == (dialect is not None, dialect), text
+    assert check("int f(a) int a; { return a; }\ng() { }\nint h(void) { }", "C").dialect == "c89" and check("int h(void) { }", "C").dialect == "c17"
+    assert check("#ifdef A\nint f(a) int a; { }\n#else\nint f(int a) { }\n#endif\n", "C").dialect == "c89"

@@ -8,6 +8,10 @@ a grammar that are LL(1) run as a plain recursive-descent parser would.
 All descriptors of one token are worked off before the next token is read. Calls of a rule at a token share one stack
 node whatever called them, and a node returns once per token; nodes behind the token are needed only as long as
 something refers to them, so memory follows the nesting of the text, not its length.
+
+Dialects of a language are one grammar and run together on one stack. ``@name`` in a rule lets only that dialect go on;
+every descriptor carries the set of dialects it stands for, as a bit mask. Where they agree they are one descriptor, and
+descriptors that differ in nothing but the set become one again.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-CALL, BRANCH, RETURN, NEWLINE_OK = -1, -2, -3, -4
+CALL, BRANCH, RETURN, NEWLINE_OK, ONLY = -1, -2, -3, -4, -5
 MATCHED, DEAD, OPEN = 1, 0, 2
 EOF = "<eof>"
 IDENT = "IDENT"
@@ -25,17 +29,22 @@ _META = re.compile(r"\s+|(?P<lit>'(?:[^'\\]|\\.)+')|(?P<name>[A-Za-z_@][\w]*)|(?
 
 class Grammar:
     """The compiled form of a grammar text. The first rule is the start rule; ``%context`` names words that are
-    keywords only where a rule wants them (rule ``Id`` takes them as identifiers elsewhere). Upper-case names and
-    quoted strings are terminals; ``@asi`` succeeds before a closing brace, at the end, or where a line began."""
+    keywords only where a rule wants them (rule ``Id`` takes them as identifiers elsewhere); ``%dialects`` names the
+    dialects, the most likely first. Upper-case names and quoted strings are terminals; ``@asi`` succeeds before a
+    closing brace, at the end, or where a line began."""
 
     def __init__(self, text: str):
         self.context: set[str] = set()
+        self.dialects: list[str] = []
         body = []
         for line in text.splitlines():
             if line.startswith("%context"):
                 self.context |= set(line.split()[1:])
+            elif line.startswith("%dialects"):
+                self.dialects = line.split()[1:]
             elif not line.startswith("%%"):
                 body.append(line)
+        self.all = (1 << max(1, len(self.dialects))) - 1
         self.kinds: dict[str, int] = {EOF: 0, IDENT: 1}
         self._literals: set[str] = set(self.context)
         self._rules: dict[str, object] = {}
@@ -72,6 +81,8 @@ class Grammar:
                     self._literals.add(t[1:-1])
                 elif t == "@asi":
                     node = ("asi",)
+                elif t[0] == "@":
+                    node = ("only", 1 << self.dialects.index(t[1:]))
                 elif t.isupper():
                     node = ("t", t)
                 else:
@@ -110,6 +121,8 @@ class Grammar:
                 emit(CALL, node[1])
             elif what == "asi":
                 emit(NEWLINE_OK)
+            elif what == "only":
+                emit(ONLY, node[1])
             elif what == "seq":
                 for x in node[1]:
                     gen(x)
@@ -164,6 +177,8 @@ class Grammar:
                     f = {o}
                 elif o == NEWLINE_OK:
                     f, e = everything, ends[s + 1]
+                elif o == ONLY:
+                    f, e = first[s + 1], ends[s + 1]
                 elif o == RETURN:
                     f, e = set(), True
                 elif o == BRANCH:
@@ -232,7 +247,7 @@ class Grammar:
                 if not back:
                     return None  # the token belongs to whatever called the rule
                 todo.append((back[-1], back[:-1]))
-            elif o == NEWLINE_OK:
+            elif o in (NEWLINE_OK, ONLY):
                 todo.append((s + 1, back))
             elif o == CALL:
                 todo.extend((w, (*back, s + 1)) for w in arg[arg[s]].get(t, ()))
@@ -261,7 +276,8 @@ def _run_straight(g: Grammar, slot: int, t: int, after: int) -> tuple:
     """What token ``t``, before ``after``, leads to from ``slot`` as long as there is one way: (calls, slot, outcome).
 
     ``calls`` are the (rule, return slot) met on the way. Outcome: MATCHED, the slot behind the token; RETURN, a rule
-    ends at the slot; DEAD; or OPEN, the slot has to be looked at with its node: a fork, a line end, or a rule met twice.
+    ends at the slot; DEAD; or OPEN, the slot has to be looked at with its node: a fork, a line end, a
+    dialect's own, or a rule met twice.
     """
     op, arg = g.op, g.arg
     calls: list[tuple[int, int]] = []
@@ -272,7 +288,7 @@ def _run_straight(g: Grammar, slot: int, t: int, after: int) -> tuple:
             return (tuple(calls), slot + 1, MATCHED) if o == t else ((), slot, DEAD)
         if o == RETURN:
             return tuple(calls), slot, RETURN
-        if o == NEWLINE_OK:
+        if o in (NEWLINE_OK, ONLY):
             return tuple(calls), slot, OPEN
         rule = arg[slot] if o == CALL else slot
         ways = arg[rule].get(t) or ()
@@ -288,57 +304,63 @@ def _run_straight(g: Grammar, slot: int, t: int, after: int) -> tuple:
         slot = ways[0]
 
 
-def recognise(g: Grammar, tokens: Sequence[int], line_began: Sequence[bool] | None = None) -> int:
-    """-1 if ``tokens`` (kinds, closed by EOF's) form a sentence of ``g``, else the place of the first token that no
-    descriptor can take. ``line_began[i]``: a line end stands before token i."""
+def recognise(g: Grammar, tokens: Sequence[int], line_began: Sequence[bool] | None = None) -> tuple[int, int]:
+    """(place, dialects): -1 and the bits of the dialects in which ``tokens`` (kinds, closed by EOF's) form a sentence of
+    ``g``; or the place of the first token that no descriptor can take, and 0. ``line_began[i]``: a line end stands
+    before token i.
+
+    A stack node is [edges (return slot, node below), token of its last return, dialects returned with there]. It is of
+    one set of dialects: calls of a rule by another set have a node of their own.
+    """
     op, arg, closing, straight, opened = g.op, g.arg, g.closing, g.straight, g.open
-    root: list = [[], -1]
-    now: list[tuple[int, list]] = [(g.start, root)]
-    accepted = False
+    root: list = [[], -1, 0]
+    now: list[tuple[int, list, int]] = [(g.start, root, g.all)]
+    accepted = 0
     n = len(tokens)
     for i, t in enumerate(tokens):
         after = tokens[i + 1] if i + 1 < n else 0
-        nxt: list[tuple[int, list]] = []
-        accepted = False
-        made: list[tuple[int, list]] = []
+        nxt: list[tuple[int, list, int]] = []
+        accepted = 0
+        made: list[tuple[tuple[int, int], list]] = []
         if len(now) == 1:  # one descriptor: go on without bookkeeping until it forks
-            slot, u = now.pop()
+            slot, u, mask = now.pop()
             while True:
                 step = straight.get((slot, t, after))
                 if step is None:
                     step = straight[slot, t, after] = _run_straight(g, slot, t, after)
                 calls, slot, outcome = step
                 for rule, back in calls:
-                    u = [[(back, u)], -1]
-                    made.append((rule, u))
+                    u = [[(back, u)], -1, 0]
+                    made.append(((rule, mask), u))
                 if outcome == MATCHED:
-                    nxt.append((slot, u))
+                    nxt.append((slot, u, mask))
                     break
                 if outcome == RETURN and u is not root and u[1] != i and len(u[0]) == 1 and len(made) < 500:
-                    u[1] = i
+                    u[1], u[2] = i, mask
                     slot, u = u[0][0]
                     continue
                 if outcome != DEAD:
-                    now.append((slot, u))
+                    now.append((slot, u, mask))
                 break
-        called: dict[int, list] = dict(made)
-        forked: dict[tuple[int, int], list] = {}  # holds the nodes, so that their ids stay theirs
+        if now:
+            called: dict[tuple[int, int], list] = dict(made)
+            forked: dict[tuple[int, int], list] = {}  # (way, node): [dialects that went it, node], so that ids stay theirs
         while now:
-            slot, u = now.pop()
+            slot, u, mask = now.pop()
             while True:
                 o = op[slot]
                 if o >= 0:
                     if o == t:
-                        nxt.append((slot + 1, u))
+                        nxt.append((slot + 1, u, mask))
                     break
                 if o == CALL:
                     rule = arg[slot]
                     ways = arg[rule].get(t)
                     if ways is None:
                         break
-                    v = called.get(rule)
+                    v = called.get((rule, mask))
                     if v is None:
-                        called[rule] = v = [[(slot + 1, u)], -1]
+                        called[rule, mask] = v = [[(slot + 1, u)], -1, 0]
                         u, slot = v, ways[0]
                         continue
                     for r, p in v[0]:
@@ -347,7 +369,7 @@ def recognise(g: Grammar, tokens: Sequence[int], line_began: Sequence[bool] | No
                     else:
                         v[0].append((slot + 1, u))
                         if v[1] == i:  # the rule already matched nothing here
-                            slot += 1
+                            slot, mask = slot + 1, v[2]
                             continue
                     break
                 if o == BRANCH:
@@ -362,38 +384,59 @@ def recognise(g: Grammar, tokens: Sequence[int], line_began: Sequence[bool] | No
                             break
                     if len(ways) > 1:
                         for way in ways[1:]:
-                            key = (way, id(u))
-                            if key not in forked:
-                                forked[key] = u
-                                now.append((way, u))
-                        key = (ways[0], id(u))
-                        if key in forked:
-                            break
-                        forked[key] = u
+                            gone = forked.get((way, id(u)))
+                            if gone is None:
+                                forked[way, id(u)] = [mask, u]
+                                now.append((way, u, mask))
+                            elif mask & ~gone[0]:
+                                now.append((way, u, mask & ~gone[0]))
+                                gone[0] |= mask
+                        gone = forked.get((ways[0], id(u)))
+                        if gone is None:
+                            forked[ways[0], id(u)] = [mask, u]
+                        else:
+                            mask &= ~gone[0]
+                            if not mask:
+                                break
+                            gone[0] |= mask
                     slot = ways[0]
                     continue
                 if o == RETURN:
                     if u is root:
-                        accepted = True
+                        accepted |= mask
                         break
                     if u[1] == i:
-                        break
-                    u[1] = i
+                        mask &= ~u[2]
+                        if not mask:
+                            break
+                        u[2] |= mask
+                    else:
+                        u[1], u[2] = i, mask
                     edges = u[0]
-                    for e in edges[1:]:
-                        now.append(e)
+                    for r, p in edges[1:]:
+                        now.append((r, p, mask))
                     slot, u = edges[0]
                     continue
+                if o == ONLY:
+                    mask &= arg[slot]
+                    if not mask:
+                        break
+                    slot += 1
+                    continue
                 # NEWLINE_OK
                 if t in closing or (line_began is not None and line_began[i]):
                     slot += 1
                     continue
                 break
         if t == 0:
-            return -1 if accepted else i
+            return (-1, accepted) if accepted else (i, 0)
         if not nxt:
-            return i
+            return i, 0
         if len(nxt) > 1:
-            nxt = list({(s, id(u)): (s, u) for s, u in nxt}.values())
+            merged: dict[tuple[int, int], tuple[int, list, int]] = {}
+            for s, u, mask in nxt:
+                before = merged.get((s, id(u)))
+                merged[s, id(u)] = (s, u, mask if before is None else mask | before[2])
+            nxt = list(merged.values())
         now = nxt
-    return len(tokens) - 1
+    return len(tokens) - 1, 0

@@ -20,9 +20,10 @@ Balanced = '(' Balanced* ')' | '[' Balanced* ']' | '{' Balanced* '}' | Id | NUM
 
 C = (
     """
+%dialects c17 c89
 Unit = External* ;
 External = ';' | Declaration | FunctionDef | StaticAssert | Asm | '__extension__' External ;
-FunctionDef = Specs FnDeclarator Attr* Block ;
+FunctionDef = Specs FnDeclarator Attr* (@c89 Declaration+)? Block | @c89 FnDeclarator Attr* Declaration* Block ;
 FnDeclarator = Pointer* (Id | '(' Attr* Declarator ')') Suffix* '(' Params? ')' Suffix* ;
 Declaration = Specs InitDeclarators? ';' ;
 LocalDecl = Declaration | StaticAssert ;
@@ -75,11 +76,6 @@ StrParts = STR (STR | Id)* | Id STR+ (STR | Id)* ;
     + _BALANCED
 )
 
-#: Before C99: functions without a type, parameters declared behind the list.
-C_OLD = (
-    C.replace("FunctionDef = Specs FnDeclarator Attr* Block ;", "FunctionDef = Specs? FnDeclarator Attr* Declaration* Block ;")
-)
-
 CPP = (
     """
 %context override final import module
@@ -433,12 +429,16 @@ Keyword = 'class' | 'function' | 'echo' | 'if' | 'else' | 'elseif' | 'while' | '
   | 'die' | 'eval' | 'fn' | 'and' | 'or' | 'xor' | 'do' | 'as' | 'instanceof' | 'callable' ;
 """
 
+#: Before 3.0: statements ``print`` and ``exec``, old spellings of ``except``, ``raise``, ``!=``, numbers and strings.
 PYTHON = """
-%context match case type _
+%dialects python3 python2
+Start = File ;
+Id = Plain | @python3 ('print' | 'exec') | @python2 ('nonlocal' | 'async' | 'await') ;
+Plain = IDENT | 'match' | 'case' | 'type' | '_' ;
 File = (NEWLINE | Stmt)* ;
 Stmt = Simple (';' Simple)* ';'? NEWLINE | Compound ;
 Block = Simple (';' Simple)* ';'? NEWLINE | NEWLINE INDENT Stmt+ DEDENT ;
-Simple = StarExprs | Assignment | 'pass' | 'break' | 'continue' | 'return' StarExprs? | 'raise' (Expr ('from' Expr)?)? | 'global' Id (',' Id)* | 'nonlocal' Id (',' Id)* | 'del' Target (',' Target)* ','? | 'assert' Expr (',' Expr)?
+Simple = StarExprs | @python2 'print' (StarExprs | '>>' Expr (',' StarExprs)?)? | @python2 'exec' Expr ('in' Expr (',' Expr)?)? | @python2 'raise' Expr ',' Expr (',' Expr)? | Assignment | 'pass' | 'break' | 'continue' | 'return' StarExprs? | 'raise' (Expr ('from' Expr)?)? | 'global' Id (',' Id)* | @python3 'nonlocal' Id (',' Id)* | 'del' Target (',' Target)* ','? | 'assert' Expr (',' Expr)?
   | 'import' DottedAs (',' DottedAs)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | ImportNames | '(' ImportNames ','? ')') | 'type' Id TypeParams? '=' Expr ;
 ImportNames = Id ('as' Id)? (',' Id ('as' Id)?)* ;
 DottedAs = Dotted ('as' Id)? ;
@@ -451,11 +451,12 @@ LastSub = '.' Id | '[' Slices ']' ;
 Targets = StarTarget (',' StarTarget)* ','? ;
 StarTarget = '*'? Target ;
 Target = Id | Sub | '(' Targets? ')' | '[' Targets? ']' ;
-Compound = Decorator* ('async'? 'def' Id TypeParams? '(' Params? ')' ('->' Expr)? ':' Block | 'class' Id TypeParams? ('(' Args? ')')? ':' Block) | 'if' Named ':' Block ('elif' Named ':' Block)* ('else' ':' Block)?
-  | 'while' Named ':' Block ('else' ':' Block)? | 'async'? 'for' Targets 'in' StarExprs ':' Block ('else' ':' Block)? | 'try' ':' Block (Except+ ('else' ':' Block)? ('finally' ':' Block)? | 'finally' ':' Block)
-  | 'async'? 'with' (WithItem (',' WithItem)* | '(' WithItem (',' WithItem)* ','? ')') ':' Block | 'match' StarNamed ':' NEWLINE INDENT CaseBlock+ DEDENT ;
+Compound = Decorator* ((@python3 'async')? 'def' Id TypeParams? '(' Params? ')' ('->' Expr)? ':' Block | 'class' Id TypeParams? ('(' Args? ')')? ':' Block) | 'if' Named ':' Block ('elif' Named ':' Block)* ('else' ':' Block)?
+  | 'while' Named ':' Block ('else' ':' Block)? | (@python3 'async')? 'for' Targets 'in' StarExprs ':' Block ('else' ':' Block)? | 'try' ':' Block (Except+ ('else' ':' Block)? ('finally' ':' Block)? | 'finally' ':' Block)
+  | (@python3 'async')? 'with' (WithItem (',' WithItem)* | '(' WithItem (',' WithItem)* ','? ')') ':' Block | 'match' StarNamed ':' NEWLINE INDENT CaseBlock+ DEDENT ;
 Decorator = '@' Named NEWLINE ;
-Except = 'except' ('*'? Expr (',' Expr)* ('as' Id)?)? ':' Block ;
+Except = 'except' Caught? ':' Block ;
+Caught = @python3 '*'? Expr (',' Expr)* ('as' Id)? | @python2 Expr (('as' | ',') Target)? ;
 WithItem = Expr ('as' Target)? ;
 CaseBlock = 'case' Patterns ('if' Named)? ':' Block ;
 Patterns = Pattern (',' Pattern)* ','? ;
@@ -480,25 +481,17 @@ Lambda = 'lambda' LParams? ':' Expr ;
 LParams = LParam (',' LParam)* ','? ;
 LParam = Id ('=' Expr)? | '*' Id? | '**' Id | '/' ;
 Cmp = Unary (BinOp Unary)* ;
-BinOp = 'and' | 'or' | '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' ;
-Unary = ('+' | '-' | '~' | 'not' | 'await') Unary | Atom Trailer* ;
+BinOp = 'and' | 'or' | '<' | '>' | @python2 '<>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' ;
+Unary = ('+' | '-' | '~' | 'not') Unary | @python3 'await' Unary | Atom Trailer* ;
 Trailer = '.' Id | '(' Args? ')' | '[' Slices ']' ;
 Slices = Slice (',' Slice)* ','? ;
 Slice = Expr? ':' Expr? (':' Expr?)? | '*'? Named ;
 Args = Arg (',' Arg)* ','? ;
 Arg = Named CompFor? | Id '=' Expr | '*' Expr | '**' Expr ;
-Atom = Id | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (Yield | StarNamed | Named CompFor)? ')' | '[' (StarNamed | Named CompFor)? ']' | '{' (Entry (',' Entry)* ','? | Entry CompFor | StarNamed | Named CompFor)? '}' ;
+Str = STR | @python3 STRNEW | @python2 STROLD ;
+Num = NUM | @python3 NUMNEW | @python2 NUMOLD ;
+Atom = Plain | 'print' | 'exec' | @python2 ('nonlocal' | 'async' | 'await') | @python2 '`' StarExprs '`' | Num | Str+ | 'None' | 'True' | 'False' | '...' | '(' (Yield | StarNamed | Named CompFor)? ')' | '[' (StarNamed | Named CompFor)? ']' | '{' (Entry (',' Entry)* ','? | Entry CompFor | StarNamed | Named CompFor)? '}' ;
 Entry = Expr ':' Expr | '**' Expr ;
-CompFor = 'async'? 'for' Targets 'in' Cmp ('if' CompCond)* CompFor? ;
+CompFor = (@python3 'async')? 'for' Targets 'in' Cmp ('if' CompCond)* CompFor? ;
 CompCond = (Id ':=')? (Cmp | Lambda) ;
 """
-
-#: The language before 3.0: statements ``print`` and ``exec``, old spellings of ``except``, ``raise`` and ``!=``.
-PYTHON_OLD = (
-    PYTHON.replace("%context match case type _", "%context match case type _ nonlocal async await")
-    .replace("Simple = StarExprs |", "Simple = StarExprs | 'print' (StarExprs | '>>' Expr (',' StarExprs)?)? | 'exec' Expr ('in' Expr (',' Expr)?)? | 'raise' Expr ',' Expr (',' Expr)? |")
-    .replace("'<' | '>' | '=='", "'<' | '>' | '<>' | '=='")
-    .replace("Except = 'except' ('*'? Expr (',' Expr)* ('as' Id)?)?", "Except = 'except' (Expr (('as' | ',') Target)?)?")
-    .replace("| 'nonlocal' Id (',' Id)* ", "").replace("'async'? ", "").replace("| 'await')", ")")
-    .replace("Atom = Id | NUM", "Atom = Id | 'print' | 'exec' | '`' StarExprs '`' | NUM")
-)

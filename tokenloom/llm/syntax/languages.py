@@ -14,15 +14,16 @@ SPELLINGS = {
     "javascript": "JavaScript", "js": "JavaScript", "php": "PHP", "python": "Python", "python3": "Python", "py": "Python",
 }
 
-#: language -> (dialect, grammar, lexer, its option), the most likely dialect first.
-_DIALECTS = {
-    "C": [("c17", "C", lexers.c_like, "c"), ("c89", "C_OLD", lexers.c_like, "c")],
-    "C++": [("c++20", "CPP", lexers.c_like, "cpp")],
-    "C#": [("c#12", "CSHARP", lexers.c_like, "csharp")],
-    "Java": [("java17", "JAVA", lexers.c_like, "java")],
-    "JavaScript": [("es2023", "JAVASCRIPT", lexers.javascript, None)],
-    "PHP": [("php8", "PHP", lexers.php, None)],
-    "Python": [("python3", "PYTHON", lexers.python, False), ("python2", "PYTHON_OLD", lexers.python, True)],
+#: language -> (grammar, lexer, its option). A grammar has its dialects, and they run together; one without a name for
+#: them has that which stands last.
+_LANGUAGES = {
+    "C": ("C", lexers.c_like, "c", "c17"),
+    "C++": ("CPP", lexers.c_like, "cpp", "c++20"),
+    "C#": ("CSHARP", lexers.c_like, "csharp", "c#12"),
+    "Java": ("JAVA", lexers.c_like, "java", "java17"),
+    "JavaScript": ("JAVASCRIPT", lexers.javascript, None, "es2023"),
+    "PHP": ("PHP", lexers.php, None, "php8"),
+    "Python": ("PYTHON", lexers.python, None, "python3"),
 }
 
 
@@ -45,43 +46,44 @@ def language_of(name: str | None) -> str | None:
 
 
 def check(text: str, language: str | None) -> Verdict:
-    """Is ``text`` a sentence of any dialect of the language (a name of ``_DIALECTS``)?"""
+    """Is ``text`` a sentence of any dialect of the language (a name of ``_LANGUAGES``)?"""
     if language is None:
         return Verdict(None, None, None)
-    furthest = 0
-    for dialect, name, lexer, option in _DIALECTS[language]:
-        g = grammar(name)
-        try:
-            tokens = lexer(text, g) if option is None else lexer(text, g, option)
-        except lexers.LexError as e:
-            furthest = max(furthest, e.args[0])
-            continue
-        at = _rejected(g, tokens)
-        if at < 0:
-            return Verdict(True, dialect, None)
-        furthest = max(furthest, at)
-    return Verdict(False, None, furthest)
-
-
-def _rejected(g: Grammar, tokens: lexers.Tokens) -> int:
-    """-1 if the dialect accepts, else the place it reached. With conditional directives it must accept what is read if
-    nothing is defined, and every other branch with some choice of the conditions."""
+    name, lexer, option, dialect = _LANGUAGES[language]
+    g = grammar(name)
+    try:
+        tokens = lexer(text, g) if option is None else lexer(text, g, option)
+    except lexers.LexError as e:
+        return Verdict(False, None, e.args[0])
+    place, accepted = _accepting(g, tokens)
+    if not accepted:
+        return Verdict(False, None, place)
+    return Verdict(True, next((d for i, d in enumerate(g.dialects) if accepted >> i & 1), dialect), None)
+
+
+def _accepting(g: Grammar, tokens: lexers.Tokens) -> tuple[int, int]:
+    """(place reached, dialects that accept). With conditional directives a dialect must accept what is read if nothing
+    is defined, and every other branch with some choice of the conditions."""
     if tokens.conditionals is None:
-        at = recognise(g, tokens.kinds, tokens.began)
-        return at if at < 0 else tokens.places[at]
+        at, accepted = recognise(g, tokens.kinds, tokens.began)
+        return tokens.places[at], accepted
 
-    def read(atoms: dict[str, bool]) -> int:
+    def read(atoms: dict[str, bool]) -> tuple[int, int]:
         kept = tokens.conditionals.kept(atoms, len(tokens.kinds))
-        at = recognise(g, [tokens.kinds[i] for i in kept])
-        return at if at < 0 else tokens.places[kept[at]]
+        at, accepted = recognise(g, [tokens.kinds[i] for i in kept])
+        return tokens.places[kept[at]], accepted
 
+    accepting = g.all
     for atoms, alone in tokens.conditionals.choices():
-        at = read(atoms)
-        if at < 0:
-            continue
-        if len(alone) < 2:
-            return at
-        for own in alone:  # perhaps the branches don't go together
-            if (at := read(own)) >= 0:
-                return at
-    return -1
+        place, accepted = read(atoms)
+        if accepting & ~accepted and len(alone) > 1:  # perhaps the branches don't go together
+            accepted = g.all
+            for own in alone:
+                place, one = read(own)
+                accepted &= one
+                if not accepting & accepted:
+                    break
+        accepting &= accepted
+        if not accepting:
+            return place, 0
+    return place, accepting

@@ -441,7 +441,9 @@ _PY = re.compile(
     r"""|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|>>|<<|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>=:;,.(){}\[\]])|(?P<end>\Z))""",
     re.S,
 )
-_PY_OLD = re.compile(_PY.pattern.replace(r"(?P<op>", r"(?P<op><>|`|").replace(r"|0[oO](?:_?[0-7])+", r"|0[oO]?[0-7]+[lL]?(?![.\deE])|[1-9]\d*[lL]").replace(r"(?P<str>(?:[rR][bB]?|[bB][rR]?|[uU])?", r"(?P<str>(?:[uUbB][rR]?|[rR])?").replace(_PY.pattern[_PY.pattern.index("|(?P<fields>") : _PY.pattern.index("|(?P<str>")], ""), re.S)
+_PY_BOTH = re.compile(_PY.pattern.replace(r"(?P<op>", r"(?P<op><>|`|"), re.S)
+_PY_NUMBER_OLD = re.compile(r"0[xX][\da-fA-F]+[lL]?(?!\w)|0[bB][01]+[lL]?(?!\w)|0[oO]?[0-7]+[lL]?(?![.\w])|[1-9]\d*[lL](?!\w)|0[lL](?!\w)")
+_PY_STRING_OLD = re.compile(r"""[uU][rR](?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?!'')(?:[^'\\\r\n]|\\.)*'|"(?!"")(?:[^"\\\r\n]|\\.)*")""", re.S)
 _PY_STRING = re.compile(r"""([A-Za-z]{0,2})('''|\"\"\"|'|")""")
 
 
@@ -514,14 +516,14 @@ def _formatted(text: str, pos: int) -> tuple[int, list[tuple[int, int]]]:
 _GLUE_WORDS = frozenset("and or if else in is for not".split())
 
 
-def python(text: str, g: Grammar, old: bool = False) -> Tokens:
+def python(text: str, g: Grammar) -> Tokens:
     """Lines and indentation become ``NEWLINE``, ``INDENT`` and ``DEDENT``; tabs reach to the next multiple of eight,
     and must agree with tabs of one column. The fields of formatted strings become calls of the string, behind all strings
-    that are joined to it."""
-    match = (_PY_OLD if old else _PY).match
+    that are joined to it. What only one of the dialects has is told apart by its kind."""
+    match = _PY_BOTH.match
     kinds_of, words, ident = g.kinds, g.words, g.kinds[IDENT]
     newline, indent, dedent = kinds_of["NEWLINE"], kinds_of["INDENT"], kinds_of["DEDENT"]
-    number, string = kinds_of["NUM"], kinds_of["STR"]
+    number, string, strings = kinds_of["NUM"], kinds_of["STR"], {kinds_of[k] for k in ("STR", "STRNEW", "STROLD")}
     kinds: list[int] = []
     places: list[int] = []
     levels: list[tuple[int, int]] = [(0, 0)]
@@ -581,6 +583,8 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
                     raise LexError(at)
         if what == "id":
             kind = words.get(m[what], ident)
+            if kind == ident and m[what] in ("ur", "uR", "Ur", "UR") and (old := _PY_STRING_OLD.match(text, at)):
+                kind, pos = kinds_of["STROLD"], old.end()
         elif what == "op":
             op = m[what]
             if op in "([{":
@@ -591,24 +595,30 @@ def python(text: str, g: Grammar, old: bool = False) -> Tokens:
             if kind is None:
                 raise LexError(at)
         elif what == "num":
-            glued = m["glued"]
-            if glued and glued not in _GLUE_WORDS:
-                raise LexError(at)
-            dec = m["dec"]
-            if dec and dec[0] == "0" and dec.strip("0_") and not (m["frac"] or m["exp"] or m["imag"]):
-                raise LexError(at)
+            glued, dec = m["glued"], m["dec"]
+            wrong = (glued and glued not in _GLUE_WORDS) or (dec and dec[0] == "0" and dec.strip("0_") and not (m["frac"] or m["exp"] or m["imag"]))
             pos -= len(glued)
             kind = number
+            if wrong:
+                old = _PY_NUMBER_OLD.match(text, at)
+                if old is None:
+                    raise LexError(at)
+                kind, pos = kinds_of["NUMOLD"], old.end()
+            elif not dec and text[at] == "0" and text[at + 1] in "oO" and "_" in text[at:pos]:
+                kind = kinds_of["NUMNEW"]
         else:
             kind = string
-            if what == "fields":
+            if what == "str" and text[at : at + 2].lower() == "rb":
+                kind = kinds_of["STRNEW"]
+            elif what == "fields":
+                kind = kinds_of["STRNEW"]
                 pos, found = _formatted(text, at)
                 if pos < 0:
                     raise LexError(at)
                 for begin, stop in found:
                     own, where = _inner(lambda t: python(t, g), text, begin, stop, "(", "\n)")
                     fields.append(([kinds_of["("], *own[:-1], kinds_of[")"]], [begin, *where[:-1], stop]))
-        if fields and kind != string:
+        if fields and kind not in strings:
             _put(fields, kinds, places)
         kinds.append(kind)
         places.append(at)
