@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.features import selected_features
 from tokenloom.operators import feature_sets as fs
 from tokenloom.operators import feature_stats as st
+from tokenloom.plans.token_queries import shown_sql
 from tokenloom.session import table
 
 #: A feature that is frequent at every scale.
@@ -213,6 +214,8 @@ SQL = {
     "token_weights_count": _weight_sql("count(*)::DOUBLE"),
     "token_weights_sum": _weight_sql("sum(a)"),
     "token_weights_mean": _weight_sql("avg(a)"),
+    "display_weights": _PAIRS5.format(k=20)
+    + f"""SELECT {shown_sql('token_str')} AS token, round(sum(a), 6) AS weight FROM p WHERE f = {FEATURE} AND a >= 0 AND token_str <> '' GROUP BY 1""",
     "feature_languages": _counts_sql("language"),
     "feature_labels": _counts_sql("pygments_simple_type"),
     "pmi_one": f"""

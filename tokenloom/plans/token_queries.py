@@ -224,6 +224,16 @@ _TOK = f"""{_SAMPLES},
 _POS = "pos AS (SELECT DISTINCT idx, token_pos, token_text, char_start, char_end, pygments_type, pygments_simple_type FROM token_features)"
 
 
+def shown_sql(t: str) -> str:
+    """The visible form of a token."""
+    return f"""CASE WHEN {t} IS NULL OR {t} = '' THEN '<empty>'
+          WHEN regexp_full_match({t}, '[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+') THEN
+            CASE WHEN regexp_matches({t}, '[ \\n\\t]') THEN repeat('\\n', length({t}) - length(replace({t}, chr(10), ''))) || repeat('\\t', length({t}) - length(replace({t}, chr(9), '')))
+              || CASE length({t}) - length(replace({t}, ' ', '')) WHEN 0 THEN '' WHEN 1 THEN '<space>' ELSE '<space>x' || (length({t}) - length(replace({t}, ' ', '')))::VARCHAR END
+            ELSE '<whitespace>' END
+          ELSE replace(replace({t}, chr(10), '\\n'), chr(9), '\\t') END"""
+
+
 def _vote(tie: str) -> str:
     return f"""
         WITH {_POS}, c AS (SELECT idx, token_pos // 16 AS block, pygments_simple_type AS l, count(*) AS n, min(token_pos) AS lo, max(token_pos) AS hi
@@ -315,13 +325,7 @@ SQL = {
     "token_flags": """
         SELECT idx, token_pos, char_start = char_end AS is_special, coalesce(regexp_full_match(token_text, '[\\s\\x1c-\\x1f\\x85\\p{Z}]+'), false) AS is_blank, char_end - char_start AS char_len,
                count(*) OVER (PARTITION BY idx) AS n_rows FROM token_features""",
-    "display_tokens": """
-        SELECT DISTINCT token_text, CASE WHEN token_text IS NULL OR token_text = '' THEN '<empty>'
-          WHEN regexp_full_match(token_text, '[\\s\\x1c-\\x1f\\x85\\p{Z}]+') THEN
-            CASE WHEN regexp_matches(token_text, '[ \\n\\t]') THEN repeat('\\n', length(token_text) - length(replace(token_text, chr(10), ''))) || repeat('\\t', length(token_text) - length(replace(token_text, chr(9), '')))
-              || CASE length(token_text) - length(replace(token_text, ' ', '')) WHEN 0 THEN '' WHEN 1 THEN '<space>' ELSE '<space>x' || (length(token_text) - length(replace(token_text, ' ', '')))::VARCHAR END
-            ELSE '<whitespace>' END
-          ELSE replace(replace(token_text, chr(10), '\\n'), chr(9), '\\t') END AS shown FROM token_features""",
+    "display_tokens": f"SELECT DISTINCT token_text, {shown_sql('token_text')} AS shown FROM token_features",
     "padded_batches": """
         WITH r AS (SELECT set_id, list_filter(coalesce(top_k_feature_ids, []), lambda x: x IS NOT NULL) AS i, (row_number() OVER (ORDER BY set_id) - 1) // 32 AS batch FROM token_sets),
         m AS (SELECT *, max(len(i)) OVER (PARTITION BY batch) AS w FROM r)
