@@ -127,6 +127,18 @@ def span_labels(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("idx", "piece", labels.select_code_label(under).alias("label"), F.size(under).cast("long").alias("n_chars"))
 
 
+def char_places(spark: SparkSession, d: str) -> DataFrame:
+    """Of every seventh character of a sequence: the token that holds it, and the first keyword token around it."""
+    rows = _positions(spark, d)
+    gathered = rows.groupBy("idx").agg(
+        F.array_sort(F.collect_list(F.struct("token_pos", F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.coalesce("pygments_simple_type", F.lit("")).alias("name")))).alias("t"), F.max("char_end").alias("n")
+    )
+    at = gathered.select("idx", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 7))).alias("k")).withColumn("place", F.col("k") * 7)
+    near = spans.covering(F.col("t"), F.lit("keyword"), F.col("place") - 3, F.col("place") + 3)
+    labels_ = labels.select_tree_label(F.transform(F.filter("t", lambda x: (x["start"] <= F.col("place")) & (F.col("place") < x["end"])), lambda x: x["name"]))
+    return at.select("idx", "place", F.get("t", spans.token_at_char(F.col("t"), F.col("place")).cast("int"))["token_pos"].alias("token_pos"), near["token_pos"].alias("keyword_pos"), labels_.alias("label"))
+
+
 def visible_names(spark: SparkSession, d: str) -> DataFrame:
     """Names visible at each token: variables in blocks of 8 tokens, functions in blocks of 32, classes everywhere."""
     rows = _positions(spark, d)
@@ -211,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_token_summary, text_tokens, bos_inserted, text_labels, text_budget, normalized_ids, fragment_groups, common_users, parallel_snippets, latest_snippets,
-        snippet_page, neighbors, prev_next, last_write, scope_at_token, span_labels, visible_names, vote_first_seen, vote_first_reached, simplified_labels,
+        snippet_page, neighbors, prev_next, last_write, scope_at_token, span_labels, char_places, visible_names, vote_first_seen, vote_first_reached, simplified_labels,
         token_flags, display_tokens, padded_batches, tokens_with_code, nation_revenue,
     )
 }
@@ -299,6 +311,13 @@ SQL = {
           UNION ALL SELECT idx, 2, token_pos // 8, min(char_start), max(char_end) FROM pos GROUP BY idx, token_pos // 8)
         SELECT pos.idx, token_pos, depth::BIGINT AS depth, b AS block FROM pos JOIN sc ON sc.idx = pos.idx AND s <= char_start AND char_start <= e
         QUALIFY row_number() OVER (PARTITION BY pos.idx, token_pos ORDER BY depth DESC, e - s, b) = 1""",
+    "char_places": f"""
+        WITH {_POS}, n AS (SELECT idx, max(char_end) AS n FROM pos GROUP BY idx), p AS (SELECT idx, unnest(range(0, n // 7 + 1)) * 7 AS place FROM n)
+        SELECT p.idx, place, coalesce(min(token_pos) FILTER (char_start <= place AND place < char_end), min(token_pos) FILTER (char_end > place AND char_start <> char_end)) AS token_pos,
+               min(token_pos) FILTER (pygments_simple_type = 'keyword' AND char_start < place + 3 AND char_end > place - 3) AS keyword_pos,
+               CASE WHEN count(*) FILTER (char_start <= place AND place < char_end) = 0 THEN 'special'
+                    ELSE coalesce(min(pygments_simple_type) FILTER (char_start <= place AND place < char_end), '') END AS label
+        FROM p JOIN pos ON pos.idx = p.idx GROUP BY p.idx, place""",
     "span_labels": f"""
         WITH {_POS}, ch AS (SELECT idx, unnest(range(char_start, char_end)) AS c, char_start AS st, char_end AS en, pygments_simple_type AS l FROM pos WHERE char_end > char_start AND pygments_simple_type IS NOT NULL),
         n AS (SELECT idx, max(en) AS n FROM ch GROUP BY idx), p AS (SELECT idx, unnest(range(0, (n - 1) // 5 + 1)) AS piece FROM n),
