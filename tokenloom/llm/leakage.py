@@ -269,8 +269,8 @@ def _with_common(df: DataFrame, key: str, text: str, common: DataFrame) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(words), k.type), words], names=[key, "word"])
 
     words = df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, word string")
-    lists = words.join(common, "word").groupBy(key).agg(F.collect_set("word").alias("_common"))
-    return df.select(key, text).join(lists, key, "left")
+    lists = words.hint("merge").join(common.hint("merge"), "word").groupBy(key).agg(F.collect_set("word").alias("_common"))
+    return df.select(key, text).hint("merge").join(lists.hint("merge"), key, "left")
 
 
 def _fits(df: DataFrame, limit: int) -> pa.Table | None:
@@ -387,11 +387,12 @@ def reparameterised(
         .select(*passage)
     )
     changed = F.max((F.col("_i") != F.col("_d")).cast("int"))
-    words = named.join(consistent, passage, "left_semi").groupBy(doc_key, item_key, "_i").agg(changed.alias("changed"))
-    counts = met.join(consistent, passage, "left_semi").select(doc_key, item_key, "template", "_words", "_item_words").distinct()
+    words = named.hint("merge").join(consistent.hint("merge"), passage, "left_semi").groupBy(doc_key, item_key, "_i").agg(changed.alias("changed"))
+    counts = met.hint("merge").join(consistent.hint("merge"), passage, "left_semi").select(doc_key, item_key, "template", "_words", "_item_words").distinct()
     return (
         counts.groupBy(doc_key, item_key)
         .agg(F.count(F.lit(1)).alias("n_windows"))
-        .join(words.groupBy(doc_key, item_key).agg(F.count(F.lit(1)).alias("n_words"), F.sum("changed").alias("n_changed")), [doc_key, item_key])
+        .hint("merge")
+        .join(words.groupBy(doc_key, item_key).agg(F.count(F.lit(1)).alias("n_words"), F.sum("changed").alias("n_changed")).hint("merge"), [doc_key, item_key])
         .select(doc_key, item_key, "n_windows", "n_words", "n_changed")
     )

@@ -93,7 +93,8 @@ def _known_of_snippets(spark: SparkSession, d: str) -> DataFrame:
     only = table(spark, d, "snippets").groupBy("snippet_id").agg(F.count_distinct(F.struct("language")).alias("n"), F.max("language").alias("only"))
     return (
         _sequences(spark, d, "token_features", "language", "snippet_id")
-        .join(only.where("n = 1"), "snippet_id", "left")
+        .hint("merge")
+        .join(only.where("n = 1").hint("merge"), "snippet_id", "left")
         .groupBy(F.coalesce("language", "only").alias("_language"), F.col("snippet_id").alias("_snippet_id"))
         .agg(F.sum("known").alias("known"))
     )
@@ -109,12 +110,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     latest = lambda *c: F.max(F.struct("written_at", *c)).alias("r")
     samples = (
         table(spark, d, "text_samples").groupBy("idx").agg(latest("source_dataset", "language", "text"))
-        .join(_sequences(spark, d, "text_token_features"), "idx", "left")
+        .hint("merge")
+        .join(_sequences(spark, d, "text_token_features").hint("merge"), "idx", "left")
         .select(F.lit("text_samples"), "idx", F.col("r.source_dataset"), F.col("r.language"), none, F.col("r.text"), "known")
     )
     snippets = (
         table(spark, d, "snippets").groupBy("language", "snippet_id").agg(latest("code"))
-        .join(_known_of_snippets(spark, d), F.col("language").eqNullSafe(F.col("_language")) & (F.col("snippet_id") == F.col("_snippet_id")), "left")
+        .hint("merge")
+        .join(_known_of_snippets(spark, d).hint("merge"), F.col("language").eqNullSafe(F.col("_language")) & (F.col("snippet_id") == F.col("_snippet_id")), "left")
         .select(F.lit("snippets"), "snippet_id", none, "language", none, F.col("r.code"), "known")
     )
     return docs.union(samples).union(snippets)
@@ -174,6 +177,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's text again, from its ids."""
+    return encode.decode_column(p8_ids(spark, d), "doc_id")
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_bound": p1_bound,
@@ -188,6 +196,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_links": p6_links,
     "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
     "p9_found": p9_found,
     "p9_reparameterised": p9_reparameterised,
     "p10_found": p10_found,

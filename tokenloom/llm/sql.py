@@ -46,6 +46,7 @@ SQL = {
                   struct_pack(metric := 'sae_l0_positive', v := r.sae_l0_positive::DOUBLE), struct_pack(metric := 'sae_max_activation', v := r.sae_max_activation)], recursive := true) FROM pos),
         cnt AS (SELECT language, pygments_simple_type, metric, count(*) AS n FROM val WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL)
         SELECT c.*, percentile, true AS within FROM cnt c, (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::DOUBLE AS percentile) p""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p10_found": _SPANS + "SELECT DISTINCT doc_id FROM hit",
     "p10_stretches": _SPANS + "SELECT doc_id, start AS begin, n_chars FROM stretch",
     "p10_shared": _SPANS

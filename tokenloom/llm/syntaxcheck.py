@@ -63,7 +63,7 @@ def invalid_rates(checked: DataFrame, by: list[str], hints: DataFrame, keys: lis
     once.
     """
     bad_hint = F.when(F.col("hint") == "ok", F.lit(False)).when(F.col("hint").isin("parsed_with_errors", "error"), F.lit(True))
-    joined = checked.join(hints, keys, "left")
+    joined = checked.hint("merge").join(hints.hint("merge"), keys, "left")
     return joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count("valid").alias("n_checked"),
