@@ -180,9 +180,9 @@ def test_counts_are_handed_on_in_parts(spark, rows, monkeypatch):
 
 def test_calibration():
     bits, segments, radius = setjoin.calibrate(100_000, 0.8)
-    assert bits == 17 and (1 - 0.9**bits) ** segments <= setjoin.MISS
+    assert bits == 14 and (1 - 0.9**bits) ** segments <= setjoin.MISS
     assert 6 < radius < setjoin.CHECK_BITS // 2
-    assert setjoin.calibrate(2**33, 0.8)[0] == 33
+    assert setjoin.calibrate(2**33, 0.8)[0] == 30
 
 
 def _near_sets(seed, n):

@@ -35,10 +35,11 @@ SEEN_TOGETHER = 16
 def calibrate(n_sets: int, threshold: float, miss: float = MISS) -> tuple[int, int, int]:
     """(bits of a segment, segments, Hamming radius of the check code).
 
-    A segment has about log2(n_sets) bits, so that unrelated sets meet about once per segment at any size.
+    A segment has about log2(n_sets) - 3 bits, so that unrelated sets meet about eight times per segment at any size:
+    comparing two codes is cheaper than the further segments that longer ones would need.
     """
     agree = (1 + threshold) / 2
-    bits = max(12, math.ceil(math.log2(max(2, n_sets))))
+    bits = max(12, math.ceil(math.log2(max(2, n_sets))) - 3)
     segments = math.ceil(math.log(miss) / math.log1p(-(agree**bits)))
     segments = max(segments, math.ceil(CHECK_BITS / bits))
     tail, radius = 1.0, -1
