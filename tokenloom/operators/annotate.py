@@ -78,10 +78,11 @@ def parse_snippet(code: str, language: str, tokenizer: Tokenizer, registry: Pars
     scopes = found["scopes"] or [{"scope_id": 0, "depth": 0, "type": "root", "start": 0, "end": len(code), "ancestors": [0]}]
     places = [t.start if t.start < len(code) else max(len(code) - 1, 0) for t in tokens]
     order = sorted(range(len(tokens)), key=places.__getitem__)
-    scope_of = dict(zip(order, _scopes_at(scopes, [places[i] for i in order])))
+    slim = {s["scope_id"]: {k: s[k] for k in ("scope_id", "depth", "type", "ancestors")} for s in scopes}
+    scope_of = {i: slim[s["scope_id"]] for i, s in zip(order, _scopes_at(scopes, [places[i] for i in order]))}
     near = {name: Touching(records) for name, records in (("runs", runs), ("leaves", found["leaves"]), ("declared", found["declarations"]), ("used", found["usages"]))}
     rows = [
-        {**t._asdict(), "scope": {k: scope_of[i][k] for k in ("scope_id", "depth", "type", "ancestors")}, "place": places[i]}
+        {"token_id": t.token_id, "raw": t.raw, "decoded": t.decoded, "start": t.start, "end": t.end, "scope": scope_of[i], "place": places[i]}
         | {name: touching(t.start, t.end) for name, touching in near.items()}
         for i, t in enumerate(tokens)
     ]
@@ -131,9 +132,19 @@ def _winner(votes: Iterable[tuple[str, int]], default: str | None = None) -> str
     return max(counts, key=counts.__getitem__) if counts else default
 
 
-def _code_label(votes: list[tuple[str, int]], gives_way: Callable[[str], bool], special: str) -> str:
-    if not votes:
+def _voted(records: list[dict], field: str, start: int, end: int) -> str:
+    """The winner among records, empty without any; mostly there is but one."""
+    if len(records) == 1:
+        return records[0][field]
+    return _winner(_under(records, field, start, end), "")
+
+
+def _code_label(runs: list[dict], field: str, start: int, end: int, gives_way: Callable[[str], bool], special: str) -> str:
+    if not runs:
         return special
+    if len(runs) == 1:
+        return runs[0][field]
+    votes = _under(runs, field, start, end)
     return _winner([v for v in votes if not gives_way(v[0])]) or _winner(votes, "other")
 
 
@@ -200,13 +211,13 @@ def _token_rows(code: str, parsed: dict, shown: Callable[[Sequence], object]) ->
     for pos, t in enumerate(tokens):
         start, end, scope = t["start"], t["end"], t["scope"]
         text = code[start:end]
-        votes = _under(t["runs"], "simple", start, end)
-        simple = _code_label(votes, ("whitespace", "text").__contains__, "special")
+        runs, leaves = t["runs"], t["leaves"]
+        simple = _code_label(runs, "simple", start, end, ("whitespace", "text").__contains__, "special")
         if start == end:
             full, path, leaf, identifier = "Token.Special", "special", "special", ""
         else:
-            full = _code_label(_under(t["runs"], "label", start, end), lambda x: x.startswith("Token.Text"), "Token.Special")
-            path, leaf, identifier = (_winner(_under(t["leaves"], f, start, end), "") for f in ("path", "label", "name"))
+            full = _code_label(runs, "label", start, end, lambda x: x.startswith("Token.Text"), "Token.Special")
+            path, leaf, identifier = _voted(leaves, "path", start, end), _voted(leaves, "label", start, end), _voted(leaves, "name", start, end)
         state, by_name, in_order = visible(scope["ancestors"], t["place"])
         lists = rendered.get(state)
         if lists is None:
