@@ -2,6 +2,7 @@
 
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -177,6 +178,22 @@ def test_mean_jaccard_of_two_lists():
     assert np.isnan(feature_sets.mean_jaccard(left, [])) and np.isnan(feature_sets.mean_jaccard([[1]], [], same=True))
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_overlap_in_bounded_memory(same):
+    """100 features in all sets are met 9 million times, some in pairs of sets and one in a single set; no more memory for that."""
+    sets = [[*range(100), 1000 + i // 2, 2000 + i] for i in range(300)]
+    tracemalloc.start()
+    try:
+        got = feature_sets.mean_jaccard(sets, [] if same else sets, same)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    pairs = 300 * 299 // 2
+    total = (pairs - 150) * 100 / 104 + 150 * 101 / 103
+    assert got == pytest.approx(total / pairs if same else (2 * total + 300) / 300**2)
+    assert peak < 64e6
+
+
 # --- ingest ----------------------------------------------------------------------------------------------------------
 
 

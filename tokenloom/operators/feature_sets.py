@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -14,9 +14,14 @@ from tokenloom.functions.features import selected_features, snippet_column
 from tokenloom.session import cut_lineage
 
 #: Sets handled as one block of the product: at most so many, and fewer of few sets, so that there is work for all.
-BLOCK_SETS = 4096
-#: Pairs whose common features are counted at once in a task.
+BLOCK_SETS = 2048
+#: Pairs of sets whose common features are counted at once in a task, entries that are met with each other at once, and
+#: frequent features multiplied at once. They bound the memory of a task, whatever the sets have in common.
 STRIP_PAIRS = 1 << 20
+MEETS = 1 << 20
+SLAB = 1024
+#: Time to meet two entries, in multiplications of the product of frequent features.
+MEET_COST = 1000
 
 
 def feature_sets(df: DataFrame, by: Sequence[str], top_k: int = 5) -> DataFrame:
@@ -51,81 +56,141 @@ def feature_indicators(df: DataFrame, top_k: int = 5, snippet_id_col: str | None
 
 
 class _Side(NamedTuple):
-    """A block's sets as flat arrays: unit, language and size of each; its features in order, each with its set."""
+    """A block's sets by language: unit, language and size of each; its distinct features in order, the number of sets
+    that have each, and these sets one feature after the other."""
 
     unit: np.ndarray
     language: np.ndarray
     sizes: np.ndarray
     features: np.ndarray
+    counts: np.ndarray
     owners: np.ndarray
 
     @staticmethod
-    def of(lists: pa.ListArray) -> _Side:
-        structs = lists.flatten()
-        sets = structs.field("features")
-        sizes = sets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        features = sets.flatten().to_numpy(zero_copy_only=False)
-        order = np.argsort(features, kind="stable")
-        plain = lambda name: structs.field(name).to_numpy(zero_copy_only=False)
-        return _Side(plain("unit"), plain("language"), sizes, features[order], np.repeat(np.arange(len(sizes)), sizes)[order])
+    def of(sets: pa.Table) -> _Side:
+        sets = sets.select(["unit", "language", "features"]).sort_by("language").combine_chunks()
+        plain = lambda name: sets.column(name).to_numpy()
+        lists = sets.column("features").combine_chunks()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        entries = lists.flatten().to_numpy(zero_copy_only=False)
+        features, counts = np.unique(entries, return_counts=True)
+        narrow = np.uint16 if len(sizes) <= 1 << 16 else np.uint32
+        owners = np.repeat(np.arange(len(sizes), dtype=narrow), sizes)[np.argsort(entries, kind="stable")]
+        return _Side(plain("unit"), plain("language"), sizes.astype(np.int32), features.astype(np.int64), counts.astype(np.int32), owners)
+
+    def packed(self) -> list[pa.Array]:
+        texts = [pa.array([list(x)], pa.list_(pa.string())) for x in (self.unit, self.language)]
+        return texts + [pa.array([x.tobytes()], pa.binary()) for x in (self.sizes, self.features, self.counts, self.owners)]
 
+    @staticmethod
+    def unpacked(row: dict) -> _Side:
+        narrow = np.uint16 if len(row["unit"]) <= 1 << 16 else np.uint32
+        kinds = (("sizes", np.int32), ("features", np.int64), ("counts", np.int32), ("owners", narrow))
+        return _Side(*(np.array(row[c], object) for c in ("unit", "language")), *(np.frombuffer(row[c], kind) for c, kind in kinds))
 
-def _tile(a: _Side, b: _Side, same: bool, mode: str) -> list[tuple[str, str, float, int]]:
-    """Sums of Jaccard similarities and pair counts per pair of languages, over one tile of the product. Only entries
-    of equal features are met with each other; pairs of sets that share none are counted, not visited."""
-    la, ia = np.unique(a.language.astype(str), return_inverse=True)
-    lb, ib = np.unique(b.language.astype(str), return_inverse=True)
-    sums = np.zeros(len(la) * len(lb))
-    n, m = len(a.unit), len(b.unit)
-    first, last = np.searchsorted(b.features, a.features, "left"), np.searchsorted(b.features, a.features, "right")
-    strip = max(1, STRIP_PAIRS // max(1, m))
-    unit_b = None
-    if mode == "other_snippets":
-        unit_of = {u: k for k, u in enumerate(np.unique(np.concatenate([a.unit, b.unit]).astype(str)))}
-        unit_a, unit_b = (np.array([unit_of[str(u)] for u in side.unit], np.int64) for side in (a, b))
-    for begin in range(0, n, strip):
-        own = np.flatnonzero((a.owners >= begin) & (a.owners < begin + strip))
-        times = last[own] - first[own]
-        at = np.repeat(first[own] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-        codes = np.repeat(a.owners[own] - begin, times) * m + b.owners[at]
-        both = np.bincount(codes, minlength=min(strip, n - begin) * m)
-        hit = np.flatnonzero(both)
-        x, y = hit // m + begin, hit % m
-        keep = x < y if same else np.ones(len(hit), bool)  # each unordered pair once
-        if unit_b is not None:
-            keep &= unit_a[x] != unit_b[y]
-        x, y, k = x[keep], y[keep], both[hit[keep]]
-        sums += np.bincount(ia[x] * len(lb) + ib[y], k / (a.sizes[x] + b.sizes[y] - k), len(sums))
-    counts = _valid_pairs(ia, ib, len(la), len(lb), same)
-    if unit_b is not None:
-        counts -= _same_unit_pairs(unit_a, unit_b, ia, ib, len(la), len(lb), same)
-    return [(la[i], lb[j], float(sums[i * len(lb) + j]), int(counts[i, j])) for i in range(len(la)) for j in range(len(lb))]
-
-
-def _valid_pairs(ia: np.ndarray, ib: np.ndarray, n: int, m: int, same: bool) -> np.ndarray:
-    """Pairs of sets of each two languages; in a block with itself only those of an earlier and a later set."""
-    if not same:
-        return np.outer(np.bincount(ia, minlength=n), np.bincount(ib, minlength=m))
-    out = np.zeros((n, m), np.int64)
-    later = np.bincount(ib, minlength=m)
-    for x in range(len(ia)):
-        later[ib[x]] -= 1
-        out[ia[x]] += later
-    return out
 
+_PACKED = "unit array<string>, language array<string>, sizes binary, features binary, counts binary, owners binary"
+
+
+class _Entries(NamedTuple):
+    """A side's entries of the features that both sides have: feature, by its number, and set of each, by feature;
+    number and first of the entries of each feature."""
+
+    feature: np.ndarray
+    owner: np.ndarray
+    counts: np.ndarray
+    first: np.ndarray
 
-def _same_unit_pairs(unit_a: np.ndarray, unit_b: np.ndarray, ia: np.ndarray, ib: np.ndarray, n: int, m: int, same: bool) -> np.ndarray:
-    """The same of pairs of equal units. A unit has one set per language, so few share one."""
-    out = np.zeros((n, m), np.int64)
-    order = np.argsort(unit_b, kind="stable")
-    first, last = np.searchsorted(unit_b[order], unit_a, "left"), np.searchsorted(unit_b[order], unit_a, "right")
-    for x in np.flatnonzero(last > first):
-        for y in order[first[x] : last[x]]:
-            if not same or x < y:
-                out[ia[x], ib[y]] += 1
+    @staticmethod
+    def of(side: _Side, common: np.ndarray) -> _Entries:
+        counts = side.counts[common].astype(np.int64)
+        at = _ranges((np.cumsum(side.counts, dtype=np.int64) - side.counts)[common], counts)
+        return _Entries(np.repeat(np.arange(len(common), dtype=np.int32), counts), side.owners[at].astype(np.int32), counts, np.cumsum(counts) - counts)
+
+
+def _ranges(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``times`` numbers from each of ``first`` on, one range after the other."""
+    return np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _shared(a: _Entries, b: _Entries, begin: int, n: int, m: int) -> np.ndarray:
+    """Number of features that each of the n sets of ``a`` from ``begin`` on shares with each of the m sets of ``b``.
+    Those of frequent features are a product of matrices, slab by slab; entries of rare ones are met with each other."""
+    out = np.zeros((n, m))
+    own = (a.owner >= begin) & (a.owner < begin + n)
+    feature, owner = a.feature[own], a.owner[own] - begin
+    frequent = np.bincount(feature, minlength=len(a.counts)) * b.counts * MEET_COST > n * m
+    number = np.cumsum(frequent) - 1
+
+    def matrix(features: np.ndarray, owners: np.ndarray, rows: int, k: int) -> np.ndarray:
+        i, j = np.searchsorted(features, [k, k + SLAB])
+        cells = np.zeros((rows, SLAB), np.float32)
+        cells[owners[i:j], features[i:j] - k] = 1
+        return cells
+
+    x, y = frequent[feature], frequent[b.feature]
+    left, right = (number[feature[x]], owner[x]), (number[b.feature[y]], b.owner[y])
+    for k in range(0, int(frequent.sum()), SLAB):
+        out += matrix(*left, n, k) @ matrix(*right, m, k).T
+
+    feature, owner, cells = feature[~x], owner[~x].astype(np.int64), out.ravel()
+    times, first = b.counts[feature], b.first[feature]
+    ends = np.cumsum(times)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MEETS, "right")))
+        codes = np.repeat(owner[i:j] * m, times[i:j]) + b.owner[_ranges(first[i:j], times[i:j])]
+        np.add.at(cells, codes, 1.0)
+        i = j
     return out
 
 
+def _tile(a: _Side, b: _Side, same: bool, mode: str) -> list[tuple[str, str, float, int]]:
+    """Sums of Jaccard similarities and pair counts per pair of languages, over one tile of the product; of a block with
+    itself each unordered pair once."""
+    n, m = len(a.sizes), len(b.sizes)
+    _, *common = np.intersect1d(a.features, b.features, assume_unique=True, return_indices=True)
+    left, right = (_Entries.of(side, at) for side, at in zip((a, b), common, strict=True))
+    (first_a, of_a), (first_b, of_b) = _runs(a.language), _runs(b.language)
+    x, y = _equal_units(a.unit, b.unit) if mode == "other_snippets" else (np.zeros(0, np.int64),) * 2
+    if same:
+        x, y = x[x < y], y[x < y]
+    counts = np.outer(np.bincount(of_a), np.bincount(of_b))
+    if same:
+        alone = np.bincount(of_a)
+        counts = np.triu(counts, 1) + np.diag(alone * (alone - 1) // 2)
+    np.subtract.at(counts, (of_a[x], of_b[y]), 1)
+    sums = np.zeros(counts.shape)
+    strip = max(1, STRIP_PAIRS // max(1, m))
+    for begin in range(0, n, strip):
+        rows = min(strip, n - begin)
+        similar = _shared(left, right, begin, rows, m)
+        union = a.sizes[begin : begin + rows, None] + b.sizes - similar
+        np.divide(similar, union, out=similar, where=union > 0)
+        here = (x >= begin) & (x < begin + rows)
+        similar[x[here] - begin, y[here]] = 0
+        if same:
+            similar = np.triu(similar, begin + 1)
+        np.add.at(sums, of_a[begin : begin + rows], np.add.reduceat(similar, first_b, axis=1))
+    return [(a.language[i], b.language[j], float(sums[p, q]), int(counts[p, q])) for p, i in enumerate(first_a) for q, j in enumerate(first_b)]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First of each run of equal values, and the number of each value's run."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _equal_units(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets of equal units. A unit has one set per language, so few share one."""
+    codes: dict[str, int] = {}
+    left, right = (np.array([codes.setdefault(u, len(codes)) for u in side], np.int64) for side in (a, b))
+    order = np.argsort(right, kind="stable")
+    first, last = (np.searchsorted(right[order], left, side) for side in ("left", "right"))
+    return np.repeat(np.arange(len(left)), last - first), order[_ranges(first, last - first)]
+
+
 def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode: str = "other_snippets", block: int | None = None) -> DataFrame:
     """(language_1, language_2, mean_jaccard, n_pairs): mean Jaccard similarity over the pairs of sets of two languages.
 
@@ -133,33 +198,34 @@ def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode:
     itself. Sets that share nothing count as 0, empty ones too. A block without a valid pair is NaN. Null languages are
     left out; a unit has one set per language.
 
-    Similarities are added up over pairs that share a feature, and divided by the number of all pairs. Sets are cut into
-    blocks, and a task meets the entries of two blocks feature by feature: no pair becomes a row, and a frequent feature
-    is as many tasks' work as there are blocks. Each block is sent once for each block that it meets.
+    Sets are cut into blocks, and a task settles all pairs of two blocks: no pair becomes a row, and a frequent feature
+    is as many tasks' work as there are blocks. Each block is sent once for each block that it meets, with each feature
+    once and two bytes for each set that has it.
     """
-    rows = cut_lineage(sets.where(F.col(language).isNotNull()).select(F.col(unit).cast("string").alias("unit"), F.col(language).alias("language"), "features"))
+    rows = cut_lineage(sets.where(F.col(language).isNotNull()).select(F.col(unit).cast("string").alias("unit"), F.col(language).cast("string").alias("language"), F.col("features").cast("array<bigint>").alias("features")))
     n_sets = rows.count()
-    n_blocks = max(1, -(-n_sets // (block or min(BLOCK_SETS, max(256, n_sets // 24)))))
+    n_blocks = max(1, -(-n_sets // (block or min(BLOCK_SETS, max(256, n_sets // 12)))))
     where = F.pmod(F.xxhash64("unit", "language"), F.lit(n_blocks))
-    blocks = rows.groupBy(where.alias("own")).agg(F.collect_list(F.struct("unit", "language", "features")).alias("rows"))
+
+    def pack(sets: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays([sets.column("own").slice(0, 1).combine_chunks(), *_Side.of(sets).packed()], names=["own", *_Side._fields])
+
+    blocks = rows.withColumn("own", where).groupBy("own").applyInArrow(pack, f"own bigint, {_PACKED}")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("other")
+    meeting = blocks.select("*", other).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", *_Side._fields)
     # A tile is much work and few bytes: tasks follow the number of tiles.
-    tasks = max(1, min(10_000, n_blocks * (n_blocks + 1) // 8))
-    last = F.lit(n_blocks - 1).cast("bigint")
-    left = blocks.select(F.col("own").alias("block"), F.explode(F.sequence("own", last)).alias("other"), F.col("rows").alias("left"))
-    right = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("block"), F.col("own").alias("other"), F.col("rows").alias("right"))
-    pairs = left.repartition(tasks, "block", "other").hint("merge").join(right.repartition(tasks, "block", "other").hint("merge"), ["block", "other"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block_, other, left, right = (batch.column(c).slice(i, 1) for c in range(4))
-                t = _tile(_Side.of(left), _Side.of(right), block_[0].as_py() == other[0].as_py(), mode)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in t], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))],
-                    names=["x", "y", "total", "n"],
-                )
-
-    tiles = pairs.select("block", "other", "left", "right").mapInArrow(run, "x string, y string, total double, n bigint")
+    tasks = min(10_000, n_blocks * (n_blocks + 1) // 2)
+
+    def run(met: pa.Table) -> pa.Table:
+        sides = {row["own"]: _Side.unpacked(row) for row in met.to_pylist()}
+        x, y = met.column("a")[0].as_py(), met.column("b")[0].as_py()
+        t = _tile(sides[x], sides[y], x == y, mode) if {x, y} == {*sides} else []  # a block without sets has no row
+        return pa.Table.from_arrays(
+            [pa.array([r[k] for r in t], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))],
+            names=["x", "y", "total", "n"],
+        )
+
+    tiles = meeting.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(run, "x string, y string, total double, n bigint")
     one_way = tiles.groupBy(F.least("x", "y").alias("language_1"), F.greatest("x", "y").alias("language_2")).agg(F.sum("total").alias("total"), F.sum("n").alias("n_pairs"))
     means = one_way.withColumn("mean_jaccard", F.when(F.col("n_pairs") > 0, F.col("total") / F.col("n_pairs")).otherwise(F.lit(float("nan")))).drop("total")
     both = F.explode(F.array(F.struct(F.col("language_1").alias("p"), F.col("language_2").alias("q")), F.struct(F.col("language_2").alias("p"), F.col("language_1").alias("q"))))
@@ -170,8 +236,7 @@ def mean_jaccard(left: Sequence[Sequence[int]], right: Sequence[Sequence[int]],
     """Mean Jaccard similarity of two given lists of feature sets: every pair of one of each, or, with ``same``, every
     unordered pair of the first list. Two empty sets have similarity 0; no pair gives NaN. For lists that fit a driver."""
     sides = [[sorted({x for x in s if x is not None}) for s in side] for side in ((left, left) if same else (left, right))]
-    shape = pa.list_(pa.struct([("unit", pa.string()), ("language", pa.string()), ("features", pa.list_(pa.int64()))]))
-    a, b = (_Side.of(pa.array([[{"unit": "", "language": "", "features": s} for s in side]], shape)) for side in sides)
+    a, b = (_Side.of(pa.table({"unit": [""] * len(side), "language": [""] * len(side), "features": pa.array(side, pa.list_(pa.int64()))})) for side in sides)
     if not len(a.unit) or not len(b.unit):
         return float("nan")
     total, n = (sum(t[k] for t in _tile(a, b, same, "all")) for k in (2, 3))
