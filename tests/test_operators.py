@@ -194,6 +194,20 @@ def test_overlap_in_bounded_memory(same):
     assert peak < 64e6
 
 
+@pytest.mark.parametrize("mode", ["other_snippets", "all"])
+def test_overlap_of_large_sets(spark, monkeypatch, mode):
+    """Blocks are cut by the features of their sets, too; 200 sets of 100,000 features are no block of 160 MB."""
+    assert feature_sets.block_count(200, 200 * 100_000) == 10 and feature_sets.block_count(200, 200 * 10) == 1
+    assert feature_sets.block_count(2, 10**9) == 2 and feature_sets.block_count(0, 0) == 1 and feature_sets.block_count(10**6, 10**6) == -(-(10**6) // feature_sets.BLOCK_SETS)
+    df = spark.createDataFrame([(str(i // 2), "xy"[i % 2], [*range(30), 100 + i]) for i in range(40)] + [("e", "x", []), ("f", "y", None)], "unit string, language string, features array<long>")
+    monkeypatch.setattr(feature_sets, "BLOCK_FEATURES", 100)
+    got = {(r.language_1, r.language_2): (r.mean_jaccard, r.n_pairs) for r in feature_sets.overlap_matrix(df, "unit", mode=mode).collect()}
+    within, across = 210, 21 * 21 - 20 * (mode == "other_snippets")
+    full = 400 - 20 * (mode == "other_snippets")
+    assert {k: n for k, (_, n) in got.items()} == {("x", "x"): within, ("y", "y"): within, ("x", "y"): across, ("y", "x"): across}
+    assert got["x", "x"][0] == got["y", "y"][0] == pytest.approx(190 * 30 / 32 / within) and got["x", "y"][0] == got["y", "x"][0] == pytest.approx(full * 30 / 32 / across)
+
+
 # --- ingest ----------------------------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,8 @@ from tokenloom.session import cut_lineage
 
 #: Sets handled as one block of the product: at most so many, and fewer of few sets, so that there is work for all.
 BLOCK_SETS = 2048
+#: Features of a block's sets, on average at most. Fewer sets are a block where sets are large.
+BLOCK_FEATURES = 1 << 21
 #: Pairs of sets whose common features are counted at once in a task, entries that are met with each other at once, and
 #: frequent features multiplied at once. They bound the memory of a task, whatever the sets have in common.
 STRIP_PAIRS = 1 << 20
@@ -191,6 +193,12 @@ def _equal_units(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(left)), last - first), order[_ranges(first, last - first)]
 
 
+def block_count(n_sets: int, n_features: int, block: int | None = None) -> int:
+    """Number of blocks of so many sets with so many features in all: by sets (``block`` in each) and by features."""
+    by_sets = -(-n_sets // (block or min(BLOCK_SETS, max(256, n_sets // 12))))
+    return max(1, by_sets, min(n_sets, -(-n_features // BLOCK_FEATURES)))
+
+
 def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode: str = "other_snippets", block: int | None = None) -> DataFrame:
     """(language_1, language_2, mean_jaccard, n_pairs): mean Jaccard similarity over the pairs of sets of two languages.
 
@@ -198,13 +206,13 @@ def overlap_matrix(sets: DataFrame, unit: str, language: str = "language", mode:
     itself. Sets that share nothing count as 0, empty ones too. A block without a valid pair is NaN. Null languages are
     left out; a unit has one set per language.
 
-    Sets are cut into blocks, and a task settles all pairs of two blocks: no pair becomes a row, and a frequent feature
+    Sets are cut into blocks of bounded size, and a task settles all pairs of two blocks: no pair becomes a row, and a frequent feature
     is as many tasks' work as there are blocks. Each block is sent once for each block that it meets, with each feature
     once and two bytes for each set that has it.
     """
     rows = cut_lineage(sets.where(F.col(language).isNotNull()).select(F.col(unit).cast("string").alias("unit"), F.col(language).cast("string").alias("language"), F.col("features").cast("array<bigint>").alias("features")))
-    n_sets = rows.count()
-    n_blocks = max(1, -(-n_sets // (block or min(BLOCK_SETS, max(256, n_sets // 12)))))
+    n_sets, n_features = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("features"), F.lit(0))), F.lit(0))).first()
+    n_blocks = block_count(n_sets, n_features, block)
     where = F.pmod(F.xxhash64("unit", "language"), F.lit(n_blocks))
 
     def pack(sets: pa.Table) -> pa.Table:
